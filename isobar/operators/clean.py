@@ -276,20 +276,11 @@ def regularize_daily(
     days are generated from it; no calendar table and no join with one.
     """
     columns = list(columns or [c for c in df.columns if c not in (*keys, time)])
-    cell = [*keys, BUCKET]
-    filled = _imputed(df, keys, time, unit, (), columns)
-    starts = filled.groupBy(*cell).agg(F.min(time).alias("_start"))
-    order = Window.partitionBy(*keys).orderBy(BUCKET)
-    after = starts.select(*cell, F.lead("_start").over(order).alias("_after"))
-    following = F.lead(time).over(Window.partitionBy(*cell).orderBy(time))
+    near = neighbours(df, keys, columns, time, unit, next_time=True)
     day = F.expr("interval 1 day")
-    until = F.coalesce(F.col("_following"), F.col("_after"), F.col(time) + day) - day
-    return (
-        filled.withColumn("_following", following)
-        .join(after, cell)
-        .select(
-            *keys,
-            F.explode(F.sequence(F.col(time), until, day)).alias(time),
-            *columns,
-        )
+    until = F.coalesce(F.col("_next_time"), F.col(time) + day) - day
+    return near.select(
+        *keys,
+        F.explode(F.sequence(F.col(time), until, day)).alias(time),
+        *[F.coalesce(f"_prev_{c}", f"_next_{c}").alias(c) for c in columns],
     )

@@ -76,7 +76,11 @@ def forecast_lag_forest(
     names = [*ml_feature_names(), *places]
     assemble = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
     rows = with_place(ml_feature_frame(train, target, keys).dropna(subset=[target]))
-    learned = assemble.transform(rows).select(*keys, target, "_features").checkpoint()
+    # The same rows in the same partitions and order each time: bagging draws by
+    # position, so this makes the forest repeatable.  The time in the hash also
+    # spreads a hot key.
+    placed = rows.repartition(*keys, "time").sortWithinPartitions(*keys, "time")
+    learned = assemble.transform(placed).select(*keys, target, "_features").checkpoint()
     forest = RandomForestRegressor(
         featuresCol="_features",
         labelCol=target,

@@ -18,8 +18,7 @@ from pyspark.sql import types as T
 
 from ...schema import DEFAULT_KEYS
 from ..clean import regularize_daily
-from ..series import LENGTH, POSITION, block_window, core_only, with_blocks, with_position
-from ..timeseries import lag_products
+from ..series import CORE, block_window, with_day_blocks
 from .common import (
     Z95,
     days_after,
@@ -40,12 +39,14 @@ LONG_AR = 21
 LAGS = (*range(1, MOST + 1), SEASON)
 TERMS = [*[f"_w{k}" for k in LAGS], *[f"_e{k}" for k in LAGS]]
 ORDERS = [(p, q) for p in range(MOST + 1) for q in range(MOST + 1)]
+# Rows before the first usable one: both differences, the long lags, the terms.
+REACH = SEASON + 1 + LONG_AR + SEASON
 _TAIL = SEASON + 1
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 
 @F.pandas_udf(_DOUBLES)
-def _long_autoregression(sums: pd.Series, n: pd.Series) -> pd.Series:
+def _long_autoregression(sums: pd.Series) -> pd.Series:
     """Yule-Walker coefficients of every series of the batch."""
     cov = np.vstack(sums.to_numpy())
     size = cov.shape[1] - 1
@@ -53,51 +54,65 @@ def _long_autoregression(sums: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(list(least_squares(cov[:, apart], cov[:, 1:])))
 
 
-def _differenced(train: DataFrame, target: str, keys: Sequence[str], seasonal: bool) -> DataFrame:
-    """Daily series with ``_w``: differenced by a day and, if asked, by a week."""
+def _daily(train: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
+    """One row per day, ``_y``."""
     daily = regularize_daily(train.select(*keys, "time", target), keys, [target])
-    value = daily.select(*keys, "time", F.col(target).cast("double").alias("_y"))
+    return daily.select(*keys, "time", F.col(target).cast("double").alias("_y"))
+
+
+def _differences(daily: DataFrame, keys: Sequence[str], seasonal: bool) -> DataFrame:
+    """Blocks of the series with ``_w``: differenced by a day and, if asked, by a week.
+
+    The blocks carry enough earlier rows for all later steps, so all of them use
+    this one partitioning.
+    """
     window = block_window(keys)
 
     def change(k: int):
         return F.lag("_y", k).over(window) - F.lag("_y", k + 1).over(window)
 
     step = change(0) - change(SEASON) if seasonal else change(0)
-    blocks = with_blocks(with_position(value, keys), keys, before=SEASON + 1)
-    return core_only(blocks.withColumn("_w", step), POSITION, LENGTH)
+    return with_day_blocks(daily, before=REACH).withColumn("_w", step)
 
 
-def _with_shocks(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds the shock estimate ``_e``; null until enough lags are there."""
-    known = series.where(F.col("_w").isNotNull())
-    long = lag_products(known, "_w", LONG_AR, keys).select(
-        *keys, _long_autoregression("sums", "n").alias("_phi")
-    )
-    means = known.groupBy(*keys).agg(F.avg("_w").alias("_mean"))
-    placed = with_position(known, keys).join(long.join(means, list(keys)), list(keys))
-    centred = placed.withColumn("_d", F.col("_w") - F.col("_mean"))
+def _long_weights(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_phi`` per key: the long autoregression of the differences.
+
+    Differencing leaves a mean of nearly zero, so none is taken off.
+    """
+    window = block_window(keys)
+    products = blocks.select(
+        *keys,
+        CORE,
+        *[
+            (F.col("_w") * F.lag("_w", k).over(window)).alias(f"_p{k}")
+            for k in range(LONG_AR + 1)
+        ],
+    ).where(CORE)
+    sums = [F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in range(LONG_AR + 1)]
+    totals = products.groupBy(*keys).agg(F.array(*sums).alias("_sums"))
+    return totals.select(*keys, _long_autoregression("_sums").alias("_phi"))
+
+
+def _moments(blocks: DataFrame, long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key, means and second moments of all lag terms and the response."""
     window = block_window(keys)
     explained = sum(
-        (F.lag("_d", k).over(window) * F.get("_phi", F.lit(k - 1)) for k in range(1, LONG_AR + 1)),
+        (F.lag("_w", k).over(window) * F.get("_phi", F.lit(k - 1)) for k in range(1, LONG_AR + 1)),
         F.lit(0.0),
     )
-    blocks = with_blocks(centred, keys, before=LONG_AR)
-    return core_only(
-        blocks.withColumn("_e", F.col("_d") - explained), POSITION, LENGTH, "_phi", "_mean", "_d"
-    )
-
-
-def _moments(shocked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key, means and second moments of all lag terms and the response."""
-    window = block_window(keys)
-    blocks = with_blocks(with_position(shocked, keys), keys, before=SEASON)
-    lagged = core_only(
-        blocks.select(
-            "*",
+    shocked = blocks.join(long, list(keys)).withColumn("_e", F.col("_w") - explained)
+    lagged = (
+        shocked.select(
+            *keys,
+            CORE,
+            "_w",
             *[F.lag("_w", k).over(window).alias(f"_w{k}") for k in LAGS],
             *[F.lag("_e", k).over(window).alias(f"_e{k}") for k in LAGS],
         )
-    ).dropna(subset=[*TERMS, "_w"])
+        .where(CORE)
+        .dropna(subset=[*TERMS, "_w"])
+    )
     means, moments = second_moments([*TERMS, "_w"])
     return lagged.groupBy(*keys).agg(
         F.array(*means).alias("_means"),
@@ -159,15 +174,14 @@ def _fit_orders(means: pd.Series, moments: pd.Series, rows: pd.Series) -> pd.Ser
     return pd.Series(found)
 
 
-def _candidates(
-    train: DataFrame, target: str, keys: Sequence[str], seasonal: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Shock-bearing series, and one row per key and order with its fit."""
-    shocked = _with_shocks(_differenced(train, target, keys, seasonal), keys)
-    fits = _moments(shocked, keys).select(
+def _candidates(daily: DataFrame, keys: Sequence[str], seasonal: bool) -> DataFrame:
+    """One row per key and order with its fit and the key's ``_phi``."""
+    blocks = _differences(daily, keys, seasonal)
+    long = _long_weights(blocks, keys)
+    fits = _moments(blocks, long, keys).select(
         *keys, _fit_orders("_means", "_moments", "_rows").alias("_fits")
     )
-    return shocked, fits.select(*keys, F.inline("_fits"))
+    return fits.join(long, list(keys)).select(*keys, "_phi", F.inline("_fits"))
 
 
 def order_search(
@@ -177,7 +191,7 @@ def order_search(
 ) -> DataFrame:
     """``(keys, p, q, aicc, best)`` for all orders up to three, weekly and daily
     differences taken.  Keys too short for any order do not appear as best."""
-    _, fits = _candidates(train_rows(split), target, keys, seasonal=True)
+    fits = _candidates(_daily(train_rows(split), target, keys), keys, seasonal=True)
     chosen = fits.groupBy(*keys).agg(
         F.min_by(F.struct("p", "q"), F.struct("aicc", "p", "q")).alias("_best")
     )
@@ -194,9 +208,8 @@ def _run_forward(
     level: pd.Series,
     variance: pd.Series,
     seasonal: pd.Series,
-    tail_y: pd.Series,
-    tail_w: pd.Series,
-    tail_e: pd.Series,
+    phi: pd.Series,
+    tail: pd.Series,
     steps: pd.Series,
 ) -> pd.DataFrame:
     """Forecasts and their standard deviations, all keys of the batch together.
@@ -209,14 +222,22 @@ def _run_forward(
     own, shock = np.split(np.vstack(weights.to_numpy()), 2, axis=1)
     weekly = seasonal.to_numpy(dtype=float)
 
-    def padded(tails: pd.Series) -> np.ndarray:
-        out = np.zeros((size, _TAIL + horizon))
-        for i, tail in enumerate(tails):
-            values = np.nan_to_num(np.asarray(tail, dtype=float))
-            out[i, _TAIL - len(values) : _TAIL] = values
-        return out
-
-    y, w, e = padded(tail_y), padded(tail_w), padded(tail_e)
+    # Latest values, their differences and shocks, as in training.
+    past = np.full((size, _TAIL + REACH), np.nan)
+    for i, values in enumerate(tail):
+        past[i, _TAIL + REACH - len(values) :] = values
+    moves = np.diff(past, axis=1)
+    moves = moves[:, SEASON:] - weekly[:, None] * moves[:, :-SEASON]
+    long = np.vstack(phi.to_numpy())
+    jolts = moves[:, LONG_AR:].copy()
+    for k in range(1, LONG_AR + 1):
+        jolts -= long[:, k - 1 : k] * moves[:, LONG_AR - k : -k]
+
+    def started(values: np.ndarray) -> np.ndarray:
+        latest = np.nan_to_num(values[:, -_TAIL:])
+        return np.hstack([latest, np.zeros((size, horizon))])
+
+    y, w, e = started(past), started(moves), started(jolts)
     zeros = np.zeros((size, _TAIL + horizon))
     y1, w1, e1 = zeros.copy(), zeros.copy(), zeros.copy()
     for step in range(horizon):
@@ -251,25 +272,27 @@ def forecast_seasonal_ar(
     for each key; otherwise the fixed order is used.  Keys too short to fit
     give no rows.
     """
-    train = train_rows(split)
-    shocked, fits = _candidates(train, target, keys, seasonal=search)
+    daily = _daily(train_rows(split), target, keys)
+    fits = _candidates(daily, keys, seasonal=search)
     if search:
         usable = fits.where(F.col("aicc").isNotNull())
         chosen = usable.groupBy(*keys).agg(
-            F.min_by(F.struct("level", "weights", "variance"), F.struct("aicc", "p", "q")).alias("_f")
+            F.min_by(
+                F.struct("level", "weights", "variance", "_phi"), F.struct("aicc", "p", "q")
+            ).alias("_f")
         ).select(*keys, "_f.*")
     else:
         p, q = DEFAULT_ORDER
         chosen = fits.where((F.col("p") == p) & (F.col("q") == q)).select(
-            *keys, "level", "weights", "variance"
+            *keys, "level", "weights", "variance", "_phi"
         )
     per_key = (
-        chosen.join(tail_arrays(shocked, ["_y", "_w", "_e"], _TAIL, keys), list(keys))
+        chosen.join(tail_arrays(daily, ["_y"], _TAIL + REACH, keys), list(keys))
         .join(extent(split, forecast_days, keys), list(keys))
         .withColumn("_weekly", F.lit(1.0 if search else 0.0))
     )
     run = _run_forward(
-        "weights", "level", "variance", "_weekly", "tail__y", "tail__w", "tail__e", "steps"
+        "weights", "level", "variance", "_weekly", "_phi", "tail__y", "steps"
     )
     solved = per_key.select(*keys, "last_time", run.alias("_out"))
     pairs = F.arrays_zip(F.col("_out.path").alias("path"), F.col("_out.spread").alias("spread"))

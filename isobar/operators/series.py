@@ -41,14 +41,20 @@ def bucket_of(time: Column, unit: str) -> Column:
     return day if unit == "day" else F.trunc(day, unit)
 
 
-def in_cells(df: DataFrame, keys: Sequence[str], time: str, unit: str) -> DataFrame:
+def in_cells(
+    df: DataFrame, keys: Sequence[str], time: str, unit: str, cell: str | None = None
+) -> DataFrame:
     """Add the cell ``_bucket``; rows without a key or a time belong to no series.
 
+    ``cell`` names a column that already cuts the series in order, such as the
+    block the rows are partitioned by.
+
     The filter names every cell column although the joins on the cell imply it:
     stated here, it stands in each branch of the plan alike, and branches that
     are alike share one exchange.
     """
-    keyed = df.withColumn(BUCKET, bucket_of(F.col(time), unit))
+    bucket = F.col(cell) if cell else bucket_of(F.col(time), unit)
+    keyed = df.withColumn(BUCKET, bucket)
     for c in (*keys, time, BUCKET):
         keyed = keyed.where(F.col(c).isNotNull())
     return keyed
@@ -139,6 +145,24 @@ def with_blocks(
     )
 
 
+def with_day_blocks(
+    df: DataFrame, time: str = "time", before: int = 0, block_rows: int = 8192
+) -> DataFrame:
+    """:func:`with_blocks` for a gap-free daily series.
+
+    One row a day makes the day number a position, so the rows need no counting:
+    this is a projection, and the window over the blocks is the only exchange.
+    """
+    day = F.unix_date(F.to_date(time)).cast("long")
+    own = F.floor(F.col(POSITION) / block_rows)
+    into_next = F.when(F.pmod(F.col(POSITION), F.lit(block_rows)) >= block_rows - before, own + 1)
+    return (
+        df.withColumn(POSITION, day)
+        .withColumn(BLOCK, F.explode(F.array_compact(F.array(own, into_next))))
+        .withColumn(CORE, F.col(BLOCK) == own)
+    )
+
+
 def block_window(keys: Sequence[str]):
     """Window over one block in series order."""
     return Window.partitionBy(*keys, BLOCK).orderBy(POSITION)
@@ -156,21 +180,25 @@ def neighbours(
     time: str = "time",
     unit: str = "month",
     positions: Sequence[str] = (),
+    next_time: bool = False,
+    cell: str | None = None,
 ) -> DataFrame:
     """Nearest known value at or before, and at or after, each row.
 
     Adds ``_prev_<c>`` and ``_next_<c>`` for each column, for ``positions`` also
     the rows they stand in (``_prev_at_<c>``, ``_next_at_<c>``), plus ``_pos``
-    from 1 and the cell ``_bucket``.  The result stays partitioned by
-    ``(keys, _bucket)``, so the caller can go on inside the cell for free.
+    from 1 and the cell ``_bucket``; ``next_time`` adds ``_next_time``, the time
+    of the following row.  The result stays partitioned by ``(keys, _bucket)``,
+    so the caller can go on inside the cell for free.  ``cell`` as in
+    :func:`in_cells`.
     """
-    cell = [*keys, BUCKET]
+    given_cell, cell = cell, [*keys, BUCKET]
     rank = "_rank"
     within = Window.partitionBy(*cell)
     upward = within.orderBy(time).rowsBetween(_PAST, 0)
     downward = within.orderBy(F.col(time).desc()).rowsBetween(_PAST, 0)
 
-    keyed = in_cells(df, keys, time, unit)
+    keyed = in_cells(df, keys, time, unit, given_cell)
     ranked = keyed.withColumn(rank, F.row_number().over(within.orderBy(time)))
 
     def known_rank(c: str) -> Column:
@@ -182,6 +210,7 @@ def neighbours(
         *[F.max_by(c, known_rank(c)).alias(f"_last_{c}") for c in columns],
         *[F.min(known_rank(c)).alias(f"_first_at_{c}") for c in positions],
         *[F.max(known_rank(c)).alias(f"_last_at_{c}") for c in positions],
+        *([F.min(time).alias("_start")] if next_time else []),
     )
     series = Window.partitionBy(*keys)
     earlier = series.orderBy(BUCKET).rowsBetween(_PAST, -1)
@@ -204,6 +233,7 @@ def neighbours(
             .alias(f"_carry_next_at_{c}")
             for c in positions
         ],
+        *([F.lead("_start").over(series.orderBy(BUCKET)).alias("_carry_time")] if next_time else []),
     )
 
     local = ranked.select(
@@ -212,6 +242,9 @@ def neighbours(
         *[F.last(known_rank(c), True).over(upward).alias(f"_prev_at_{c}") for c in positions],
         *[F.last(c, True).over(downward).alias(f"_next_{c}") for c in columns],
         *[F.last(known_rank(c), True).over(downward).alias(f"_next_at_{c}") for c in positions],
+        *(
+            [F.lead(time).over(within.orderBy(time)).alias("_following")] if next_time else []
+        ),
     )
     base = F.col(_BEFORE)
     sides = ("prev", "next")
@@ -230,4 +263,5 @@ def neighbours(
             for c in positions
             for s in sides
         ],
+        *([F.coalesce("_following", "_carry_time").alias("_next_time")] if next_time else []),
     )

@@ -14,6 +14,8 @@ from ..functions.calendar import seasonal_encoding
 from ..schema import DEFAULT_KEYS, require
 from .clean import fill_forward_backward
 from .series import (
+    BLOCK,
+    CORE,
     LENGTH,
     POSITION,
     block_window,
@@ -126,29 +128,30 @@ def ml_feature_frame(
     series = df.select(*keys, "time", F.col(target).cast("double").alias(target))
     framed = {**lag_columns(target, keys), **rolling_columns(target, keys)}
     sine, cosine = seasonal_encoding(F.col("time"))
-    features = _with_frames(series, keys, framed, before=max(LAGS)).select(
+    blocks = with_blocks(with_position(series, keys), keys, before=max(LAGS))
+    features = blocks.select(
         *keys,
         "time",
         target,
+        POSITION,
+        BLOCK,
+        CORE,
         F.month("time").cast("double").alias("month"),
         sine.alias("sin_dayofyear"),
         cosine.alias("cos_dayofyear"),
-        *framed,
-    )
-    filled = fill_backward_forward(features, keys, list(framed))
-    return filled.select(*keys, "time", target, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
-
-
-def fill_backward_forward(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], unit: str = "year"
-) -> DataFrame:
-    """Fill with the next known value, else the last known one."""
-    near = neighbours(df, keys, columns, unit=unit)
+        *[c.alias(name) for name, c in framed.items()],
+    ).where(CORE)
+    near = neighbours(features, keys, list(framed), time=POSITION, cell=BLOCK)
+    known = [c for c in names if c not in framed]
     return near.select(
-        [
-            F.coalesce(c, f"_next_{c}", f"_prev_{c}").alias(c) if c in columns else F.col(c)
-            for c in df.columns
-        ]
+        *keys,
+        "time",
+        target,
+        *known,
+        *[
+            F.coalesce(c, f"_next_{c}", f"_prev_{c}", F.lit(0.0)).alias(c)
+            for c in framed
+        ],
     )
 
 
