@@ -19,7 +19,7 @@ def _percentiles(value: Column, wanted: dict[str, float]) -> list[Column]:
     return [F.percentile(value, q).alias(name) for name, q in wanted.items()]
 
 
-def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(keys, variable, value)`` rows of the given columns."""
     doubles = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     return doubles.unpivot(list(keys), list(columns), "variable", "value")
@@ -57,7 +57,7 @@ def describe_stats(
     """
     columns = list(columns or variable_columns(df, keys))
     group = [*keys, "variable"]
-    long = _long(df, keys, columns)
+    long = long_form(df, keys, columns)
     value = F.col("value")
     in_memory = [] if large_groups else _percentiles(value, QUARTILES)
     stats = long.groupBy(*group).agg(
@@ -86,7 +86,7 @@ def skew_kurtosis(
     columns = list(columns or variable_columns(df, keys))
     value = F.col("value")
     return (
-        _long(df, keys, columns)
+        long_form(df, keys, columns)
         .groupBy(*keys, "variable")
         .agg(
             corrected_skewness(value).alias("skewness"),

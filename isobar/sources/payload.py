@@ -89,8 +89,17 @@ def read_realtime(spark: SparkSession, path: str, multiline: bool = False) -> Da
 
 
 def _rows(payloads: DataFrame, block: str, fields: dict[str, T.DataType], *keep: Column) -> DataFrame:
-    """One row per array position of a struct of parallel arrays."""
-    zipped = F.arrays_zip(*[F.col(f"{block}.{n}").alias(n) for n in fields])
+    """One row per array position of a struct of parallel arrays.
+
+    A variable the answer leaves out counts as an empty array, which the zip
+    pads with nulls; a missing array would void the whole row.
+    """
+    zipped = F.arrays_zip(
+        *[
+            F.coalesce(F.col(f"{block}.{n}"), F.array().cast(T.ArrayType(t))).alias(n)
+            for n, t in fields.items()
+        ]
+    )
     rows = payloads.where(F.col(block).isNotNull()).select(*keep, F.inline(zipped))
     return rows.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
