@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.comfort import feels_like_of
 from ..schema import CAPPED_READINGS, DEFAULT_KEYS, numeric_columns, require
-from .series import BUCKET, POSITION, neighbours
+from .series import BUCKET, POSITION, names, neighbours
 
 
 def parse_time(df: DataFrame, time: str = "time") -> DataFrame:
@@ -25,15 +25,14 @@ def parse_time(df: DataFrame, time: str = "time") -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp_ntz"))
 
 
-def _between(c: str) -> Column:
+def _between(c: str) -> str:
     """Straight line between the known neighbours by row position; edges level."""
-    before, after = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-    start, end = F.col(f"_prev_at_{c}"), F.col(f"_next_at_{c}")
-    share = (F.col(POSITION) - start) / (end - start)
+    share = f"({POSITION} - `_prev_at_{c}`) / CAST(`_next_at_{c}` - `_prev_at_{c}` AS DOUBLE)"
     return (
-        F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
-        .when(before.isNotNull() & after.isNotNull(), before + (after - before) * share)
-        .otherwise(F.coalesce(before, after).cast("double"))
+        f"CASE WHEN `{c}` IS NOT NULL THEN CAST(`{c}` AS DOUBLE) "
+        f"WHEN `_prev_{c}` IS NOT NULL AND `_next_{c}` IS NOT NULL "
+        f"THEN `_prev_{c}` + (`_next_{c}` - `_prev_{c}`) * {share} "
+        f"ELSE CAST(coalesce(`_prev_{c}`, `_next_{c}`) AS DOUBLE) END AS `{c}`"
     )
 
 
@@ -48,14 +47,14 @@ def _imputed(
     """Fill ``linear`` columns by interpolation and ``level`` ones forward, then back."""
     near = neighbours(df, keys, [*linear, *level], time, unit, positions=linear)
 
-    def filled(c: str) -> Column:
+    def filled(c: str) -> str:
         if c in linear:
-            return _between(c).alias(c)
+            return _between(c)
         if c in level:
-            return F.coalesce(F.col(f"_prev_{c}"), F.col(f"_next_{c}")).alias(c)
-        return F.col(c)
+            return f"coalesce(`_prev_{c}`, `_next_{c}`) AS `{c}`"
+        return f"`{c}`"
 
-    return near.select(*[filled(c) for c in df.columns], BUCKET)
+    return near.selectExpr(*[filled(c) for c in df.columns], BUCKET)
 
 
 def interpolate_linear(
@@ -118,19 +117,14 @@ def outlier_bounds(
 def cap_to_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Clip columns to joined ``_low_``/``_high_`` bounds and drop the bounds."""
 
-    def capped(c: str) -> Column:
-        low, high = F.col(f"_low_{c}"), F.col(f"_high_{c}")
-        usable = low.isNotNull() & F.col(c).isNotNull()
-        return F.when(usable, F.least(F.greatest(F.col(c), low), high)).otherwise(F.col(c))
+    def capped(c: str) -> str:
+        usable = f"`_low_{c}` IS NOT NULL AND `{c}` IS NOT NULL"
+        clipped = f"least(greatest(`{c}`, `_low_{c}`), `_high_{c}`)"
+        return f"CASE WHEN {usable} THEN {clipped} ELSE `{c}` END AS `{c}`"
 
     bounds = {f"_{side}_{c}" for side in ("low", "high") for c in columns}
-    return df.select(
-        [
-            capped(c).alias(c) if c in columns else F.col(c)
-            for c in df.columns
-            if c not in bounds
-        ]
-    )
+    kept = [c for c in df.columns if c not in bounds]
+    return df.selectExpr(*[capped(c) if c in columns else f"`{c}`" for c in kept])
 
 
 def cap_outliers(
@@ -186,44 +180,34 @@ def _bounds_on_cells(
     Each cell gives count, mean and variance; a window over a key's few cells
     merges them, so nothing larger than the cell list is exchanged.
     """
-    cell = [*keys, BUCKET]
-    whole = Window.partitionBy(*keys)
-    per_cell = df.groupBy(*cell).agg(
-        *[F.count(c).alias(f"_count_{c}") for c in columns],
-        *[F.avg(c).alias(f"_mean_{c}") for c in columns],
-        *[F.var_pop(c).alias(f"_var_{c}") for c in columns],
+    whole = f"(PARTITION BY {names(keys)})" if keys else "()"
+    per_cell = df.groupBy(*keys, BUCKET).agg(
+        *[F.expr(f"count(`{c}`) AS `_count_{c}`") for c in columns],
+        *[F.expr(f"avg(`{c}`) AS `_mean_{c}`") for c in columns],
+        *[F.expr(f"var_pop(`{c}`) AS `_var_{c}`") for c in columns],
     )
-
-    def total(c: str) -> Column:
-        return F.sum(f"_count_{c}").over(whole)
-
-    def series_mean(c: str) -> Column:
-        weighted = F.sum(F.col(f"_count_{c}") * F.col(f"_mean_{c}")).over(whole)
-        return F.try_divide(weighted, total(c))
-
-    with_mean = per_cell.select(
+    with_mean = per_cell.selectExpr(
         "*",
-        *[total(c).alias(f"_total_{c}") for c in columns],
-        *[series_mean(c).alias(f"_center_{c}") for c in columns],
+        *[f"sum(`_count_{c}`) OVER {whole} AS `_total_{c}`" for c in columns],
+        *[
+            f"try_divide(sum(`_count_{c}` * `_mean_{c}`) OVER {whole}, "
+            f"sum(`_count_{c}`) OVER {whole}) AS `_center_{c}`"
+            for c in columns
+        ],
     )
 
-    def spread(c: str) -> Column:
-        shift = F.col(f"_mean_{c}") - F.col(f"_center_{c}")
-        squares = F.col(f"_count_{c}") * (F.col(f"_var_{c}") + shift * shift)
-        variance = F.try_divide(F.sum(squares).over(whole), F.col(f"_total_{c}") - 1)
-        return F.nullif(F.sqrt(variance), F.lit(0.0))
+    def spread(c: str) -> str:
+        shift = f"(`_mean_{c}` - `_center_{c}`)"
+        squares = f"sum(`_count_{c}` * (`_var_{c}` + {shift} * {shift})) OVER {whole}"
+        return f"nullif(sqrt(try_divide({squares}, `_total_{c}` - 1)), 0D) AS `_spread_{c}`"
 
-    with_spread = with_mean.select(
-        *cell,
-        *[f"_center_{c}" for c in columns],
-        *[spread(c).alias(f"_spread_{c}") for c in columns],
-    )
-    return with_spread.select(
-        *cell,
+    with_spread = with_mean.selectExpr("*", *[spread(c) for c in columns])
+    return with_spread.selectExpr(
+        *[f"`{c}`" for c in (*keys, BUCKET)],
         *[
-            (F.col(f"_center_{c}") + sign * threshold * F.col(f"_spread_{c}")).alias(f"_{side}_{c}")
+            f"`_center_{c}` {sign} {threshold}D * `_spread_{c}` AS `_{side}_{c}`"
             for c in columns
-            for side, sign in (("low", -1), ("high", 1))
+            for side, sign in (("low", "-"), ("high", "+"))
         ],
     )
 

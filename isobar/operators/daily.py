@@ -74,6 +74,20 @@ def aggregate_daily(
     return _daily(df, keys, time, ())
 
 
+def clean_daily(
+    df: DataFrame,
+    keys: Sequence[str] = DEFAULT_KEYS,
+    time: str = "time",
+    threshold: float = 3.0,
+    unit: str = "month",
+) -> DataFrame:
+    """Daily table straight from raw readings.
+
+    The daily aggregate groups inside the cleaning cells, so it adds no exchange.
+    """
+    return _daily(clean_cells(df, keys, time, threshold, unit), keys, time, (BUCKET,))
+
+
 def hourly_to_daily(
     df: DataFrame,
     keys: Sequence[str] = DEFAULT_KEYS,
@@ -83,9 +97,8 @@ def hourly_to_daily(
 ) -> tuple[DataFrame, DataFrame]:
     """Clean hourly table and the daily table made from it.
 
-    The daily aggregate groups inside the cleaning cells, so it adds no
-    exchange.  Both results are lazy plans; persist the input's cleaned form
-    only when both are really used.
+    Both are lazy plans.  When both are used, write the hourly one first and
+    aggregate the stored table with :func:`aggregate_daily`.
     """
-    daily = _daily(clean_cells(df, keys, time, threshold, unit), keys, time, (BUCKET,))
-    return clean_hourly(df, keys, time, threshold, unit), daily
+    hourly = clean_hourly(df, keys, time, threshold, unit)
+    return hourly, clean_daily(df, keys, time, threshold, unit)

@@ -41,6 +41,11 @@ def bucket_of(time: Column, unit: str) -> Column:
     return day if unit == "day" else F.trunc(day, unit)
 
 
+def names(columns: Sequence[str]) -> str:
+    """Column names quoted for SQL text."""
+    return ", ".join(f"`{c}`" for c in columns)
+
+
 def in_cells(
     df: DataFrame, keys: Sequence[str], time: str, unit: str, cell: str | None = None
 ) -> DataFrame:
@@ -54,10 +59,8 @@ def in_cells(
     are alike share one exchange.
     """
     bucket = F.col(cell) if cell else bucket_of(F.col(time), unit)
-    keyed = df.withColumn(BUCKET, bucket)
-    for c in (*keys, time, BUCKET):
-        keyed = keyed.where(F.col(c).isNotNull())
-    return keyed
+    every = " AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, time, BUCKET))
+    return df.withColumn(BUCKET, bucket).where(every)
 
 
 def choose_unit(
@@ -192,76 +195,70 @@ def neighbours(
     so the caller can go on inside the cell for free.  ``cell`` as in
     :func:`in_cells`.
     """
-    given_cell, cell = cell, [*keys, BUCKET]
+    # Written as SQL text: one call per expression instead of one per operator
+    # keeps building the plan of a wide table fast.
+    in_cell = f"PARTITION BY {names([*keys, BUCKET])}"
+    in_series = f"PARTITION BY {names(keys)}" if keys else ""
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    up = f"({in_cell} ORDER BY `{time}` {so_far})"
+    down = f"({in_cell} ORDER BY `{time}` DESC {so_far})"
+    past = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    earlier = f"({in_series} ORDER BY {BUCKET} {past})"
+    later = f"({in_series} ORDER BY {BUCKET} DESC {past})"
     rank = "_rank"
-    within = Window.partitionBy(*cell)
-    upward = within.orderBy(time).rowsBetween(_PAST, 0)
-    downward = within.orderBy(F.col(time).desc()).rowsBetween(_PAST, 0)
-
-    keyed = in_cells(df, keys, time, unit, given_cell)
-    ranked = keyed.withColumn(rank, F.row_number().over(within.orderBy(time)))
-
-    def known_rank(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.col(rank))
-
-    edges = ranked.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias(_ROWS),
-        *[F.min_by(c, known_rank(c)).alias(f"_first_{c}") for c in columns],
-        *[F.max_by(c, known_rank(c)).alias(f"_last_{c}") for c in columns],
-        *[F.min(known_rank(c)).alias(f"_first_at_{c}") for c in positions],
-        *[F.max(known_rank(c)).alias(f"_last_at_{c}") for c in positions],
-        *([F.min(time).alias("_start")] if next_time else []),
+
+    def known(c: str) -> str:
+        return f"CASE WHEN `{c}` IS NOT NULL THEN {rank} END"
+
+    keyed = in_cells(df, keys, time, unit, cell)
+    ranked = keyed.selectExpr("*", f"row_number() OVER ({in_cell} ORDER BY `{time}`) AS {rank}")
+
+    edges = ranked.groupBy(*keys, BUCKET).agg(
+        F.expr(f"count(1) AS {_ROWS}"),
+        *[F.expr(f"min_by(`{c}`, {known(c)}) AS `_first_{c}`") for c in columns],
+        *[F.expr(f"max_by(`{c}`, {known(c)}) AS `_last_{c}`") for c in columns],
+        *[F.expr(f"min({known(c)}) AS `_first_at_{c}`") for c in positions],
+        *[F.expr(f"max({known(c)}) AS `_last_at_{c}`") for c in positions],
+        *([F.expr(f"min(`{time}`) AS _start")] if next_time else []),
     )
-    series = Window.partitionBy(*keys)
-    earlier = series.orderBy(BUCKET).rowsBetween(_PAST, -1)
-    later = series.orderBy(F.col(BUCKET).desc()).rowsBetween(_PAST, -1)
-    numbered = edges.withColumn(_BEFORE, F.coalesce(F.sum(_ROWS).over(earlier), F.lit(0)))
-    carried = numbered.select(
-        *cell,
-        _BEFORE,
-        *[F.last(f"_last_{c}", True).over(earlier).alias(f"_carry_prev_{c}") for c in columns],
-        *[F.last(f"_first_{c}", True).over(later).alias(f"_carry_next_{c}") for c in columns],
+    numbered = edges.selectExpr("*", f"coalesce(sum({_ROWS}) OVER {earlier}, 0) AS {_BEFORE}")
+    carried = numbered.selectExpr(
+        *[f"`{c}`" for c in (*keys, BUCKET, _BEFORE)],
+        *[f"last(`_last_{c}`, true) OVER {earlier} AS `_carry_prev_{c}`" for c in columns],
+        *[f"last(`_first_{c}`, true) OVER {later} AS `_carry_next_{c}`" for c in columns],
         *[
-            F.last(F.col(_BEFORE) + F.col(f"_last_at_{c}"), True)
-            .over(earlier)
-            .alias(f"_carry_prev_at_{c}")
+            f"last({_BEFORE} + `_last_at_{c}`, true) OVER {earlier} AS `_carry_prev_at_{c}`"
             for c in positions
         ],
         *[
-            F.last(F.col(_BEFORE) + F.col(f"_first_at_{c}"), True)
-            .over(later)
-            .alias(f"_carry_next_at_{c}")
+            f"last({_BEFORE} + `_first_at_{c}`, true) OVER {later} AS `_carry_next_at_{c}`"
             for c in positions
         ],
-        *([F.lead("_start").over(series.orderBy(BUCKET)).alias("_carry_time")] if next_time else []),
-    )
-
-    local = ranked.select(
-        "*",
-        *[F.last(c, True).over(upward).alias(f"_prev_{c}") for c in columns],
-        *[F.last(known_rank(c), True).over(upward).alias(f"_prev_at_{c}") for c in positions],
-        *[F.last(c, True).over(downward).alias(f"_next_{c}") for c in columns],
-        *[F.last(known_rank(c), True).over(downward).alias(f"_next_at_{c}") for c in positions],
         *(
-            [F.lead(time).over(within.orderBy(time)).alias("_following")] if next_time else []
+            [f"lead(_start) OVER ({in_series} ORDER BY {BUCKET}) AS _carry_time"]
+            if next_time
+            else []
         ),
     )
-    base = F.col(_BEFORE)
+    local = ranked.selectExpr(
+        "*",
+        *[f"last(`{c}`, true) OVER {up} AS `_prev_{c}`" for c in columns],
+        *[f"last({known(c)}, true) OVER {up} AS `_prev_at_{c}`" for c in positions],
+        *[f"last(`{c}`, true) OVER {down} AS `_next_{c}`" for c in columns],
+        *[f"last({known(c)}, true) OVER {down} AS `_next_at_{c}`" for c in positions],
+        *([f"lead(`{time}`) OVER ({in_cell} ORDER BY `{time}`) AS _following"] if next_time else []),
+    )
     sides = ("prev", "next")
-    return local.join(carried, cell).select(
-        *[F.col(c) for c in keyed.columns],
-        (base + F.col(rank)).alias(POSITION),
+    return local.join(carried, [*keys, BUCKET]).selectExpr(
+        *[f"`{c}`" for c in keyed.columns],
+        f"{_BEFORE} + {rank} AS {POSITION}",
         *[
-            F.coalesce(F.col(f"_{s}_{c}"), F.col(f"_carry_{s}_{c}")).alias(f"_{s}_{c}")
-            for c in columns
-            for s in sides
+            f"coalesce(`_{s}_{c}`, `_carry_{s}_{c}`) AS `_{s}_{c}`" for c in columns for s in sides
         ],
         *[
-            F.coalesce(base + F.col(f"_{s}_at_{c}"), F.col(f"_carry_{s}_at_{c}")).alias(
-                f"_{s}_at_{c}"
-            )
+            f"coalesce({_BEFORE} + `_{s}_at_{c}`, `_carry_{s}_at_{c}`) AS `_{s}_at_{c}`"
             for c in positions
             for s in sides
         ],
-        *([F.coalesce("_following", "_carry_time").alias("_next_time")] if next_time else []),
+        *(["coalesce(_following, _carry_time) AS _next_time"] if next_time else []),
     )

@@ -65,10 +65,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def quantised(df: DataFrame, *columns: str) -> DataFrame:
     """Four decimals; the rounding border is moved off the decimals that occur."""
 
-    def four(c: str) -> Column:
-        return (F.floor(F.col(c) * 10000 + 0.3819) / 10000.0).alias(c)
+    def four(c: str) -> str:
+        return f"floor(`{c}` * 10000D + 0.3819D) / 10000D AS `{c}`"
 
-    return df.select([four(c) if c in columns else F.col(c) for c in df.columns])
+    return df.selectExpr(*[four(c) if c in columns else f"`{c}`" for c in df.columns])
 
 
 def weather(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def days(spark: SparkSession, d: str) -> DataFrame:
-    return daily.hourly_to_daily(weather(spark, d))[1]
+    return daily.clean_daily(weather(spark, d))
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
@@ -699,7 +699,8 @@ def a_direction(spark, d):
     S.query(S.D, f"SELECT station_id, time, {S.quantised(DAILY_FLOATS)} FROM d"),
 )
 def a_both(spark, d):
-    return quantised(days(spark, d), *DAILY_FLOATS)
+    _, by_day = daily.hourly_to_daily(weather(spark, d))
+    return quantised(by_day, *DAILY_FLOATS)
 
 
 _LONG = (
