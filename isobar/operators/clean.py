@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.comfort import feels_like_of
 from ..schema import CAPPED_READINGS, DEFAULT_KEYS, numeric_columns, require
-from .series import BUCKET, POSITION, names, neighbours
+from .series import BUCKET, POSITION, neighbours
 
 
 def parse_time(df: DataFrame, time: str = "time") -> DataFrame:
@@ -43,9 +43,16 @@ def _imputed(
     unit: str,
     linear: Sequence[str],
     level: Sequence[str],
+    moments: Sequence[str] = (),
 ) -> DataFrame:
-    """Fill ``linear`` columns by interpolation and ``level`` ones forward, then back."""
-    near = neighbours(df, keys, [*linear, *level], time, unit, positions=linear)
+    """Fill ``linear`` columns by interpolation and ``level`` ones forward, then back.
+
+    ``moments`` as in :func:`~isobar.operators.series.neighbours`.
+    """
+    near = neighbours(
+        df, keys, [*linear, *level], time, unit, positions=linear, moments=moments
+    )
+    extra = [f"`_{name}_{c}`" for c in moments for name in ("mean", "std")]
 
     def filled(c: str) -> str:
         if c in linear:
@@ -54,7 +61,7 @@ def _imputed(
             return f"coalesce(`_prev_{c}`, `_next_{c}`) AS `{c}`"
         return f"`{c}`"
 
-    return near.selectExpr(*[filled(c) for c in df.columns], BUCKET)
+    return near.selectExpr(*[filled(c) for c in df.columns], BUCKET, *extra)
 
 
 def interpolate_linear(
@@ -172,46 +179,6 @@ def outlier_report(
     return joined.groupBy(*keys).agg(F.array(*rows).alias("_rows")).select(*keys, F.inline("_rows"))
 
 
-def _bounds_on_cells(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], threshold: float
-) -> DataFrame:
-    """Whole-series bounds repeated on each ``(keys, _bucket)`` cell of ``df``.
-
-    Each cell gives count, mean and variance; a window over a key's few cells
-    merges them, so nothing larger than the cell list is exchanged.
-    """
-    whole = f"(PARTITION BY {names(keys)})" if keys else "()"
-    per_cell = df.groupBy(*keys, BUCKET).agg(
-        *[F.expr(f"count(`{c}`) AS `_count_{c}`") for c in columns],
-        *[F.expr(f"avg(`{c}`) AS `_mean_{c}`") for c in columns],
-        *[F.expr(f"var_pop(`{c}`) AS `_var_{c}`") for c in columns],
-    )
-    with_mean = per_cell.selectExpr(
-        "*",
-        *[f"sum(`_count_{c}`) OVER {whole} AS `_total_{c}`" for c in columns],
-        *[
-            f"try_divide(sum(`_count_{c}` * `_mean_{c}`) OVER {whole}, "
-            f"sum(`_count_{c}`) OVER {whole}) AS `_center_{c}`"
-            for c in columns
-        ],
-    )
-
-    def spread(c: str) -> str:
-        shift = f"(`_mean_{c}` - `_center_{c}`)"
-        squares = f"sum(`_count_{c}` * (`_var_{c}` + {shift} * {shift})) OVER {whole}"
-        return f"nullif(sqrt(try_divide({squares}, `_total_{c}` - 1)), 0D) AS `_spread_{c}`"
-
-    with_spread = with_mean.selectExpr("*", *[spread(c) for c in columns])
-    return with_spread.selectExpr(
-        *[f"`{c}`" for c in (*keys, BUCKET)],
-        *[
-            f"`_center_{c}` {sign} {threshold}D * `_spread_{c}` AS `_{side}_{c}`"
-            for c in columns
-            for side, sign in (("low", "-"), ("high", "+"))
-        ],
-    )
-
-
 def clean_cells(
     df: DataFrame,
     keys: Sequence[str] = DEFAULT_KEYS,
@@ -221,18 +188,24 @@ def clean_cells(
 ) -> DataFrame:
     """:func:`clean_hourly` that keeps the ``_bucket`` cell and its partitioning.
 
-    One exchange moves the readings, on ``(keys, _bucket)``.  Interpolation and
-    capping both work inside the cell: the per-key bounds are spread over the
-    key's cells first, so joining them moves only that small table.
+    One exchange moves the readings, on ``(keys, _bucket)``.  The summary of the
+    cells brings each cell both what it needs from its neighbours and the bounds
+    of the whole series, so filling and capping happen in one pass.
     """
     parsed = parse_time(df, time)
     linear = numeric_columns(parsed, exclude=(*keys, time))
     level = [c for c in parsed.columns if c not in (*keys, time, *linear)]
-    clean = _imputed(parsed, keys, time, unit, linear, level)
-    capped = [c for c in CAPPED_READINGS if c in parsed.columns]
-    if capped:
-        bounds = _bounds_on_cells(clean, keys, capped, threshold)
-        clean = cap_to_bounds(clean.join(bounds, [*keys, BUCKET]), capped)
+    capped = [c for c in CAPPED_READINGS if c in linear]
+    imputed = _imputed(parsed, keys, time, unit, linear, level, capped)
+    bounded = imputed.selectExpr(
+        *[f"`{c}`" for c in (*parsed.columns, BUCKET)],
+        *[
+            f"`_mean_{c}` {sign} {float(threshold)}D * `_std_{c}` AS `_{side}_{c}`"
+            for c in capped
+            for side, sign in (("low", "-"), ("high", "+"))
+        ],
+    )
+    clean = cap_to_bounds(bounded, capped)
     return clean.withColumn("feels_like", feels_like_of(clean))
 
 

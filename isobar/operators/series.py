@@ -176,6 +176,61 @@ def core_only(df: DataFrame, *also_drop: str) -> DataFrame:
     return df.where(CORE).drop(BLOCK, CORE, *also_drop)
 
 
+_MOMENT_PARTS = ("first", "first_at", "last", "last_at", "s1", "s2")
+
+
+def _line_sums(
+    start: str, start_at: str, end: str, end_at: str, alone: str, lone_rows: int | str
+) -> tuple[str, str]:
+    """SQL sums of values and squares on the straight line after ``start`` up to ``end``.
+
+    Without a start, ``lone_rows`` rows have the value ``alone``.
+    """
+    g, d = f"CAST({end_at} - {start_at} AS DOUBLE)", f"({end} - {start})"
+    first = f"{g} * {start} + {d} * ({g} + 1) / 2"
+    second = (
+        f"{g} * {start} * {start} + {start} * {d} * ({g} + 1) "
+        f"+ {d} * {d} * ({g} + 1) * (2 * {g} + 1) / (6 * {g})"
+    )
+    lone = f"CASE WHEN {start_at} IS NULL THEN {lone_rows} * {alone}"
+    return f"{lone} ELSE {first} END", f"{lone} * {alone} ELSE {second} END"
+
+
+def _with_moments(cells: DataFrame, in_series: str, columns: Sequence[str]) -> DataFrame:
+    """Whole-series mean and deviation of gap-filled columns, from one row per cell.
+
+    A cell's own sums cover its first to last known row.  To them come the gap
+    that leads to its first known row, and after the last known row of all the
+    level rest of the series.
+    """
+    other = [c for c in cells.columns if not any(c == f"_{n}_{x}" for n in _MOMENT_PARTS for x in columns)]
+    totals = []
+    for c in columns:
+        first, first_at = f"`_first_{c}`", f"({_BEFORE} + `_first_at_{c}`)"
+        last, last_at = f"`_last_{c}`", f"({_BEFORE} + `_last_at_{c}`)"
+        gap = _line_sums(
+            f"`_carry_prev_{c}`", f"`_carry_prev_at_{c}`", first, first_at, first, first_at
+        )
+        rest = f"CASE WHEN `_carry_next_at_{c}` IS NULL THEN {LENGTH} - {last_at} ELSE 0 END"
+        for power, line in (("s1", gap[0]), ("s2", gap[1])):
+            value = {"s1": "{0}", "s2": "{0} * {0}"}[power]
+            known = (
+                f"`_{power}_{c}` + {line} - {value.format(first)} + {rest} * {value.format(last)}"
+            )
+            totals.append(f"sum({known}) OVER ({in_series}) AS `_{power}_{c}`")
+    summed = cells.selectExpr(*[f"`{c}`" for c in other], *totals)
+    n = LENGTH
+    return summed.selectExpr(
+        *[f"`{c}`" for c in other if c != LENGTH],
+        *[f"`_s1_{c}` / {n} AS `_mean_{c}`" for c in columns],
+        *[
+            f"nullif(sqrt(greatest(try_divide(`_s2_{c}` - `_s1_{c}` * `_s1_{c}` / {n}, {n} - 1), 0D)),"
+            f" 0D) AS `_std_{c}`"
+            for c in columns
+        ],
+    )
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -185,6 +240,7 @@ def neighbours(
     positions: Sequence[str] = (),
     next_time: bool = False,
     cell: str | None = None,
+    moments: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest known value at or before, and at or after, each row.
 
@@ -194,6 +250,12 @@ def neighbours(
     of the following row.  The result stays partitioned by ``(keys, _bucket)``,
     so the caller can go on inside the cell for free.  ``cell`` as in
     :func:`in_cells`.
+
+    ``moments``, a part of ``positions``, adds ``_mean_<c>`` and ``_std_<c>``:
+    mean and sample deviation of the whole series as it will be once its gaps
+    are filled linearly (deviation null when zero or undefined).  A straight gap
+    has a closed sum, so these come out of the summary as well, without filling
+    anything first.
     """
     # Written as SQL text: one call per expression instead of one per operator
     # keeps building the plan of a wide table fast.
@@ -213,13 +275,30 @@ def neighbours(
     keyed = in_cells(df, keys, time, unit, cell)
     ranked = keyed.selectExpr("*", f"row_number() OVER ({in_cell} ORDER BY `{time}`) AS {rank}")
 
-    edges = ranked.groupBy(*keys, BUCKET).agg(
+    before_row = f"({in_cell} ORDER BY `{time}` {past})"
+    measured = ranked
+    if moments:
+        measured = ranked.selectExpr(
+            "*",
+            *[f"last(`{c}`, true) OVER {before_row} AS `_from_{c}`" for c in moments],
+            *[f"last({known(c)}, true) OVER {before_row} AS `_from_at_{c}`" for c in moments],
+        )
+    edges = measured.groupBy(*keys, BUCKET).agg(
         F.expr(f"count(1) AS {_ROWS}"),
         *[F.expr(f"min_by(`{c}`, {known(c)}) AS `_first_{c}`") for c in columns],
         *[F.expr(f"max_by(`{c}`, {known(c)}) AS `_last_{c}`") for c in columns],
         *[F.expr(f"min({known(c)}) AS `_first_at_{c}`") for c in positions],
         *[F.expr(f"max({known(c)}) AS `_last_at_{c}`") for c in positions],
         *([F.expr(f"min(`{time}`) AS _start")] if next_time else []),
+        *[
+            F.expr(f"sum({part}) AS `_{power}_{c}`")
+            for c in moments
+            for power, part in zip(
+                ("s1", "s2"),
+                _line_sums(f"`_from_{c}`", f"`_from_at_{c}`", f"`{c}`", rank, f"`{c}`", 1),
+                strict=True,
+            )
+        ],
     )
     numbered = edges.selectExpr("*", f"coalesce(sum({_ROWS}) OVER {earlier}, 0) AS {_BEFORE}")
     carried = numbered.selectExpr(
@@ -239,7 +318,11 @@ def neighbours(
             if next_time
             else []
         ),
+        *[f"`_{name}_{c}`" for c in moments for name in _MOMENT_PARTS],
+        *([f"sum({_ROWS}) OVER ({in_series}) AS {LENGTH}"] if moments else []),
     )
+    if moments:
+        carried = _with_moments(carried, in_series, moments)
     local = ranked.selectExpr(
         "*",
         *[f"last(`{c}`, true) OVER {up} AS `_prev_{c}`" for c in columns],
@@ -261,4 +344,5 @@ def neighbours(
             for s in sides
         ],
         *(["coalesce(_following, _carry_time) AS _next_time"] if next_time else []),
+        *[f"`_{name}_{c}`" for c in moments for name in ("mean", "std")],
     )

@@ -15,8 +15,10 @@ from .quantiles import exact_quantiles
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def _percentiles(value: Column, wanted: dict[str, float]) -> list[Column]:
-    return [F.percentile(value, q).alias(name) for name, q in wanted.items()]
+def quartiles(value: Column) -> Column:
+    """Aggregate: struct of the exact quartiles, from one pass over the values."""
+    found = F.percentile(value, list(QUARTILES.values()))
+    return F.struct(*[F.get(found, F.lit(i)).alias(n) for i, n in enumerate(QUARTILES)])
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -59,7 +61,7 @@ def describe_stats(
     group = [*keys, "variable"]
     long = long_form(df, keys, columns)
     value = F.col("value")
-    in_memory = [] if large_groups else _percentiles(value, QUARTILES)
+    in_memory = [] if large_groups else [quartiles(value).alias("_q")]
     stats = long.groupBy(*group).agg(
         *in_memory,
         F.count(value).alias("count"),
@@ -72,6 +74,8 @@ def describe_stats(
     )
     if large_groups:
         stats = stats.join(exact_quantiles(long, group, "value", QUARTILES), group, "left")
+    else:
+        stats = stats.select("*", "_q.*")
     return stats.select(
         *group, "count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"
     )
@@ -110,25 +114,33 @@ def correlation_matrix(
 ) -> DataFrame:
     """Pearson correlation of each pair: ``(keys, var_x, var_y, corr)``.
 
-    All pairs come from one aggregate.  Each unordered pair is computed once and
-    mirrored afterwards; ``lower_triangle`` keeps pairs below the diagonal only.
+    All pairs come from one aggregate, which shrinks to one row per key and pair
+    before the exchange.  Each unordered pair is computed once and mirrored; ``lower_triangle`` keeps pairs below the diagonal only.
     """
     columns = list(columns or variable_columns(df, keys))
     pairs = list(combinations(columns, 2)) + ([] if lower_triangle else [(c, c) for c in columns])
 
-    def entry(x: str, y: str, value: Column) -> Column:
-        return F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), value.alias("corr"))
-
-    figures = [
-        pearson(F.col(x), F.col(y)).alias(f"_corr_{i}") for i, (x, y) in enumerate(pairs)
-    ]
-    entries = []
-    for i, (x, y) in enumerate(pairs):
-        entries.append(entry(y, x, F.col(f"_corr_{i}")))
-        if x != y and not lower_triangle:
-            entries.append(entry(x, y, F.col(f"_corr_{i}")))
-    wide = df.groupBy(*keys).agg(*figures)
-    return wide.select(*keys, F.inline(F.array(*entries)))
+    # One row per pair leaves three running sums to each group; as columns of one
+    # wide aggregate the pairs would outgrow what the engine can compile.
+    entries = ", ".join(
+        f"struct({i} AS _pair, CAST(`{x}` AS DOUBLE) AS _x, CAST(`{y}` AS DOUBLE) AS _y)"
+        for i, (x, y) in enumerate(pairs)
+    )
+    long = df.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({entries}))")
+    figures = long.groupBy(*keys, "_pair").agg(pearson(F.col("_x"), F.col("_y")).alias("corr"))
+
+    def name_of(side: int) -> Column:
+        return F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("_pair") + 1)
+
+    x, y = name_of(0).alias("_first"), name_of(1).alias("_second")
+    named = figures.select(*keys, x, y, "corr")
+    below = F.struct(F.col("_second").alias("var_x"), F.col("_first").alias("var_y"))
+    above = F.struct(F.col("_first").alias("var_x"), F.col("_second").alias("var_y"))
+    sides = [below] if lower_triangle else [below, above]
+    mirrored = F.array_distinct(F.array(*sides))
+    return named.select(*keys, F.explode(mirrored).alias("_p"), "corr").select(
+        *keys, "_p.var_x", "_p.var_y", "corr"
+    )
 
 
 def linear_fit(
