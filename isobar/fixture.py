@@ -2,7 +2,9 @@
 
 The given tables hold no readings, so hourly weather is derived from order
 lines: twenty suppliers make one station, so stations grow with the data while
-each station keeps the same density.  Nulls and outliers are planted.
+each station keeps the same density.  Nulls and outliers are planted.  The odd
+offsets keep interpolated values off the exact borders of the feels-like formula,
+where the last bit of a sum would decide.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_hour.select(
         "station_id",
         "time",
-        F.when(k % 11 != 0, F.round(F.col("q") * 0.9 - 5, 6)).alias("temperature_2m"),
-        F.when(k % 13 != 0, F.round(F.col("d") * 1000, 6)).alias("relative_humidity_2m"),
+        F.when(k % 11 != 0, F.round(F.col("q") * 0.9 - 5.0137, 6)).alias("temperature_2m"),
+        F.when(k % 13 != 0, F.round(F.col("d") * 1000 + 0.137, 6)).alias("relative_humidity_2m"),
         F.when(k % 509 == 0, 150.0).otherwise(F.round(F.col("x") * 500, 6)).alias("wind_speed_10m"),
         (k * 37 % 360).cast("double").alias("wind_direction_10m"),
         F.when(k % 499 == 0, 1400.0).otherwise(980 + F.col("p") / 1500).alias("surface_pressure"),

@@ -45,8 +45,8 @@ g AS (
   FROM lineitem GROUP BY 1, 2),
 w AS (
   SELECT station_id, time,
-    CASE WHEN k % 11 <> 0 THEN round(q * 0.9 - 5, 6) END AS temperature_2m,
-    CASE WHEN k % 13 <> 0 THEN round(d * 1000, 6) END AS relative_humidity_2m,
+    CASE WHEN k % 11 <> 0 THEN round(q * 0.9 - 5.0137, 6) END AS temperature_2m,
+    CASE WHEN k % 13 <> 0 THEN round(d * 1000 + 0.137, 6) END AS relative_humidity_2m,
     CASE WHEN k % 509 = 0 THEN 150.0 ELSE round(x * 500, 6) END AS wind_speed_10m,
     CAST(k * 37 % 360 AS DOUBLE) AS wind_direction_10m,
     CASE WHEN k % 499 = 0 THEN 1400.0 ELSE 980 + p / 1500 END AS surface_pressure,
