@@ -260,7 +260,7 @@ def neighbours(
     # Written as SQL text: one call per expression instead of one per operator
     # keeps building the plan of a wide table fast.
     in_cell = f"PARTITION BY {names([*keys, BUCKET])}"
-    in_series = f"PARTITION BY {names(keys)}" if keys else ""
+    in_series = f"PARTITION BY {names(keys)}"
     so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     up = f"({in_cell} ORDER BY `{time}` {so_far})"
     down = f"({in_cell} ORDER BY `{time}` DESC {so_far})"

@@ -1316,13 +1316,14 @@ def f_mean(spark, d):
 @query(
     "F10_compare_models",
     S.query(
-        S.LEVEL_FORECAST,
-        f"""SELECT station_id, model, {S.quantised(_METRICS)}, """
+        S.LEVEL_FORECAST
+        + f",\nmq AS (SELECT station_id, model, {S.quantised(_METRICS)} FROM me)",
+        f"""SELECT station_id, model, {", ".join(_METRICS)}, """
         + ", ".join(
             f"row_number() OVER (PARTITION BY station_id ORDER BY {m}, model) = 1 AS best_{m}"
             for m in _METRICS
         )
-        + " FROM me",
+        + " FROM mq",
     ),
 )
 def f_compare(spark, d):
@@ -1330,7 +1331,8 @@ def f_compare(spark, d):
     metrics = evaluate.forecast_metrics(
         test_part(parts), two_forecasts(parts), MEAN_T, by_position=True
     )
-    return quantised(evaluate.compare_models(metrics), *_METRICS)
+    # Rounded first: equal errors must tie in both engines.
+    return evaluate.compare_models(quantised(metrics, *_METRICS))
 
 
 @query(
