@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The sketch is off by at most one part in this many ranks; twice that is kept
-# on either side of the wanted rank.
+# on either side of the wanted rank.  In a group so small that this margin is
+# only a few ranks wide, every value is a candidate.
 SKETCH_ACCURACY = 1000
 _MARGIN = 2.0 / SKETCH_ACCURACY
+SMALL_GROUP = 10 * SKETCH_ACCURACY
 
 
 def exact_quantiles(
@@ -24,7 +26,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with a column per wanted quantile, linear between ranks."""
     group = list(group)
-    known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+    known = df.where(F.col(value).isNotNull()).select(
+        *group, F.col(value).cast("double").alias("_v")
+    )
     # Values repeat (readings have few decimals), so they are counted first.
     distinct = known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
@@ -36,7 +40,11 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [float(e) for e in edges], SKETCH_ACCURACY).alias("_edges"),
     )
-    # The first and last kept values of each range close it on both sides.
+    small = F.col("_n") < SMALL_GROUP
+
+    def edge(i: int, everything: str) -> Column:
+        return F.when(small, F.lit(float(everything))).otherwise(F.get("_edges", F.lit(i)))
+
     ranges = sketch.select(
         *group,
         "_n",
@@ -44,8 +52,8 @@ def exact_quantiles(
             F.array(
                 *[
                     F.struct(
-                        F.col("_edges")[2 * i].alias("low"),
-                        F.col("_edges")[2 * i + 1].alias("high"),
+                        edge(2 * i, "-inf").alias("low"),
+                        edge(2 * i + 1, "inf").alias("high"),
                         (F.lit(float(q)) * (F.col("_n") - 1)).alias("rank"),
                     )
                     for i, q in enumerate(wanted.values())
@@ -68,7 +76,7 @@ def exact_quantiles(
         "_upto", F.col("_below") + F.sum("_c").over(order)
     )
 
-    def at(rank):
+    def at(rank: Column) -> Column:
         """Smallest candidate value that covers a zero-based rank."""
         return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 

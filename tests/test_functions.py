@@ -28,9 +28,9 @@ def value(spark, column):
     [
         (26.6, 80.0, 26.6),
         (30.0, 39.9, 30.0),
-        # 30 C is 86 F; the regression at 86 F and 70 percent is 95.09 F.
-        (30.0, 70.0, 35.0487),
-        (26.7, 40.0, 26.9188),
+        # Worked out term by term: 86 F, 70 percent give 95.070 F; 80.06 F, 40 percent 79.971 F.
+        (30.0, 70.0, (95.0703 - 32) / 1.8),
+        (26.7, 40.0, (79.9708 - 32) / 1.8),
     ],
 )
 def test_heat_index(spark, t, rh, expected):
