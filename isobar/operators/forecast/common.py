@@ -52,11 +52,14 @@ def tail_arrays(
 def second_moments(columns: Sequence[str]) -> tuple[list[Column], list[Column]]:
     """Aggregates for a regression: means, and central second moments of all pairs.
 
-    The built-in covariance updates and merges without cancellation, so neither
-    a centring pass nor a wide matrix in Python is needed.
+    The columns must be complete and lie around zero: plain sums are the
+    cheapest to keep, and shifted columns lose no digits to them.
     """
     means = [F.avg(c) for c in columns]
-    moments = [F.covar_pop(a, b) for a, b in combinations_with_replacement(columns, 2)]
+    moments = [
+        F.expr(f"sum(`{a}` * `{b}`) / count(1) - avg(`{a}`) * avg(`{b}`)")
+        for a, b in combinations_with_replacement(columns, 2)
+    ]
     return means, moments
 
 

@@ -97,9 +97,24 @@ def lag_regression(
     train = train_rows(split)
     columns = [*ml_feature_names(), target]
     features = ml_feature_frame(train, target, keys).dropna(subset=[target])
+    # Everything but the calendar terms is near the overall mean of the target.
+    center = train.select(F.avg(target)).scalar()
+    shifts = {c: center for c in columns} | {
+        "month": F.lit(6.5),
+        "sin_dayofyear": F.lit(0.0),
+        "cos_dayofyear": F.lit(0.0),
+    }
+    shifted = features.select(*keys, *[(F.col(c) - shifts[c]).alias(c) for c in columns])
     means, moments = second_moments(columns)
-    fitted = features.groupBy(*keys).agg(
-        F.array(*means).alias("_means"), F.array(*moments).alias("_moments")
+    summed = shifted.groupBy(*keys).agg(
+        F.array(*means).alias("_off"), F.array(*moments).alias("_moments")
+    )
+    fitted = summed.select(
+        *keys,
+        "_moments",
+        F.array(*[F.get("_off", F.lit(i)) + shifts[c] for i, c in enumerate(columns)]).alias(
+            "_means"
+        ),
     )
     history = train.select(*keys, "time", F.col(target).cast("double").alias("y"))
     per_key = (
