@@ -70,12 +70,24 @@ class Words:
 
     def hashes(self, folded: np.ndarray) -> np.ndarray:
         """Hash of each word, of the bytes in ``folded`` (same places as the text's)."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(len(folded) + 1, np.uint64)
-        np.cumsum(_MIX[folded] * _power("up", _BASE, len(folded)), out=sums[1:])
-        plain = (sums[self.ends] - sums[self.starts]) * _power("down", _INVERSE, len(folded))[self.starts]
-        return mixed(plain + (self.ends - self.starts).astype(np.uint64))
+        return range_hashes(folded, self.starts, self.ends)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_MIX[data] * _power("up", _BASE, len(data)), out=sums[1:])
+    down = _power("down", _INVERSE, len(data) + 1)
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def sums_by_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of each text's bytes are flagged."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
