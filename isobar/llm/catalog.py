@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, simhash
+from . import language, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +37,9 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_language_id")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     return language.predict_languages(table(spark, d, "documents"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    found = quality.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.select("doc_id", *quality.STATISTICS, "base_failed", "kept")
