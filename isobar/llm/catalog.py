@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, simhash
+from . import contamination, language, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,9 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
 def op3(spark: SparkSession, d: str) -> DataFrame:
     found = quality.judge(table(spark, d, "documents"), table(spark, d, "labels"))
     return found.select("doc_id", *quality.STATISTICS, "base_failed", "kept")
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    found = contamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "windows", "changed")

@@ -46,12 +46,11 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of some texts: byte ranges, the text each is in, and 64-bit hashes.
 
-    ``inside`` tells for each byte value whether it belongs to words.
+    ``member`` tells for each byte whether it belongs to a word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
         self.data, self.offsets = data, offsets
-        member = inside[data]
         before, after = np.zeros_like(member), np.zeros_like(member)
         before[1:], after[:-1] = member[:-1], member[1:]
         filled = offsets[1:] > offsets[:-1]
@@ -110,6 +109,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def hash_of(word: str) -> int:
+    """The hash that a word of these characters has in a text."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(range_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` neighbours, wherever texts begin and end."""
     n = len(hashes) - size + 1
