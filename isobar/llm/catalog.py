@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, quality, simhash
+from . import contamination, language, pii, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,19 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 def op6(spark: SparkSession, d: str) -> DataFrame:
     found = contamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.select("doc_id", "item_id", "covered", "windows", "changed")
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find(table(spark, d, "documents"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("exact", lambda x: x["k"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
+
+    counts = map(count, (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_text(F.col("exact")), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"),
+    )
