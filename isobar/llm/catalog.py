@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, pii, quality, simhash
+from . import contamination, language, licenses, pii, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,8 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(pii.span_text(F.col("exact")), 256).alias("base_sha256"),
         pii.span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op8_license_scan", licenses.oracle_sql())
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(table(spark, d, "documents").select("doc_id", "text")).drop("text")
