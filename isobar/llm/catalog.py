@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, licenses, pii, quality, simhash
+from . import contamination, language, licenses, pii, quality, simhash, toolcalls, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +70,15 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_license_scan", licenses.oracle_sql())
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op1_url_filters", urls.oracle_sql())
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_chat_formatting", toolcalls.ORACLE)
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    tools = spark.createDataFrame(toolcalls.REPLY, toolcalls.SCHEMAS)
+    linked = toolcalls.link(toolcalls.dialogue(table(spark, d, "conversations")), tools)
+    return linked.withColumn("errors", F.array_join("errors", ","))
