@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, licenses, pii, quality, simhash, toolcalls, urls
+from . import contamination, language, licenses, pieces, pii, quality, simhash, toolcalls, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +82,9 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     tools = spark.createDataFrame(toolcalls.REPLY, toolcalls.SCHEMAS)
     linked = toolcalls.link(toolcalls.dialogue(table(spark, d, "conversations")), tools)
     return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    coded = pieces.encode(table(spark, d, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "exact")
