@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, licenses, pieces, pii, quality, simhash, toolcalls, urls
+from . import contamination, language, licenses, lines, pieces, pii, quality, simhash, toolcalls, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,8 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 def op2(spark: SparkSession, d: str) -> DataFrame:
     coded = pieces.encode(table(spark, d, "documents").select("doc_id", "text"))
     return coded.select("doc_id", "n_tokens", "ids_sha256", "exact")
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return lines.line_report(table(spark, d, "documents"))
