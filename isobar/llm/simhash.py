@@ -221,6 +221,15 @@ def links(
     return cells.select("fps").mapInArrow(_stars(radius), "a bigint, b bigint")
 
 
+def _grouped(docs: DataFrame, radius: int, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The ``keep`` columns and ``fp`` of every row, and the ``root`` of every ``fp``."""
+    use_checkpoints(docs.sparkSession)
+    rows = fingerprints(docs, "text", *keep).checkpoint()
+    distinct = rows.select("fp").distinct()
+    reached = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return rows, distinct.join(reached, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
@@ -230,13 +239,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     part; the component is null only if no linked row has an id.  Repeated rows stay.
     Other columns are ignored.
     """
-    use_checkpoints(docs.sparkSession)
-    rows = fingerprints(docs, "text", "doc_id").checkpoint()
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    reached = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(reached, distinct.fp == reached.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rows, roots = _grouped(docs, radius, "doc_id")
+    # Ids are counted down per fingerprint first: many rows may share one.
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = roots.join(first, "fp")
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id"
@@ -244,18 +250,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest ``doc_id``.
+    """One row of each near-duplicate group: that of the smallest ``doc_id``, columns unchanged.
 
-    Among repeated rows of that id, the one with the smallest text stays.  A row
-    with a null ``doc_id`` stays only if its group has no id at all.
+    A null id comes last.  Among rows of one id, the smallest hash of all columns
+    decides; of equal rows one stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), radius).select("doc_id", "component_id").distinct()
-    single = docs.withColumn("_h", F.xxhash64(*docs.columns))
-    named = single.where("doc_id IS NOT NULL").join(
-        found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi"
-    )
-    first = named.groupBy("doc_id").agg(F.min(F.struct("text", "_h")).alias("_first")).select(
-        "doc_id", F.col("_first._h").alias("_h")
-    )
-    kept = named.join(first, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
-    return kept.select(*docs.columns)
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    rows, roots = _grouped(marked.select("doc_id", "_row", "text"), radius, "doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    by_print = rows.groupBy("fp").agg(F.min(order).alias("o"))
+    chosen = by_print.join(roots, "fp").groupBy("root").agg(F.min("o").alias("o"))
+    chosen = chosen.select(F.col("o.doc_id").alias("_id"), F.col("o._row").alias("_chosen"))
+    same = marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked["_row"] == chosen["_chosen"])
+    return marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
