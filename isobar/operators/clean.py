@@ -64,6 +64,15 @@ def _imputed(
     return near.selectExpr(*[filled(c) for c in df.columns], BUCKET, *extra)
 
 
+def _with_unplaced(done: DataFrame, df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """``done`` and, unfilled, the rows of ``df`` that lack a key or a time.
+
+    They belong to no place in a series, but a cleaning step loses no rows.
+    """
+    lacking = " OR ".join(f"`{c}` IS NULL" for c in (*keys, time))
+    return done.unionByName(df.where(lacking), allowMissingColumns=True)
+
+
 def interpolate_linear(
     df: DataFrame,
     keys: Sequence[str] = DEFAULT_KEYS,
@@ -74,10 +83,11 @@ def interpolate_linear(
     """Fill gaps of numeric columns linearly by row position.
 
     Leading gaps take the first known value, trailing gaps the last; an all-null
-    series stays null.  Elapsed time plays no part.
+    series stays null.  Elapsed time plays no part.  Rows without a key or a
+    time stay as they are.
     """
     columns = list(columns or numeric_columns(df, exclude=(*keys, time)))
-    return _imputed(df, keys, time, unit, columns, ()).drop(BUCKET)
+    return _with_unplaced(_imputed(df, keys, time, unit, columns, ()).drop(BUCKET), df, keys, time)
 
 
 def fill_forward_backward(
@@ -87,9 +97,12 @@ def fill_forward_backward(
     time: str = "time",
     unit: str = "month",
 ) -> DataFrame:
-    """Fill nulls of any type with the last known value, else the next one."""
+    """Fill nulls of any type with the last known value, else the next one.
+
+    Rows without a key or a time stay as they are.
+    """
     columns = list(columns or [c for c in df.columns if c not in (*keys, time)])
-    return _imputed(df, keys, time, unit, (), columns).drop(BUCKET)
+    return _with_unplaced(_imputed(df, keys, time, unit, (), columns).drop(BUCKET), df, keys, time)
 
 
 def missing_report(
@@ -190,7 +203,8 @@ def clean_cells(
 
     One exchange moves the readings, on ``(keys, _bucket)``.  The summary of the
     cells brings each cell both what it needs from its neighbours and the bounds
-    of the whole series, so filling and capping happen in one pass.
+    of the whole series, so filling and capping happen in one pass.  Rows without a
+    key or a time have no cell and are left out.
     """
     parsed = parse_time(df, time)
     linear = numeric_columns(parsed, exclude=(*keys, time))
@@ -216,8 +230,13 @@ def clean_hourly(
     threshold: float = 3.0,
     unit: str = "month",
 ) -> DataFrame:
-    """Parse, fill gaps, cap outliers and add ``feels_like``, in this order."""
-    return clean_cells(df, keys, time, threshold, unit).drop(BUCKET)
+    """Parse, fill gaps, cap outliers and add ``feels_like``, in this order.
+
+    Rows without a key or a time stay, unfilled and uncapped.
+    """
+    clean = clean_cells(df, keys, time, threshold, unit).drop(BUCKET)
+    parsed = parse_time(df, time)
+    return _with_unplaced(clean, parsed.withColumn("feels_like", feels_like_of(parsed)), keys, time)
 
 
 def regularize_daily(

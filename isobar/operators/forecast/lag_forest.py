@@ -8,47 +8,88 @@ gives other trees and so other numbers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ...functions.calendar import seasonal_encoding
 from ...schema import DEFAULT_KEYS, PLACE_COLUMNS
-from ...storage import use_checkpoints
+from ...storage import shared_folder, use_checkpoints
 from ..timeseries import LAGS, ROLLING, ml_feature_frame, ml_feature_names
-from .common import Z95, days_after, extent, forecast_rows, tail_arrays, train_rows
-
-# Plans grow by one prediction per step; they are cut after this many.
-CHECKPOINT_EVERY = 10
+from .common import Z95, extent, forecast_rows, tail_arrays, train_rows
 
 # Trees and seed of the forest.
 TREES = 100
 SEED = 42
+# Levels of a tree: a leaf of a full tree then holds one row of 65,536.
+DEPTH = 16
 
 
-def _next_features(history: Column, time: Column) -> dict[str, Column]:
-    """Features of the day ``time`` from the values before it, 0.0 where out of reach."""
-    sine, cosine = seasonal_encoding(time)
-    size = F.size(history)
-
-    def lag(k: int) -> Column:
-        return F.coalesce(F.when(size >= k, F.get(history, size - k)), F.lit(0.0))
+class _Nodes:
+    """The trees of a forest as arrays: one row per tree, one column per node.
 
-    def rolling(k: int) -> Column:
-        latest = F.slice(history, size - k + 1, F.lit(k))
-        total = F.aggregate(latest, F.lit(0.0), lambda total, v: total + v)
-        return F.coalesce(F.when(size >= k, total / k), F.lit(0.0))
+    Their number is bounded by the forest's settings, not by the data: at most
+    ``trees * 2 ** (depth + 1)`` nodes.
+    """
 
-    return {
-        "month": F.month(time).cast("double"),
-        "sin_dayofyear": sine,
-        "cos_dayofyear": cosine,
-        **{f"lag_{k}": lag(k) for k in LAGS},
-        **{f"rolling_mean_{k}": rolling(k) for k in ROLLING},
-    }
+    def __init__(self, table: pd.DataFrame, trees: int):
+        shape = (trees, int(table["id"].max()) + 1)
+        tree, node = table["tree"].to_numpy(), table["id"].to_numpy()
+        self.feature = np.zeros(shape, np.int16)
+        self.cut = np.full(shape, np.inf)
+        self.left, self.right = (np.tile(np.arange(shape[1], dtype=np.int32), (trees, 1)) for _ in range(2))
+        self.value = np.zeros(shape)
+        self.value[tree, node] = table["prediction"]
+        inner = (table["left"] >= 0).to_numpy()
+        at = tree[inner], node[inner]
+        self.feature[at], self.cut[at] = table["feature"][inner], table["cut"][inner]
+        self.left[at], self.right[at] = table["left"][inner], table["right"][inner]
+
+    def predict(self, rows: np.ndarray) -> np.ndarray:
+        """Mean of all trees for each row of features."""
+        tree = np.arange(len(self.feature))[None, :]
+        each = np.arange(len(rows))[:, None]
+        node = np.zeros((len(rows), len(self.feature)), np.int32)
+        while True:
+            low = rows[each, self.feature[tree, node]] <= self.cut[tree, node]
+            below = np.where(low, self.left[tree, node], self.right[tree, node])
+            if np.array_equal(below, node):
+                return self.value[tree, node].mean(axis=1)
+            node = below
+
+
+def _nodes_of(spark: SparkSession, model: RandomForestRegressionModel, trees: int) -> _Nodes:
+    """Node arrays of a fitted forest, by way of its stored form."""
+    path = f"{shared_folder(spark).rstrip('/')}/isobar-forest-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    node = F.col("nodeData")
+    table = data.select(
+        F.col("treeID").alias("tree"),
+        node["id"].alias("id"),
+        node["prediction"].alias("prediction"),
+        node["leftChild"].alias("left"),
+        node["rightChild"].alias("right"),
+        node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
+    ).toPandas()
+    return _Nodes(table, trees)
+
+
+def _features(past: np.ndarray, days: pd.DatetimeIndex, places: np.ndarray) -> np.ndarray:
+    """Features of one day per key from the latest values, 0.0 where out of reach."""
+    angle = 2 * np.pi * days.dayofyear.to_numpy() / 365.25
+    lags = [past[:, -k] for k in LAGS]
+    rolling = [past[:, -k:].sum(axis=1) / k for k in ROLLING]
+    known = np.nan_to_num(np.stack([*lags, *rolling], axis=1))
+    season = np.stack([days.month.to_numpy(float), np.sin(angle), np.cos(angle)], axis=1)
+    return np.concatenate((season, known, places), axis=1)
 
 
 def forecast_lag_forest(
@@ -57,13 +98,13 @@ def forecast_lag_forest(
     target: str = "temperature_2m_mean",
     keys: Sequence[str] = DEFAULT_KEYS,
     trees: int = TREES,
-    depth: int = 8,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Recursive forest forecast with a constant residual band.
 
-    Every step predicts one day for all keys at once, on one row per key.
-    Checkpoints in the shared folder keep the plan short and let the work
-    survive lost executors.  Training and the steps run when this is called.
+    Training runs when this is called.  Forecasting is one pass over one row per
+    key: each step predicts a day for all keys of a batch at once from the trees'
+    node arrays.  ``trees`` and ``depth`` are settings of the model.
     """
     use_checkpoints(split.sparkSession)
     train = train_rows(split)
@@ -95,34 +136,29 @@ def forecast_lag_forest(
         F.stddev_pop(F.col(target) - F.col("_predicted")).alias("residual_std")
     )
 
-    ends = extent(split, forecast_days, keys)
-    horizon = ends.agg(F.max("steps")).first()[0] or 0
+    nodes = _nodes_of(split.sparkSession, model, trees)
+    reach = max(*LAGS, *ROLLING)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def ahead(tail: pd.Series, last: pd.Series, steps: pd.Series, place: pd.Series) -> pd.Series:
+        past = np.full((len(tail), reach), np.nan)
+        for i, values in enumerate(tail):
+            past[i, reach - len(values) :] = values
+        fixed = np.vstack(place.to_numpy()).astype(float)
+        start = pd.DatetimeIndex(last)
+        found = []
+        for step in range(1, int(steps.max()) + 1):
+            rows = _features(past, start + pd.Timedelta(days=step), fixed)
+            found.append(nodes.predict(rows))
+            past = np.concatenate((past[:, 1:], found[-1][:, None]), axis=1)
+        path = np.stack(found, axis=1)
+        return pd.Series([p[:n] for p, n in zip(path, steps, strict=True)])
+
     history = train.select(*keys, "time", F.col(target).cast("double").alias("y"))
+    ends = extent(split, forecast_days, keys)
     state = with_place(
-        ends.join(tail_arrays(history, ["y"], max(LAGS), keys), list(keys)).join(spread, list(keys))
-    ).withColumn("predictions", F.array().cast("array<double>"))
-    kept = state.columns
-    for step in range(1, horizon + 1):
-        day = days_after(F.col("last_time"), F.lit(step))
-        known = F.col("tail_y")
-        features = _next_features(known, day)
-        asked = assemble.transform(state.select("*", *[c.alias(n) for n, c in features.items()]))
-        value = F.array("_predicted")
-        size = F.least(F.size(known), F.lit(max(LAGS) - 1))
-        latest = F.slice(known, F.size(known) - size + 1, size)
-        state = model.transform(asked).select(
-            [
-                F.concat(latest, value).alias(c)
-                if c == "tail_y"
-                else F.concat(c, value).alias(c)
-                if c == "predictions"
-                else F.col(c)
-                for c in kept
-            ]
-        )
-        if step % CHECKPOINT_EVERY == 0:
-            state = state.checkpoint()
-    reached = state.withColumn("predictions", F.slice("predictions", F.lit(1), F.col("steps")))
-    return forecast_rows(
-        reached, "random_forest", keys, "predictions", Z95 * F.col("residual_std")
+        ends.join(tail_arrays(history, ["y"], reach, keys), list(keys)).join(spread, list(keys))
     )
+    known_places = F.array(*[F.col(c).cast("double") for c in places]) if places else F.array().cast("array<double>")
+    solved = state.withColumn("predictions", ahead("tail_y", "last_time", "steps", known_places))
+    return forecast_rows(solved, "random_forest", keys, "predictions", Z95 * F.col("residual_std"))

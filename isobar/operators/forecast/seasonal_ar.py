@@ -29,6 +29,7 @@ from .common import (
     tail_arrays,
     train_rows,
 )
+from .simple import forecast_mean
 
 # Weekly season, largest orders tried, orders used without a search.
 SEASON = 7
@@ -190,14 +191,20 @@ def order_search(
     keys: Sequence[str] = DEFAULT_KEYS,
 ) -> DataFrame:
     """``(keys, p, q, aicc, best)`` for all orders up to three, weekly and daily
-    differences taken.  Keys too short for any order do not appear as best."""
-    fits = _candidates(_daily(train_rows(split), target, keys), keys, seasonal=True)
-    chosen = fits.groupBy(*keys).agg(
+    differences taken.
+
+    An order that a key is too short for has no ``aicc`` and is never best.  A key
+    too short for any lagged row has one row without an order.
+    """
+    train = train_rows(split)
+    fits = _candidates(_daily(train, target, keys), keys, seasonal=True)
+    usable = fits.where(F.col("aicc").isNotNull())
+    chosen = usable.groupBy(*keys).agg(
         F.min_by(F.struct("p", "q"), F.struct("aicc", "p", "q")).alias("_best")
     )
-    joined = fits.where(F.col("aicc").isNotNull()).join(chosen, list(keys))
+    joined = train.select(*keys).distinct().join(fits, list(keys), "left").join(chosen, list(keys), "left")
     best = (F.col("p") == F.col("_best.p")) & (F.col("q") == F.col("_best.q"))
-    return joined.select(*keys, "p", "q", "aicc", best.alias("best"))
+    return joined.select(*keys, "p", "q", "aicc", F.coalesce(best, F.lit(False)).alias("best"))
 
 
 @F.pandas_udf(
@@ -269,8 +276,8 @@ def forecast_seasonal_ar(
     """Daily forecasts with a 95 percent band that widens with the horizon.
 
     ``search`` picks the order with the lowest corrected information criterion
-    for each key; otherwise the fixed order is used.  Keys too short to fit
-    give no rows.
+    for each key; otherwise the fixed order is used.  Keys too short to fit get
+    the mean forecast over the same days, as model ``seasonal_ar_mean``.
     """
     daily = _daily(train_rows(split), target, keys)
     fits = _candidates(daily, keys, seasonal=search)
@@ -286,9 +293,10 @@ def forecast_seasonal_ar(
         chosen = fits.where((F.col("p") == p) & (F.col("q") == q)).select(
             *keys, "level", "weights", "variance", "_phi"
         )
+    days = extent(split, forecast_days, keys)
     per_key = (
         chosen.join(tail_arrays(daily, ["_y"], _TAIL + REACH, keys), list(keys))
-        .join(extent(split, forecast_days, keys), list(keys))
+        .join(days, list(keys))
         .withColumn("_weekly", F.lit(1.0 if search else 0.0))
     )
     run = _run_forward(
@@ -296,7 +304,7 @@ def forecast_seasonal_ar(
     )
     solved = per_key.select(*keys, "last_time", run.alias("_out"))
     pairs = F.arrays_zip(F.col("_out.path").alias("path"), F.col("_out.spread").alias("spread"))
-    return solved.select(*keys, "last_time", F.posexplode(pairs).alias("_i", "_at")).select(
+    fitted = solved.select(*keys, "last_time", F.posexplode(pairs).alias("_i", "_at")).select(
         *keys,
         F.lit("seasonal_ar").alias("model"),
         days_after(F.col("last_time"), F.col("_i") + 1).alias("time"),
@@ -304,3 +312,8 @@ def forecast_seasonal_ar(
         (F.col("_at.path") - Z95 * F.col("_at.spread")).alias("lower_ci"),
         (F.col("_at.path") + Z95 * F.col("_at.spread")).alias("upper_ci"),
     )
+    short = days.join(chosen.select(*keys), list(keys), "left_anti")
+    rest = split.join(short.select(*keys, "steps"), list(keys))
+    return fitted.unionByName(
+        forecast_mean(rest, F.col("steps"), target, keys).withColumn("model", F.lit("seasonal_ar_mean"))
+    )

@@ -1,9 +1,9 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one
-task.  Here a bounded sketch only says where a quantile must lie; the exact
-value is then read off the few distinct values in that narrow range, with
-everything below it counted.
+task.  Here a bounded sketch only says where a quantile should lie.  Counts check
+that the wanted rank is in that range, further counts by small steps of it find
+the step, and only the distinct values of that step are put in order.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The sketch is off by at most one part in this many ranks; twice that is kept
-# on either side of the wanted rank.  In a group so small that this margin is
-# only a few ranks wide, every value is a candidate.
+# on either side of the wanted rank.
 SKETCH_ACCURACY = 1000
 _MARGIN = 2.0 / SKETCH_ACCURACY
-SMALL_GROUP = 10 * SKETCH_ACCURACY
+# A range is cut into so many steps of equal width; only the steps that hold the
+# wanted ranks are ordered value by value.
+_STEPS = 4096
 
 
 def exact_quantiles(
@@ -38,42 +39,73 @@ def exact_quantiles(
         edges += [max(q - _MARGIN, 0.0), min(q + _MARGIN, 1.0)]
     sketch = known.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_least"),
+        F.max("_v").alias("_most"),
         F.percentile_approx("_v", [float(e) for e in edges], SKETCH_ACCURACY).alias("_edges"),
     )
-    small = F.col("_n") < SMALL_GROUP
-
-    def edge(i: int, everything: str) -> Column:
-        return F.when(small, F.lit(float(everything))).otherwise(F.get("_edges", F.lit(i)))
-
     ranges = sketch.select(
         *group,
-        "_n",
+        "_least",
+        "_most",
         F.posexplode(
             F.array(
                 *[
                     F.struct(
-                        edge(2 * i, "-inf").alias("low"),
-                        edge(2 * i + 1, "inf").alias("high"),
+                        F.get("_edges", F.lit(2 * i)).alias("low"),
+                        F.get("_edges", F.lit(2 * i + 1)).alias("high"),
                         (F.lit(float(q)) * (F.col("_n") - 1)).alias("rank"),
                     )
                     for i, q in enumerate(wanted.values())
                 ]
             )
         ).alias("_i", "_range"),
-    ).select(*group, "_n", "_i", "_range.*")
+    ).select(*group, "_least", "_most", "_i", "_range.*")
 
+    per_range = [*group, "_i"]
+    # The rank must lie in the range that the sketch names; where it does not, the
+    # range is the whole group.
     placed = distinct.join(ranges, group)
-    inside = F.col("_v").between(F.col("low"), F.col("high"))
     below = F.sum(F.when(F.col("_v") < F.col("low"), F.col("_c")).otherwise(0))
-    per_range = [*group, "_i"]
-    counted = placed.groupBy(*per_range).agg(
-        below.alias("_below"),
-        F.min("rank").alias("rank"),
+    within = F.sum(F.when(F.col("_v").between(F.col("low"), F.col("high")), F.col("_c")).otherwise(0))
+    counted = placed.groupBy(*per_range, "rank", "low", "high", "_least", "_most").agg(
+        below.alias("_below"), within.alias("_within")
+    )
+    holds = (F.col("_below") <= F.floor("rank")) & (F.col("_below") + F.col("_within") > F.ceil("rank"))
+    sure = counted.select(
+        *per_range,
+        "rank",
+        F.when(holds, F.col("low")).otherwise(F.col("_least")).alias("low"),
+        F.when(holds, F.col("high")).otherwise(F.col("_most")).alias("high"),
+        F.when(holds, F.col("_below")).otherwise(0).alias("_below"),
+    )
+    step = F.when(
+        F.col("high") > F.col("low"),
+        F.least(
+            F.floor((F.col("_v") - F.col("low")) / (F.col("high") - F.col("low")) * _STEPS),
+            F.lit(_STEPS - 1),
+        ),
+    ).otherwise(F.lit(0))
+    candidates = (
+        distinct.join(sure, group)
+        .where(F.col("_v").between(F.col("low"), F.col("high")))
+        .select(*per_range, "rank", "_below", "_v", "_c", step.cast("long").alias("_step"))
+    )
+    # Counts by step are few rows; a running sum over them finds the wanted steps.
+    upto = Window.partitionBy(*per_range).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = (
+        candidates.groupBy(*per_range, "_step", "rank", "_below")
+        .agg(F.sum("_c").alias("_in_step"))
+        .withColumn("_start", F.col("_below") + F.sum("_in_step").over(upto) - F.col("_in_step"))
+        .where(
+            (F.col("_start") <= F.ceil("rank")) & (F.col("_start") + F.col("_in_step") > F.floor("rank"))
+        )
+        .select(*per_range, "_step", "_start")
+    )
+    order = (
+        Window.partitionBy(*per_range, "_step").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    candidates = placed.where(inside).select(*per_range, "_v", "_c")
-    order = Window.partitionBy(*per_range).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = candidates.join(counted, per_range).withColumn(
-        "_upto", F.col("_below") + F.sum("_c").over(order)
+    ranked = candidates.join(steps, [*per_range, "_step"]).withColumn(
+        "_upto", F.col("_start") + F.sum("_c").over(order)
     )
 
     def at(rank: Column) -> Column:

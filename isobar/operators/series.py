@@ -63,22 +63,6 @@ def in_cells(
     return df.withColumn(BUCKET, bucket).where(every)
 
 
-def choose_unit(
-    df: DataFrame, keys: Sequence[str], time: str = "time", max_rows: int = 1_000_000
-) -> str:
-    """Coarsest calendar unit whose fullest cell stays below ``max_rows`` rows.
-
-    Brings one number per tried unit to the driver.
-    """
-    daily = df.groupBy(*keys, F.to_date(time).alias("_day")).agg(F.count(F.lit(1)).alias(_ROWS))
-    for unit in ("year", "month"):
-        cells = daily.groupBy(*keys, F.trunc("_day", unit).alias(BUCKET))
-        fullest = cells.agg(F.sum(_ROWS).alias(_ROWS)).agg(F.max(_ROWS)).first()[0]
-        if (fullest or 0) <= max_rows:
-            return unit
-    return "day"
-
-
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -130,9 +114,10 @@ def with_blocks(
     ``before`` and ``after`` are how many rows a frame looks back and ahead.
     ``_core`` marks the one copy that belongs to its block; the others are
     context, to be dropped with :func:`core_only` once the frames are computed.
+    Blocks are as long as the longest frame at least, so one reaches no further
+    than the next.
     """
-    if max(before, after) > block_rows:
-        raise ValueError("a frame must not reach beyond one neighbouring block")
+    block_rows = max(block_rows, before, after)
     own = F.floor(F.col(POSITION) / block_rows)
     inside = F.col(POSITION) % block_rows
     targets = [own]
@@ -156,6 +141,7 @@ def with_day_blocks(
     One row a day makes the day number a position, so the rows need no counting:
     this is a projection, and the window over the blocks is the only exchange.
     """
+    block_rows = max(block_rows, before)
     day = F.unix_date(F.to_date(time)).cast("long")
     own = F.floor(F.col(POSITION) / block_rows)
     into_next = F.when(F.pmod(F.col(POSITION), F.lit(block_rows)) >= block_rows - before, own + 1)
@@ -199,30 +185,39 @@ def _line_sums(
 def _with_moments(cells: DataFrame, in_series: str, columns: Sequence[str]) -> DataFrame:
     """Whole-series mean and deviation of gap-filled columns, from one row per cell.
 
-    A cell's own sums cover its first to last known row.  To them come the gap
-    that leads to its first known row, and after the last known row of all the
-    level rest of the series.
+    A cell's own sums cover its first to last known row, of values less the first
+    known one.  They are moved to one reference per series, the least of these
+    firsts, so sums and squares stay as small as the series' spread and no digits
+    cancel at high levels.  To them come the gap that leads to the cell's first
+    known row, and after the last known row of all the level rest of the series.
     """
-    other = [c for c in cells.columns if not any(c == f"_{n}_{x}" for n in _MOMENT_PARTS for x in columns)]
+    cells = cells.selectExpr(
+        "*", *[f"min(`_first_{c}`) OVER ({in_series}) AS `_ref_{c}`" for c in columns]
+    )
+    parts = (*_MOMENT_PARTS, "ref")
+    other = [c for c in cells.columns if not any(c == f"_{n}_{x}" for n in parts for x in columns)]
     totals = []
     for c in columns:
-        first, first_at = f"`_first_{c}`", f"({_BEFORE} + `_first_at_{c}`)"
-        last, last_at = f"`_last_{c}`", f"({_BEFORE} + `_last_at_{c}`)"
-        gap = _line_sums(
-            f"`_carry_prev_{c}`", f"`_carry_prev_at_{c}`", first, first_at, first, first_at
-        )
+        first, first_at = f"(`_first_{c}` - `_ref_{c}`)", f"({_BEFORE} + `_first_at_{c}`)"
+        last, last_at = f"(`_last_{c}` - `_ref_{c}`)", f"({_BEFORE} + `_last_at_{c}`)"
+        start = f"(`_carry_prev_{c}` - `_ref_{c}`)"
+        gap = _line_sums(start, f"`_carry_prev_at_{c}`", first, first_at, first, first_at)
+        rows = f"(`_last_at_{c}` - `_first_at_{c}` + 1)"
+        own = {
+            "s1": f"`_s1_{c}` + {rows} * {first}",
+            "s2": f"`_s2_{c}` + 2 * {first} * `_s1_{c}` + {rows} * {first} * {first}",
+        }
         rest = f"CASE WHEN `_carry_next_at_{c}` IS NULL THEN {LENGTH} - {last_at} ELSE 0 END"
         for power, line in (("s1", gap[0]), ("s2", gap[1])):
             value = {"s1": "{0}", "s2": "{0} * {0}"}[power]
-            known = (
-                f"`_{power}_{c}` + {line} - {value.format(first)} + {rest} * {value.format(last)}"
-            )
+            known = f"{own[power]} + {line} - {value.format(first)} + {rest} * {value.format(last)}"
             totals.append(f"sum({known}) OVER ({in_series}) AS `_{power}_{c}`")
+        totals.append(f"`_ref_{c}`")
     summed = cells.selectExpr(*[f"`{c}`" for c in other], *totals)
     n = LENGTH
     return summed.selectExpr(
         *[f"`{c}`" for c in other if c != LENGTH],
-        *[f"`_s1_{c}` / {n} AS `_mean_{c}`" for c in columns],
+        *[f"`_ref_{c}` + `_s1_{c}` / {n} AS `_mean_{c}`" for c in columns],
         *[
             f"nullif(sqrt(greatest(try_divide(`_s2_{c}` - `_s1_{c}` * `_s1_{c}` / {n}, {n} - 1), 0D)),"
             f" 0D) AS `_std_{c}`"
@@ -282,6 +277,7 @@ def neighbours(
             "*",
             *[f"last(`{c}`, true) OVER {before_row} AS `_from_{c}`" for c in moments],
             *[f"last({known(c)}, true) OVER {before_row} AS `_from_at_{c}`" for c in moments],
+            *[f"first(`{c}`, true) OVER {up} AS `_base_{c}`" for c in moments],
         )
     edges = measured.groupBy(*keys, BUCKET).agg(
         F.expr(f"count(1) AS {_ROWS}"),
@@ -295,7 +291,10 @@ def neighbours(
             for c in moments
             for power, part in zip(
                 ("s1", "s2"),
-                _line_sums(f"`_from_{c}`", f"`_from_at_{c}`", f"`{c}`", rank, f"`{c}`", 1),
+                _line_sums(
+                    f"(`_from_{c}` - `_base_{c}`)", f"`_from_at_{c}`",
+                    f"(`{c}` - `_base_{c}`)", rank, f"(`{c}` - `_base_{c}`)", 1,
+                ),
                 strict=True,
             )
         ],

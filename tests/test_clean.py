@@ -1,10 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import raw_hourly, to_pandas, to_spark
 from isobar.operators import clean, daily
-from isobar.operators.series import choose_unit
 from isobar.schema import CAPPED_READINGS
 
 
@@ -140,8 +140,32 @@ def test_one_exchange_moves_the_readings(spark, frame, tmp_path):
     assert any("ReusedExchange" in x and "_bucket" in x for x in lines)
 
 
-def test_unit_choice(spark, frame):
-    df = to_spark(spark, frame)
-    assert choose_unit(df, ["station_id"]) == "year"
-    assert choose_unit(df, ["station_id"], max_rows=1000) == "month"
-    assert choose_unit(df, ["station_id"], max_rows=20) == "day"
+@pytest.mark.parametrize("level, spread", [(1013.0, 8.0), (101_325.0, 0.5), (1e7, 0.01)])
+def test_bounds_keep_their_digits_at_high_levels(spark, level, spread):
+    rng = np.random.default_rng(3)
+    n = 3000
+    values = level + rng.normal(0, spread, n)
+    values[1234] = level + 1000 * spread
+    values[rng.random(n) < 0.2] = np.nan
+    frame = pd.DataFrame(
+        {"station_id": 1, "time": pd.date_range("2020-01-10", periods=n, freq="h"), "surface_pressure": values}
+    )
+    frame["temperature_2m"] = frame["relative_humidity_2m"] = frame["wind_speed_10m"] = 10.0
+    got = to_pandas(clean.clean_hourly(to_spark(spark, frame)))["surface_pressure"]
+    filled = frame["surface_pressure"].interpolate().bfill()
+    centred = filled - level
+    high = level + (centred.mean() + 3 * centred.std())
+    want = filled.clip(level + (centred.mean() - 3 * centred.std()), high)
+    np.testing.assert_allclose(got, want, rtol=0, atol=1e-9 * spread + 4 * np.spacing(level))
+
+
+def test_rows_without_a_time_or_key_stay(spark):
+    rows = [(1, "2020-01-01 00:00:00", 1.0), (1, "2020-01-01 01:00:00", None), (1, None, 7.0), (None, "2020-01-01 00:00:00", None)]
+    df = spark.createDataFrame(rows, "station_id long, time string, temperature_2m double").withColumn(
+        "time", F.col("time").cast("timestamp_ntz")
+    )
+    for step in (clean.interpolate_linear, clean.fill_forward_backward):
+        got = step(df).collect()
+        assert sorted(str(r.temperature_2m) for r in got) == ["1.0", "1.0", "7.0", "None"]
+    full = df.withColumn("relative_humidity_2m", F.lit(50.0)).withColumn("wind_speed_10m", F.lit(5.0))
+    assert clean.clean_hourly(full).count() == 4

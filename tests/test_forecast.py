@@ -99,25 +99,56 @@ def beats(split, table, mean):
 def test_seasonal_ar(split, mean):
     table = forecast_seasonal_ar(split, 90, "v", search=True)
     got = to_pandas(table)
-    check_shape(got, [1, 4], 90)
+    check_shape(got, [1, 2, 3, 4], 90)
+    assert got.groupby("station_id")["model"].first().to_dict() == {
+        1: "seasonal_ar", 2: "seasonal_ar_mean", 3: "seasonal_ar_mean", 4: "seasonal_ar",
+    }
     widths = (got["upper_ci"] - got["lower_ci"]).to_numpy()[:90]
     assert (np.diff(widths) >= 0).all()
     assert beats(split, table, mean) >= {1, 4}
     fixed = to_pandas(forecast_seasonal_ar(split, 30, "v"))
-    assert set(fixed["station_id"]) == {1, 2, 4}
+    assert set(fixed["station_id"]) == {1, 2, 3, 4}
+    plain = to_pandas(forecast_mean(split, 30, "v")).query("station_id == 3")
+    short = fixed[fixed["station_id"] == 3]
+    np.testing.assert_allclose(short["forecast"], plain["forecast"])
+    np.testing.assert_allclose(short["upper_ci"], plain["upper_ci"])
+
+
+def test_every_series_length_gets_a_forecast(spark):
+    lengths = [5, 9, 10, 30, 36, 45, 60, 370, 400]
+    parts = ts.train_test_split(to_spark(spark, seasonal_series(lengths)), 1)
+    wanted = dict.fromkeys(range(1, len(lengths) + 1), 7)
+    for search in (False, True):
+        got = to_pandas(forecast_seasonal_ar(parts, 7, "v", search=search))
+        assert got.groupby("station_id").size().to_dict() == wanted
+    for model in (forecast_lag_linear, forecast_mean):
+        assert to_pandas(model(parts, 7, "v")).groupby("station_id").size().to_dict() == wanted
+    forest = to_pandas(forecast_lag_forest(parts, 7, "v", trees=5))
+    assert forest.groupby("station_id").size().to_dict() == wanted
+    assert order_search(parts, "v").select("station_id").distinct().count() == len(lengths)
+
+
+def test_a_test_of_one_day_and_a_horizon_of_two(spark):
+    parts = ts.train_test_split(to_spark(spark, seasonal_series([5])), 1)
+    models = (forecast_lag_linear, forecast_seasonal_ar, forecast_mean)
+    for model in models:
+        assert len(to_pandas(model(parts, 2, "v"))) == 2
+    assert len(to_pandas(forecast_trend_seasonal(parts, 2, "v", include_history=False))) == 2
+    assert len(to_pandas(forecast_lag_forest(parts, 2, "v", trees=3))) == 2
 
 
 def test_order_search_marks_one_best(split):
     orders = order_search(split, "v").toPandas()
-    assert orders.groupby("station_id").size().to_dict() == {1: 16, 4: 16}
-    for _, one in orders.groupby("station_id"):
-        assert one["best"].sum() == 1
+    assert orders.groupby("station_id").size().to_dict() == {1: 16, 2: 1, 3: 1, 4: 16}
+    assert orders[orders["best"]].groupby("station_id").size().to_dict() == {1: 1, 4: 1}
+    for _, one in orders[orders["station_id"].isin([1, 4])].groupby("station_id"):
         assert one.loc[one["best"], "aicc"].iloc[0] == one["aicc"].min()
 
 
 def test_forest(split, mean):
-    table = forecast_lag_forest(split, 12, "v", trees=10, depth=5)
+    table = forecast_lag_forest(split, 12, "v", trees=10).cache()
     got = to_pandas(table)
+    check_shape(got[got.station_id != 3], [1, 2, 4], 30)
     assert got.groupby("station_id").size().to_dict() == {1: 30, 2: 30, 3: 12, 4: 30}
     assert beats(split, table, mean) >= {1, 4}
 

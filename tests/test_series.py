@@ -138,3 +138,26 @@ def test_append_matches_columns_by_name(spark):
     rows = ts.append(a, b).toPandas()
     assert list(rows.columns) == ["station_id", "v", "forecast"]
     assert pd.isna(rows["v"].iloc[1])
+
+
+def test_a_lag_of_a_year_of_hours(spark):
+    n = 10_000
+    frame = pd.DataFrame(
+        {"station_id": 1, "time": pd.date_range("2020-01-01", periods=n, freq="h"), "v": np.arange(n, dtype=float)}
+    )
+    got = to_pandas(ts.lag_features(to_spark(spark, frame), "v", lags=(1, 8760)))
+    pd.testing.assert_series_equal(got["lag_8760"], frame["v"].shift(8760), check_names=False)
+
+
+def test_quantiles_of_one_hot_group(spark):
+    from isobar.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=60_000) ** 3
+    parts = {1: hot, 2: np.array([5.0]), 3: np.array([1.0, 2.0]), 4: np.repeat(3.0, 700), 5: np.arange(900.0)}
+    frame = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in parts.items()])
+    df = spark.createDataFrame(frame).repartition(16)
+    wanted = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q999": 0.999, "q1": 1.0}
+    got = exact_quantiles(df, ["g"], "v", wanted).toPandas().set_index("g")
+    for g, v in parts.items():
+        np.testing.assert_allclose(got.loc[g], np.quantile(v, list(wanted.values())), rtol=1e-12)
