@@ -22,7 +22,7 @@ COUNT_BITS = 18
 NEAR = 64
 
 KEY = ["kid", "th", "line"]
-_POSTING = ("token", *KEY, "size", "pos", "prev")
+_POSTING = ("token", *KEY, "size", "pos", "prev", "bits")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -67,11 +67,12 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Every line with a word: its key, 128-bit set hash, size and prefix.
+    """Every line with a word: its key, 128-bit set hash, size, bit map and prefix.
 
     Words are put in one global order, rarest first by ``counts``.  Two sets that
     match share a word of their prefixes.  Sets of up to three words match only
-    their equals and get no prefix.
+    their equals and get no prefix.  A bit of the map tells whether an odd number of
+    the set's words have its hash value.
     """
     # Counts in steps of a 16th of a power of two: nine bits hold them.
     rank = np.minimum(np.log2(np.maximum(counts, 1)) * 16, 511).astype(np.uint64)
@@ -92,6 +93,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         begin = np.concatenate(([0], np.cumsum(size)))
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(h))) for h in (hashes, mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)))]
         h1, h2 = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)
+        bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), begin[:-1]) if len(first) else hashes
         least = -(-size * NUMERATOR // DENOMINATOR)
         prefix = np.where(size > 3, size - least + 1, 0)
         ends = np.concatenate(([0], np.cumsum(prefix)))
@@ -100,10 +102,10 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(kid[home]), pa.array(th[home]), pa.array(number[first].astype(np.int32)), pa.array(h1), pa.array(h2),
-                pa.array(size.astype(np.int32)),
+                pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hashes[flat] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
             ],
-            names=[*KEY, "h1", "h2", "size", "prefix"],
+            names=[*KEY, "h1", "h2", "size", "bits", "prefix"],
         )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,22 +116,23 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 yield chunk(kid[i:j], th[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     return _keyed(docs).mapInArrow(
-        each, "kid bigint, th bigint, line int, h1 bigint, h2 bigint, size int, prefix array<int>"
+        each, "kid bigint, th bigint, line int, h1 bigint, h2 bigint, size int, bits bigint, prefix array<int>"
     )
 
 
 def _postings(sets: DataFrame) -> DataFrame:
     """A row for each prefix word of each set, with its place and the word before it."""
-    return sets.select(*KEY, "size", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", *KEY, "size", "pos", F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1]).alias("prev")
+    return sets.select(*KEY, "size", "bits", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", *KEY, "size", "pos", F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1]).alias("prev"), "bits"
     )
 
 
-def _fits(n, m, i, j):
-    """Length and positional filter for sets of ``n`` and ``m`` words that share the words at ``i`` and ``j``.
+def _fits(n, m, i, j, unlike):
+    """Length, positional and bit map filter for sets of ``n`` and ``m`` words that share the words at ``i`` and ``j``.
 
     Works on arrays and on columns.  At the first word that two sets share, the rest
-    of either set bounds what else they share.
+    of either set bounds what else they share.  Of ``unlike`` differing bits each
+    needs a word that only one of the sets has.
     """
     total = NUMERATOR + DENOMINATOR
     return (
@@ -137,6 +140,7 @@ def _fits(n, m, i, j):
         & (DENOMINATOR * n >= NUMERATOR * m)
         & (total * (n - i) >= NUMERATOR * (n + m))
         & (total * (m - j) >= NUMERATOR * (n + m))
+        & (total * (n + m - unlike) >= 2 * NUMERATOR * (n + m))
     )
 
 
@@ -178,7 +182,8 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         earlier.append(start[far])
         a, b = np.concatenate(later), np.concatenate(earlier)
         same_before = (rows["prev"][a] == rows["prev"][b]) & (rows["pos"][a] > 0) & (rows["pos"][b] > 0)
-        good = ~same_before & _fits(rows["size"][a], rows["size"][b], rows["pos"][a], rows["pos"][b])
+        unlike = np.bitwise_count((rows["bits"][a] ^ rows["bits"][b]).view(np.uint64)).astype(np.int64)
+        good = ~same_before & _fits(rows["size"][a], rows["size"][b], rows["pos"][a], rows["pos"][b], unlike)
         a, b = a[good], b[good]
         long_lists = np.unique(token[far])
         none = np.zeros(len(long_lists), np.int64)
@@ -251,14 +256,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     or more, whether that line itself stays or goes.
 
     Equal sets are one set, which its first line stands for.  Lists by prefix word
-    give candidate pairs that pass the length and positional filters; their words
-    are then compared.  In a list, a line meets its near predecessors and the first
+    give candidate pairs that pass the length, positional and bit map filters; their
+    words are then compared.  In a list, a line meets its near predecessors and the first
     line.  That settles large families of similar lines without their pairs; only
     lines it leaves unmatched go through the whole of long lists.
     """
     use_checkpoints(docs.sparkSession)
     lines = line_sets(docs, word_counts(docs)).checkpoint()
-    first = F.min(F.struct(*KEY, "size", "prefix")).alias("f")
+    first = F.min(F.struct(*KEY, "size", "bits", "prefix")).alias("f")
     sets = lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*").checkpoint()
 
     postings = _postings(sets.where("size(prefix) > 0"))
@@ -273,6 +278,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         before = F.struct(*[F.col(f"y_{c}") for c in KEY]) < F.struct(*KEY)
         same_before = F.coalesce(F.col("prev") == F.col("y_prev"), F.lit(False))
         columns = [F.col(c) for c in ("size", "y_size", "pos", "y_pos")]
+        columns.append(F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))))
         rest = ours.join(theirs, "token").where(before & ~same_before & _fits(*columns))
         matched = matched.union(_verified(docs, rest).select(*KEY)).distinct().checkpoint()
 

@@ -83,7 +83,7 @@ def test_pairs_do_not_depend_on_batches():
     rng = random.Random(15)
     rows = sorted((rng.randint(0, 6), i, 0, 0) for i in range(400))
     columns = {"token": [r[0] for r in rows], "kid": [r[1] for r in rows]}
-    columns |= {c: [0] * 400 for c in ("th", "line", "pos", "prev")} | {"size": [10] * 400}
+    columns |= {c: [0] * 400 for c in ("th", "line", "pos", "prev", "bits")} | {"size": [10] * 400}
     types = {"token": pa.int32(), "line": pa.int32(), "size": pa.int32(), "pos": pa.int32(), "prev": pa.int32()}
     batch = pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) for c in lines._POSTING], names=lines._POSTING)
     seen = set()
