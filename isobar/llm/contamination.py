@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import use_checkpoints
 from . import sketch
 from .texts import LOWER, Words, byte_column, chunks, hash_of, range_hashes, windows
 
@@ -165,6 +166,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, cover: f
     The windows of the documents meet a bitmap of fixed size before anything is
     shuffled; what passes is joined with the items' windows by hash.
     """
+    use_checkpoints(docs.sparkSession)
     item_windows = template_windows(items.where("item_id IS NOT NULL"), ["item_id"], "text", size, None)
     item_windows = item_windows.withColumnsRenamed({"slots": "item_slots", "pos": "item_pos"})
     # The bitmap, the join and the totals read them; a benchmark is small beside a corpus.
@@ -173,7 +175,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, cover: f
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = template_windows(keyed, ["doc_id", "text_hash"], "text", size, known)
     pair = ["doc_id", "text_hash", "item_id"]
-    matches = found.join(item_windows, "win").select(*pair, "win", "item_pos", "pos", "slots", "item_slots")
+    # Stored: three branches read them, and the texts should be read once.
+    matches = found.join(item_windows, "win").select(*pair, "win", "item_pos", "pos", "slots", "item_slots").checkpoint()
     plain = matches.where("size(slots) = 0").select(*pair, "win", F.lit(0).alias("changed"))
     safe = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "doc_id" else F.col(c) == F.col(f"m_{c}") for c in pair]
     slotted = matches.where("size(slots) > 0 AND size(slots) = size(item_slots)").select(
