@@ -21,6 +21,9 @@ COUNT_BITS = 18
 #: Longer lists are gone through in a second round by the lines still unmatched.
 NEAR = 64
 
+#: Words of long lists, at most, that every task gets; more are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
+
 KEY = ["kid", "th", "line"]
 _POSTING = ("token", *KEY, "size", "pos", "prev", "bits")
 
@@ -271,8 +274,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     found = sorted_lists.mapInArrow(_near_candidates, _PAIR).checkpoint()
     matched = _verified(docs, found.where("token IS NULL")).select(*KEY).distinct().checkpoint()
     long_lists = found.where("token IS NOT NULL").select("token").distinct()
-    if not long_lists.isEmpty():
-        long = postings.join(long_lists, "token")
+    many = long_lists.count()
+    if many:
+        # The few words go to the lists, rather than all lists to the words.
+        long = postings.join(F.broadcast(long_lists) if many <= BROADCAST_WORDS else long_lists, "token")
         theirs = long.withColumnsRenamed({c: f"y_{c}" for c in _POSTING if c != "token"})
         ours = long.join(matched, KEY, "left_anti")
         before = F.struct(*[F.col(f"y_{c}") for c in KEY]) < F.struct(*KEY)
