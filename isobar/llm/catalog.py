@@ -90,6 +90,6 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "exact")
 
 
-@query("op4_line_dedup")
+@query("op4_line_dedup", lines.ORACLE)
 def op4(spark: SparkSession, d: str) -> DataFrame:
     return lines.line_report(table(spark, d, "documents"))

@@ -340,3 +340,29 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
         changed = F.col("_removed").isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+#: ``line_report`` over documents of different ids, as plain SQL.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(len(parts))) AS n, unnest(parts) AS line FROM d),
+u AS MATERIALIZED (SELECT * FROM (
+  SELECT doc_id, n, list_sort(list_distinct(regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l)
+  WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT w, min({'doc_id': doc_id, 'n': n}) AS f, row_number() OVER () AS id FROM u GROUP BY w),
+t AS (SELECT id, unnest(w) AS x FROM s),
+o AS (SELECT x, count(*) AS c FROM t GROUP BY x),
+r AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY c, x) AS k, count(*) OVER (PARTITION BY id) AS m
+      FROM t JOIN o USING (x)),
+p AS MATERIALIZED (SELECT id, x, m FROM r WHERE k <= m - (4 * m + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id <> b.id
+      WHERE 5 * b.m >= 4 * a.m AND 5 * a.m >= 4 * b.m),
+j AS (SELECT DISTINCT a.id AS id, true AS matched FROM c JOIN s a ON a.id = c.a JOIN s b ON b.id = c.b
+      WHERE b.f < a.f AND 9 * len(list_intersect(a.w, b.w)) >= 4 * (len(a.w) + len(b.w))),
+g AS (SELECT u.doc_id, count(*) AS n_removed, string_agg(u.n::VARCHAR, ',' ORDER BY u.n) AS removed_lines
+      FROM u JOIN s ON u.w = s.w LEFT JOIN j ON s.id = j.id
+      WHERE {'doc_id': u.doc_id, 'n': u.n} <> s.f OR j.matched GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(len(parts), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       coalesce(removed_lines, '') AS removed_lines
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
