@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import use_checkpoints
+from ..storage import shared_folder, use_checkpoints
 from . import sketch
 from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed
 
@@ -25,7 +26,10 @@ NEAR = 64
 BROADCAST_WORDS = 1_000_000
 
 KEY = ["kid", "th", "line"]
-_POSTING = ("token", *KEY, "size", "pos", "prev", "bits")
+#: What lists carry of a key: lists are the bulk of the work, and the words that are
+#: looked up later bring the text hash back.
+SHORT = ["kid", "line"]
+_POSTING = ("token", *SHORT, "size", "pos", "prev", "bits")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -125,8 +129,8 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 def _postings(sets: DataFrame) -> DataFrame:
     """A row for each prefix word of each set, with its place and the word before it."""
-    return sets.select(*KEY, "size", "bits", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", *KEY, "size", "pos", F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1]).alias("prev"), "bits"
+    return sets.select(*SHORT, "size", "bits", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", *SHORT, "size", "pos", F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1]).alias("prev"), "bits"
     )
 
 
@@ -191,10 +195,10 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         long_lists = np.unique(token[far])
         none = np.zeros(len(long_lists), np.int64)
         flag = np.concatenate((np.zeros(len(a), bool), np.ones(len(long_lists), bool)))
-        side = lambda at: [pa.array(np.concatenate((rows[c][at], none)), mask=flag).cast(pa.int32() if c == "line" else pa.int64()) for c in KEY]
+        side = lambda at: [pa.array(np.concatenate((rows[c][at], none)), mask=flag).cast(pa.int32() if c == "line" else pa.int64()) for c in SHORT]
         yield pa.RecordBatch.from_arrays(
             [*side(a), *side(b), pa.array(np.concatenate((np.zeros(len(a), np.int64), long_lists)), mask=~flag).cast(pa.int32())],
-            names=[*KEY, *(f"y_{c}" for c in KEY), "token"],
+            names=[*SHORT, *(f"y_{c}" for c in SHORT), "token"],
         )
         open_list = np.flatnonzero(token == token[-1])
         rank = int(place[-1]) + 1
@@ -202,7 +206,7 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         held = {c: rows[c][keep] for c in _POSTING}
 
 
-_PAIR = "kid bigint, th bigint, line int, y_kid bigint, y_th bigint, y_line int, token int"
+_PAIR = "kid bigint, line int, y_kid bigint, y_line int, token int"
 
 
 def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -210,7 +214,7 @@ def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     A bitmap of fixed size leaves out nearly all other lines; the join drops the rest.
     """
-    known = sketch.bitmap(needed.select(F.col("th").bitwiseXOR(F.col("line").cast("bigint")).alias("at")), "at")
+    known = sketch.bitmap(needed.select(F.shiftleft("kid", 5).bitwiseXOR(F.col("line").cast("bigint")).alias("at")), "at")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +223,7 @@ def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
             out = ([], [], [], [])
             for k, (s, e) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 n = int((data[s:e] == 10).sum()) + 1
-                wanted = np.flatnonzero(sketch.found(known, np.full(n, th[k]).view(np.uint64) ^ np.arange(n, dtype=np.uint64)))
+                wanted = np.flatnonzero(sketch.found(known, np.full(n, kid[k]).view(np.uint64) << np.uint64(5) ^ np.arange(n, dtype=np.uint64)))
                 if len(wanted):
                     lines = data[s:e].tobytes().split(b"\n")
                     for i in wanted.tolist():
@@ -236,19 +240,23 @@ def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose words reach the similarity."""
-    pairs = pairs.select(*KEY, *[f"y_{c}" for c in KEY]).distinct().checkpoint()
-    needed = pairs.select(*KEY).union(pairs.select(*[f"y_{c}" for c in KEY])).distinct()
-    words = _line_words(docs, needed).join(needed, KEY, "left_semi").dropDuplicates(KEY).checkpoint()
+    """Keys of the lines that reach the similarity with the line before that they are paired with."""
+    y_short, y_key = [f"y_{c}" for c in SHORT], [f"y_{c}" for c in KEY]
+    pairs = pairs.select(*SHORT, *y_short).distinct().checkpoint()
+    needed = pairs.select(*SHORT).union(pairs.select(*y_short)).distinct()
+    words = _line_words(docs, needed).join(needed, SHORT, "left_semi").dropDuplicates(KEY).checkpoint()
     theirs = words.withColumnsRenamed({c: f"y_{c}" for c in (*KEY, "words")})
     shared = F.size(F.array_intersect("words", "y_words"))
     enough = (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (F.size("words") + F.size("y_words"))
-    return (
-        pairs.join(words, KEY)
-        .join(theirs, [f"y_{c}" for c in KEY])
-        .where(enough)
-        .select(*KEY, *[f"y_{c}" for c in KEY])
-    )
+    found = pairs.join(words, SHORT).join(theirs, y_short)
+    return found.where((F.struct(*y_key) < F.struct(*KEY)) & enough).select(*KEY)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again; packed, unlike a checkpoint."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -265,27 +273,32 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines it leaves unmatched go through the whole of long lists.
     """
     use_checkpoints(docs.sparkSession)
-    lines = line_sets(docs, word_counts(docs)).checkpoint()
+    lines = _stored(line_sets(docs, word_counts(docs)))
     first = F.min(F.struct(*KEY, "size", "bits", "prefix")).alias("f")
-    sets = lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*").checkpoint()
+    sets = _stored(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*"))
 
     postings = _postings(sets.where("size(prefix) > 0"))
-    sorted_lists = postings.repartition("token").sortWithinPartitions("token", *KEY)
+    sorted_lists = postings.repartition("token").sortWithinPartitions("token", *SHORT)
     found = sorted_lists.mapInArrow(_near_candidates, _PAIR).checkpoint()
-    matched = _verified(docs, found.where("token IS NULL")).select(*KEY).distinct().checkpoint()
+    matched = _verified(docs, found.where("token IS NULL")).distinct().checkpoint()
     long_lists = found.where("token IS NOT NULL").select("token").distinct()
     many = long_lists.count()
     if many:
         # The few words go to the lists, rather than all lists to the words.
         long = postings.join(F.broadcast(long_lists) if many <= BROADCAST_WORDS else long_lists, "token")
-        theirs = long.withColumnsRenamed({c: f"y_{c}" for c in _POSTING if c != "token"})
-        ours = long.join(matched, KEY, "left_anti")
-        before = F.struct(*[F.col(f"y_{c}") for c in KEY]) < F.struct(*KEY)
+        # Ids that stand for several texts: their short keys do not tell lines apart.
+        twins = _keyed(docs).select("kid", "th").distinct().groupBy("kid").count().where("count > 1")
+        twins = twins.select("kid", F.lit(True).alias("twin")).checkpoint()
+        long = long.join(twins, "kid", "left")
+        theirs = long.drop("twin").withColumnsRenamed({c: f"y_{c}" for c in _POSTING if c != "token"})
+        ours = long.join(matched.join(twins, "kid", "left_anti"), SHORT, "left_anti")
+        key, y_key = F.struct(*SHORT), F.struct(*[f"y_{c}" for c in SHORT])
+        before = (y_key < key) | ((y_key == key) & F.col("twin").isNotNull())
         same_before = F.coalesce(F.col("prev") == F.col("y_prev"), F.lit(False))
         columns = [F.col(c) for c in ("size", "y_size", "pos", "y_pos")]
         columns.append(F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))))
         rest = ours.join(theirs, "token").where(before & ~same_before & _fits(*columns))
-        matched = matched.union(_verified(docs, rest).select(*KEY)).distinct().checkpoint()
+        matched = matched.union(_verified(docs, rest)).distinct().checkpoint()
 
     firsts = sets.select("h1", "h2", *[F.col(c).alias(f"f_{c}") for c in KEY])
     gone = matched.select(*[F.col(c).alias(f"f_{c}") for c in KEY], F.lit(True).alias("matched"))
