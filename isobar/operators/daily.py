@@ -37,8 +37,8 @@ def null_safe_sum(c: str) -> Column:
 _FIGURES = {"mean": F.avg, "min": F.min, "max": F.max, "sum": null_safe_sum}
 
 
-def _daily(df: DataFrame, keys: Sequence[str], time: str, within: Sequence[str]) -> DataFrame:
-    require(df, time, "wind_direction_10m")
+def daily_figures(df: DataFrame, time: str = "time") -> list[Column]:
+    """All aggregates of a day of the readings present: figures, first place, wind direction."""
     figures = [
         _FIGURES[kind](reading).alias(f"{reading}_{kind}")
         for reading, kinds in DAILY_FIGURES
@@ -51,11 +51,18 @@ def _daily(df: DataFrame, keys: Sequence[str], time: str, within: Sequence[str])
         for c in PLACE_COLUMNS
         if c in df.columns
     ]
-    dominant = circular_mean(F.col("wind_direction_10m")).alias("wind_direction_10m_dominant")
+    dominant = [
+        circular_mean(F.col(c)).alias(f"{c}_dominant") for c in ("wind_direction_10m",) if c in df.columns
+    ]
+    return [*figures, *places, *dominant]
+
+
+def _daily(df: DataFrame, keys: Sequence[str], time: str, within: Sequence[str]) -> DataFrame:
+    require(df, time, "wind_direction_10m")
     return (
         df.where(F.col(time).isNotNull())
         .groupBy(*keys, *within, F.to_date(time).alias("_day"))
-        .agg(*figures, *places, dominant)
+        .agg(*daily_figures(df, time))
         .withColumn("_day", F.col("_day").cast("timestamp_ntz"))
         .withColumnRenamed("_day", time)
         .drop(*within)

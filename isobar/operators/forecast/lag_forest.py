@@ -130,6 +130,8 @@ def forecast_lag_forest(
         maxDepth=depth,
         seed=SEED,
         featureSubsetStrategy="all",
+        # Nodes split in one pass over the rows; more memory means fewer passes.
+        maxMemoryInMB=1024,
     )
     model = forest.fit(learned)
     spread = model.transform(learned).groupBy(*keys).agg(

@@ -1028,7 +1028,26 @@ def a_report(spark, d):
     return quantised(table, *_REPORT, "forecast_start", "forecast_end")
 
 
-@query("A18_regional_grid")
+@query(
+    "A18_regional_grid",
+    S.query(
+        S.SUMMARY
+        + f""",
+kn AS (SELECT latitude, longitude, {MEAN_T} AS value FROM sm),
+fr AS (SELECT min(latitude) AS y0, max(latitude) AS y1, min(longitude) AS x0, max(longitude) AS x1,
+              min(value) AS lo, max(value) AS hi FROM kn),
+gr AS (SELECT y.i AS row, x.i AS col, y0 + (y1 - y0) * y.i / 23 AS latitude, x0 + (x1 - x0) * x.i / 23 AS longitude
+       FROM fr, generate_series(0, 23) AS y(i), generate_series(0, 23) AS x(i)),
+ds AS (SELECT row, col, gr.latitude, gr.longitude, value,
+              (gr.latitude - kn.latitude) ** 2 + (gr.longitude - kn.longitude) ** 2 AS d2 FROM gr, kn),
+ce AS (SELECT row, col, latitude, longitude, count(*) AS points,
+              coalesce(avg(CASE WHEN d2 = 0 THEN value END),
+                       sum(value / nullif(d2, 0)) / sum(1 / nullif(d2, 0))) AS value FROM ds GROUP BY ALL)""",
+        f"""SELECT row, col, latitude, longitude, {S.q("value", "value")},
+        CAST(CASE WHEN hi = lo THEN 1 ELSE greatest(least(floor((value - lo) / (hi - lo) * 14) + 1, 14), 1) END AS INTEGER) AS level
+        FROM ce, fr WHERE points >= 4""",
+    ),
+)
 def a_grid(spark, d):
     return quantised(spatial.regional_grid(summary(spark, d)), "value")
 
@@ -1261,9 +1280,93 @@ def f_linear(spark, d):
     return quantised(forecast_lag_linear(split(spark, d)), *_BAND)
 
 
+def placed_split(spark: SparkSession, d: str) -> DataFrame:
+    """The split with each station's place, which the pooled forest has as features."""
+    places = fixture.stations(spark, d).select(KEY, "latitude", "longitude", "elevation")
+    return split(spark, d).join(places, KEY)
+
+
 @query("F4_forecast_lag_forest")
 def f_forest(spark, d):
-    return quantised(forecast_lag_forest(split(spark, d), forecast_days=30, depth=5), *_BAND)
+    return quantised(forecast_lag_forest(placed_split(spark, d)), *_BAND)
+
+
+_COVERAGE = S.query(
+    S.MEAN_FORECAST,
+    """SELECT station_id, count(*) AS days, min(time) AS first_day, max(time) AS last_day,
+    true AS band_in_order FROM mf GROUP BY 1""",
+)
+
+
+def coverage(forecast: DataFrame) -> DataFrame:
+    """What holds for any model: a row for each station and day ahead, inside its band."""
+    inside = (F.col("lower_ci") <= F.col("forecast")) & (F.col("forecast") <= F.col("upper_ci"))
+    return forecast.groupBy(KEY).agg(
+        F.count("*").alias("days"),
+        F.min("time").alias("first_day"),
+        F.max("time").alias("last_day"),
+        F.bool_and(inside).alias("band_in_order"),
+    )
+
+
+@query("F3_lag_linear_coverage", _COVERAGE)
+def f_linear_coverage(spark, d):
+    return coverage(forecast_lag_linear(split(spark, d)))
+
+
+@query("F4_lag_forest_coverage", _COVERAGE)
+def f_forest_coverage(spark, d):
+    return coverage(forecast_lag_forest(placed_split(spark, d)))
+
+
+@query("F6_trend_seasonal_coverage", _COVERAGE)
+def f_trend_coverage(spark, d):
+    return coverage(forecast_trend_seasonal(split(spark, d), include_history=False))
+
+
+@query("F7_seasonal_ar_coverage", _COVERAGE)
+def f_seasonal_coverage(spark, d):
+    return coverage(forecast_seasonal_ar(split(spark, d)))
+
+
+@query("F7_seasonal_ar_search_coverage", _COVERAGE)
+def f_search_coverage(spark, d):
+    return coverage(forecast_seasonal_ar(split(spark, d), search=True))
+
+
+@query("F10_compare_all_models")
+def f_compare_all(spark, d):
+    """Every model on one stored split per target, by date and by position."""
+    table = stored_days(spark, d)
+    places = fixture.stations(spark, d).select(KEY, "latitude", "longitude", "elevation")
+    found = []
+    for target in (MEAN_T, "surface_pressure_mean", "wind_speed_10m_mean"):
+        parts = ts.train_test_split(table.select(KEY, "time", target))
+        made = [
+            forecast_lag_linear(parts, 90, target),
+            forecast_trend_seasonal(parts, 90, target, include_history=False),
+            forecast_seasonal_ar(parts, 90, target),
+            forecast_mean(parts, 90, target),
+        ]
+        if target == MEAN_T:
+            made.append(forecast_lag_forest(parts.join(places, KEY), 90, target))
+        path = fresh_path(spark, "forecasts")
+        union = made[0]
+        for other in made[1:]:
+            union = union.unionByName(other)
+        union.write.parquet(path)
+        ahead = spark.read.parquet(path)
+        for by_position in (False, True):
+            metrics = evaluate.forecast_metrics(test_part(parts), ahead, target, by_position=by_position)
+            found.append(
+                evaluate.compare_models(quantised(metrics, *_METRICS)).select(
+                    F.lit(target).alias("target"), F.lit(by_position).alias("by_position"), "*"
+                )
+            )
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 @query(
@@ -1450,6 +1553,8 @@ def reading_stream(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_quantity") * 0.9 - 5).alias("temperature_2m"),
         (F.col("l_discount") * 1000).alias("relative_humidity_2m"),
         (F.col("l_tax") * 500).alias("wind_speed_10m"),
+        (F.col("l_orderkey") * 37 % 360).cast("double").alias("wind_direction_10m"),
+        (F.col("l_suppkey") * 1.5).alias("latitude"),
     )
 
 
@@ -1472,7 +1577,8 @@ STREAM_SQL = """
 rs AS (SELECT l_suppkey // 20 AS station_id,
               l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS time,
               l_quantity * 0.9 - 5 AS temperature_2m, l_discount * 1000 AS relative_humidity_2m,
-              l_tax * 500 AS wind_speed_10m FROM lineitem)"""
+              l_tax * 500 AS wind_speed_10m, CAST(l_orderkey * 37 % 360 AS DOUBLE) AS wind_direction_10m
+       FROM lineitem)"""
 _STREAM_FIGURES = {
     "temperature_2m_mean": "avg(temperature_2m)",
     "temperature_2m_min": "min(temperature_2m)",
@@ -1480,6 +1586,7 @@ _STREAM_FIGURES = {
     "relative_humidity_2m_mean": "avg(relative_humidity_2m)",
     "wind_speed_10m_mean": "avg(wind_speed_10m)",
     "wind_speed_10m_max": "max(wind_speed_10m)",
+    "wind_direction_10m_dominant": S.DIRECTION,
 }
 
 

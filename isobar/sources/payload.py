@@ -101,20 +101,34 @@ def _rows(payloads: DataFrame, block: str, fields: dict[str, T.DataType], *keep:
         ]
     )
     rows = payloads.where(F.col(block).isNotNull()).select(*keep, F.inline(zipped))
-    return rows.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    return rows.withColumn("time", F.col("time").try_cast("timestamp_ntz"))
 
 
 def hourly_rows(payloads: DataFrame) -> DataFrame:
     """Hourly readings with place; a missing elevation is 0.0.
 
     A payload without ``hourly`` gives no rows; :func:`payload_report` counts
-    those.  A time may arrive in several payloads: one reading is kept.
+    those.  A time that cannot be read is left out; :func:`malformed_times` counts
+    these.  A time may arrive in several payloads: the greatest row in column order
+    is kept, so the result does not depend on the order of arrival.
     """
     rows = _rows(payloads, "hourly", ARCHIVE_HOURLY, F.col("station_id"), F.struct(
         "latitude", "longitude", F.coalesce("elevation", F.lit(0.0)).alias("elevation")
     ).alias("_place"))
     flat = rows.select("station_id", "time", *HOURLY_READINGS, "_place.*")
-    return flat.where(F.col("time").isNotNull()).dropDuplicates(["station_id", "time"])
+    others = [c for c in flat.columns if c not in ("station_id", "time")]
+    kept = (
+        flat.where(F.col("time").isNotNull())
+        .groupBy("station_id", "time")
+        .agg(F.max(F.struct(*others)).alias("_row"))
+    )
+    return kept.select("station_id", "time", "_row.*")
+
+
+def malformed_times(payloads: DataFrame) -> DataFrame:
+    """Per station, hourly times that cannot be read."""
+    bad = F.filter("hourly.time", lambda t: t.isNotNull() & t.try_cast("timestamp_ntz").isNull())
+    return payloads.groupBy("station_id").agg(F.sum(F.coalesce(F.size(bad), F.lit(0))).alias("malformed"))
 
 
 def payload_report(payloads: DataFrame) -> DataFrame:
@@ -129,7 +143,7 @@ def current_rows(payloads: DataFrame) -> DataFrame:
     """One row of current conditions per payload that has them."""
     known = payloads.where(F.col("current").isNotNull())
     return known.select("station_id", "current.*").withColumn(
-        "time", F.col("time").cast("timestamp_ntz")
+        "time", F.col("time").try_cast("timestamp_ntz")
     )
 
 

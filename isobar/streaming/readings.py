@@ -11,31 +11,23 @@ from ..functions.comfort import feels_like_of
 from ..functions.calendar import is_daytime
 from ..functions.wmo import wmo_description
 from ..operators.clean import cap_to_bounds
-from ..operators.daily import DAILY_FIGURES, null_safe_sum
+from ..operators.daily import daily_figures
 from ..schema import CAPPED_READINGS, DEFAULT_KEYS
 
-_FIGURES = {"mean": F.avg, "min": F.min, "max": F.max, "sum": null_safe_sum}
-
 
 def stream_daily(
     readings: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, lateness: str = "2 days"
 ) -> DataFrame:
-    """Daily figures of a stream of readings; rows later than ``lateness`` are dropped.
+    """The columns of the daily aggregate from a stream of readings; rows later than ``lateness`` are dropped.
 
     A watermark needs an instant, so naive local times are read in the session
     zone, which must be UTC, and given back as naive times.
     """
     timed = readings.withColumn("_ts", F.col("time").cast("timestamp"))
-    figures = [
-        _FIGURES[kind](reading).alias(f"{reading}_{kind}")
-        for reading, kinds in DAILY_FIGURES
-        if reading in readings.columns
-        for kind in kinds
-    ]
     return (
         timed.withWatermark("_ts", lateness)
         .groupBy(*keys, F.window("_ts", "1 day"))
-        .agg(*figures)
+        .agg(*daily_figures(readings))
         .withColumn("time", F.col("window.start").cast("timestamp_ntz"))
         .drop("window")
     )
