@@ -15,6 +15,7 @@ COOLING_ABOVE = 25
 HEATING_BELOW = 15
 
 
+# The phrases of both labels.
 def trend_label(start: Column, end: Column) -> Column:
     return (
         F.when(end > start, F.lit("Warm-up"))

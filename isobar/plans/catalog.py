@@ -196,7 +196,9 @@ def write_hourly(spark, d):
     ),
 )
 def date_range_scan(spark, d):
-    rows = tables.date_range(weather(spark, d), "1997-01-01", "1997-12-31")
+    path = fresh_path(spark, "hourly")
+    tables.write_hourly(weather(spark, d), path, buckets=4)
+    rows = tables.read_hourly(spark, path, start="1997-01-01", end="1997-12-31")
     return quantised(rows, *S.READINGS)
 
 

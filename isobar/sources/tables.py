@@ -44,6 +44,20 @@ def write_hourly(df: DataFrame, path: str, buckets: int = 64, mode: str = "error
     ordered.write.partitionBy(STATION_BUCKET, YEAR).mode(mode).parquet(path)
 
 
+def write_missing_hourly(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Append the readings whose station and time are not stored yet.
+
+    Stored years outside those of ``df`` are not read.
+    """
+    spark = df.sparkSession
+    first, last = df.select(F.year(F.min("time")), F.year(F.max("time"))).first()
+    if first is None:
+        return
+    stored = spark.read.parquet(path).where(F.col(YEAR).between(first, last))
+    fresh = df.join(stored.select("station_id", "time"), ["station_id", "time"], "left_anti")
+    write_hourly(fresh.select(*df.columns), path, buckets, mode="append")
+
+
 def read_hourly(
     spark: SparkSession,
     path: str,

@@ -152,6 +152,29 @@ def test_stored_readings_prune(spark, frame, tmp_path):
     assert "station_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_only_missing_readings_are_written(spark, frame, tmp_path):
+    path = str(tmp_path / "hourly")
+    df = to_spark(spark, frame)
+    tables.write_hourly(df.where("station_id <> 2 OR day(time) < 14"), path, buckets=4)
+    for _ in range(2):
+        tables.write_missing_hourly(df, path, buckets=4)
+        got = to_pandas(tables.read_hourly(spark, path, buckets=4).select(*df.columns))
+        pd.testing.assert_frame_equal(got, to_pandas(df))
+    tables.write_missing_hourly(df.limit(0), path, buckets=4)
+
+
+def test_malformed_and_repeated_payload_rows(spark, tmp_path):
+    hours = ["2024-01-01T00:00", "soon", None]
+    answers = [
+        {"station_id": 1, "hourly": {"time": hours, "temperature_2m": [t, 9.0, 9.0]}} for t in (1.0, 3.0, 2.0)
+    ]
+    (tmp_path / "p.json").write_text("\n".join(json.dumps(a) for a in answers))
+    read = payload.read_archive(spark, str(tmp_path)).repartition(3)
+    rows = payload.hourly_rows(read).collect()
+    assert [(r.station_id, r.temperature_2m) for r in rows] == [(1, 3.0)]
+    assert [tuple(r) for r in payload.malformed_times(read).collect()] == [(1, 3)]
+
+
 def test_csv_round_trip_keeps_missing(spark, frame, tmp_path):
     df = to_spark(spark, frame)
     tables.write_daily_csv(df, str(tmp_path / "csv"))
