@@ -69,8 +69,14 @@ def _block_products(rows: pd.DataFrame) -> np.ndarray:
         ]
     )
 )
-def _solve(products: pd.Series, rows: pd.Series, largest: pd.Series) -> pd.DataFrame:
-    """Penalised least squares for every key of the batch."""
+def _solve(
+    products: pd.Series, rows: pd.Series, largest: pd.Series, center: pd.Series
+) -> pd.DataFrame:
+    """Penalised least squares for every key of the batch.
+
+    The values have had their mean taken off, which the level, free of any
+    penalty, gets back.
+    """
     flat = np.vstack(products.to_numpy())
     full = np.empty((len(flat), SIZE + 1, SIZE + 1))
     full[:, _UPPER[0], _UPPER[1]] = flat
@@ -83,9 +89,11 @@ def _solve(products: pd.Series, rows: pd.Series, largest: pd.Series) -> pd.DataF
     left = square - 2 * (weights * rhs).sum(axis=1)
     left = left + np.einsum("ki,kij,kj->k", weights, gram, weights)
     scale = largest.to_numpy()
+    scaled = weights * scale[:, None]
+    scaled[:, 0] += center.to_numpy()
     return pd.DataFrame(
         {
-            "weights": list(weights * scale[:, None]),
+            "weights": list(scaled),
             "residual_std": np.sqrt(np.maximum(left, 0.0) / rows.to_numpy()) * scale,
         }
     )
@@ -112,21 +120,25 @@ def forecast_trend_seasonal(
         totals={
             "_first": (F.min("_days"), F.min),
             "_last": (F.max("_days"), F.max),
-            "_largest": (F.max(F.abs("_y")), F.max),
+            "_sum": (F.sum("_y"), F.sum),
+            "_low": (F.min("_y"), F.min),
+            "_high": (F.max("_y"), F.max),
         },
     )
     span = F.nullif(F.col("_last") - F.col("_first"), F.lit(0.0))
     share = F.coalesce((F.col("_days") - F.col("_first")) / span, F.lit(0.0))
-    # Work on values of at most 1; an all-zero series stays zero.
-    largest = F.coalesce(F.nullif(F.col("_largest"), F.lit(0.0)), F.lit(1.0))
+    # Work on distances from the mean, of at most 1; a level series stays zero.
+    center = F.col("_sum") / F.col("_n")
+    largest = F.coalesce(F.nullif(F.greatest(F.col("_high") - center, center - F.col("_low")), F.lit(0.0)), F.lit(1.0))
     scaled = placed.select(
         *keys,
         "_pos",
         "_n",
         "_days",
         share.alias("_share"),
-        (F.col("_y") / largest).alias("_y"),
+        ((F.col("_y") - center) / largest).alias("_y"),
         largest.alias("_largest"),
+        center.alias("_center"),
         "_first",
         "_last",
     )
@@ -151,11 +163,12 @@ def forecast_trend_seasonal(
     shape = scaled.groupBy(*keys).agg(
         F.max("_n").alias("_rows"),
         F.max("_largest").alias("_scale"),
+        F.max("_center").alias("_center"),
         F.max("_first").alias("_first"),
         F.max("_last").alias("_last"),
     )
     fitted = summed.join(shape, list(keys)).select(
-        *keys, "_first", "_last", _solve("_products", "_rows", "_scale").alias("_fit")
+        *keys, "_first", "_last", _solve("_products", "_rows", "_scale", "_center").alias("_fit")
     )
     fitted = fitted.select(*keys, "_first", "_last", "_fit.weights", "_fit.residual_std")
 

@@ -89,6 +89,19 @@ def test_trend_seasonal(split, frame, mean):
     assert beats(split, table, mean) >= {1, 4}
 
 
+def test_trend_seasonal_keeps_its_digits_at_high_levels(spark):
+    low = seasonal_series([400])
+    high = low.assign(v=low["v"] + 1e7)
+    made = [
+        to_pandas(forecast_trend_seasonal(ts.train_test_split(to_spark(spark, f)), 30, "v", include_history=False))
+        for f in (low, high)
+    ]
+    np.testing.assert_allclose(made[1]["forecast"] - 1e7, made[0]["forecast"], atol=1e-6)
+    np.testing.assert_allclose(
+        made[1]["upper_ci"] - made[1]["forecast"], made[0]["upper_ci"] - made[0]["forecast"], rtol=1e-6
+    )
+
+
 def beats(split, table, mean):
     """Stations where a forecast has a smaller error than the mean."""
     mine = metrics(split, table).toPandas().set_index("station_id")["mae"]
