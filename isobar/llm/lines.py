@@ -17,10 +17,12 @@ from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed
 #: Lines match if the Jaccard similarity of their word sets is at least this fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Word counts are kept for so many hash values; a fixed size whatever the data.
-COUNT_BITS = 18
-#: A line meets so many lines before it in each list, and the list's first line.
-#: Longer lists are gone through in a second round by the lines still unmatched.
-NEAR = 64
+COUNT_BITS = 20
+#: In each list a line is held against so many lines before it, and the list's first.
+NEAR = 1024
+#: So many of them at most, the nearest, are compared by their words at first.  Lines
+#: with more, or beyond in a longer list, and still unmatched go through the whole list.
+FIRST = 8
 
 #: Words of long lists, at most, that every task gets; more are joined by a shuffle.
 BROADCAST_WORDS = 1_000_000
@@ -58,9 +60,13 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             data, offsets = byte_column(batch.column(0))
-            for i, j in chunks(offsets):
-                hashes = _words_by_line(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
-                total += np.bincount((hashes & np.uint64(len(total) - 1)).astype(np.int64), minlength=len(total))
+            places = [
+                _words_by_line(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
+                .astype(np.uint32) & np.uint32(len(total) - 1)
+                for i, j in chunks(offsets)
+            ]
+            if places:
+                total += np.bincount(np.concatenate(places), minlength=len(total))
         used = np.flatnonzero(total)
         for k in range(0, len(used), 20_000):
             part = used[k : k + 20_000]
@@ -155,14 +161,15 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Pairs from lists sorted by word and key; of a list only its first line and the last ``NEAR`` are held.
 
     A pair whose words before the shared one are equal too was found there, and is
-    passed over.  A word whose list is longer comes out as a row of its own.
+    passed over.  A line with more than ``FIRST`` pairs, or beyond ``NEAR`` in its list,
+    also comes out with the list's word instead of a partner.
     """
     held = {c: np.zeros(0, np.int64) for c in _POSTING}  # the first row of the open list, then its last ones
     rank = 0  # place in its list of the row after the held ones
     for batch in batches:
         new = {c: batch.column(c).fill_null(0).to_numpy().astype(np.int64) for c in _POSTING}
         rows = {c: np.concatenate((held[c], new[c])) for c in _POSTING}
-        token = rows["token"]
+        token, size, bits = rows["token"], rows["size"], rows["bits"].view(np.uint64)
         known = len(held["token"])
         fresh = np.arange(known, len(token))
         if not len(fresh):
@@ -172,8 +179,18 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         place = np.arange(len(token)) - start
         if known:
             place[start == 0] += rank - known
-        # The held first row stands right before the last ones, so it is no neighbour by distance.
+        # The held first row may not stand right before the last ones: no neighbour by distance.
         skipped = known > 1 and rank > known
+
+        def fit(a: np.ndarray, b: np.ndarray, rows=rows, size=size, bits=bits) -> np.ndarray:
+            unlike = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+            both = size[a] + size[b]
+            at = np.flatnonzero((NUMERATOR + DENOMINATOR) * (both - unlike) >= 2 * NUMERATOR * both)
+            a, b = a[at], b[at]
+            same_before = (rows["prev"][a] == rows["prev"][b]) & (rows["pos"][a] > 0) & (rows["pos"][b] > 0)
+            return at[~same_before & _fits(size[a], size[b], rows["pos"][a], rows["pos"][b], unlike[at])]
+
+        pairs = np.zeros(len(token), np.int64)
         later, earlier = [], []
         active = fresh[place[fresh] > 0]
         for d in range(1, NEAR + 1):
@@ -182,24 +199,23 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if not len(active):
                 break
             use = active[active - d > 0] if skipped else active
-            later.append(use)
-            earlier.append(use - d)
+            good = use[fit(use, use - d)]
+            pairs[good] += 1
+            if len(good):
+                good = good[pairs[good] <= FIRST]
+                later.append(good)
+                earlier.append(good - d)
+                active = active[pairs[active] <= FIRST]
         far = fresh[place[fresh] > NEAR]
-        later.append(far)
-        earlier.append(start[far])
-        a, b = np.concatenate(later), np.concatenate(earlier)
-        same_before = (rows["prev"][a] == rows["prev"][b]) & (rows["pos"][a] > 0) & (rows["pos"][b] > 0)
-        unlike = np.bitwise_count((rows["bits"][a] ^ rows["bits"][b]).view(np.uint64)).astype(np.int64)
-        good = ~same_before & _fits(rows["size"][a], rows["size"][b], rows["pos"][a], rows["pos"][b], unlike)
-        a, b = a[good], b[good]
-        long_lists = np.unique(token[far])
-        none = np.zeros(len(long_lists), np.int64)
-        flag = np.concatenate((np.zeros(len(a), bool), np.ones(len(long_lists), bool)))
-        side = lambda at: [pa.array(np.concatenate((rows[c][at], none)), mask=flag).cast(pa.int32() if c == "line" else pa.int64()) for c in SHORT]
-        yield pa.RecordBatch.from_arrays(
-            [*side(a), *side(b), pa.array(np.concatenate((np.zeros(len(a), np.int64), long_lists)), mask=~flag).cast(pa.int32())],
-            names=[*SHORT, *(f"y_{c}" for c in SHORT), "token"],
-        )
+        good = far[fit(far, start[far])]
+        a, b = np.concatenate((*later, good)).astype(np.int64), np.concatenate((*earlier, start[good])).astype(np.int64)
+        more = np.union1d(far, fresh[pairs[fresh] > FIRST]).astype(np.int64)
+        flag = np.concatenate((np.zeros(len(a), bool), np.ones(len(more), bool)))
+        kinds = {"line": pa.int32(), "kid": pa.int64()}
+        ours = [pa.array(rows[c][np.concatenate((a, more))]).cast(kinds[c]) for c in SHORT]
+        theirs = [pa.array(np.concatenate((rows[c][b], np.zeros(len(more), np.int64))), mask=flag).cast(kinds[c]) for c in SHORT]
+        words = pa.array(np.concatenate((np.zeros(len(a), np.int64), token[more])), mask=~flag).cast(pa.int32())
+        yield pa.RecordBatch.from_arrays([*ours, *theirs, words], names=[*SHORT, *(f"y_{c}" for c in SHORT), "token"])
         open_list = np.flatnonzero(token == token[-1])
         rank = int(place[-1]) + 1
         keep = open_list if len(open_list) <= NEAR + 1 else np.concatenate((open_list[:1], open_list[-NEAR:]))
@@ -268,9 +284,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     Equal sets are one set, which its first line stands for.  Lists by prefix word
     give candidate pairs that pass the length, positional and bit map filters; their
-    words are then compared.  In a list, a line meets its near predecessors and the first
-    line.  That settles large families of similar lines without their pairs; only
-    lines it leaves unmatched go through the whole of long lists.
+    words are then compared.  In a list, a line is held against its near predecessors,
+    and of those that pass only the nearest are compared.  That settles large families
+    of similar lines without their pairs; lines that had more, or stand far on in a
+    long list, and are still unmatched go through the whole list.
     """
     use_checkpoints(docs.sparkSession)
     lines = _stored(line_sets(docs, word_counts(docs)))
@@ -281,17 +298,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sorted_lists = postings.repartition("token").sortWithinPartitions("token", *SHORT)
     found = sorted_lists.mapInArrow(_near_candidates, _PAIR).checkpoint()
     matched = _verified(docs, found.where("token IS NULL")).distinct().checkpoint()
-    long_lists = found.where("token IS NOT NULL").select("token").distinct()
-    many = long_lists.count()
+    # Ids that stand for several texts: their short keys do not tell lines apart.
+    twins = _keyed(docs).select("kid", "th").distinct().groupBy("kid").count().where("count > 1")
+    twins = twins.select("kid", F.lit(True).alias("twin")).checkpoint()
+    settled = matched.select(*SHORT).distinct().join(twins, "kid", "left_anti")
+    left = found.where("token IS NOT NULL").select("token", *SHORT).join(settled, SHORT, "left_anti").checkpoint()
+    tokens = left.select("token").distinct().checkpoint()
+    many = tokens.count()
     if many:
         # The few words go to the lists, rather than all lists to the words.
-        long = postings.join(F.broadcast(long_lists) if many <= BROADCAST_WORDS else long_lists, "token")
-        # Ids that stand for several texts: their short keys do not tell lines apart.
-        twins = _keyed(docs).select("kid", "th").distinct().groupBy("kid").count().where("count > 1")
-        twins = twins.select("kid", F.lit(True).alias("twin")).checkpoint()
-        long = long.join(twins, "kid", "left")
+        long = postings.join(F.broadcast(tokens) if many <= BROADCAST_WORDS else tokens, "token")
+        long = long.join(twins, "kid", "left").checkpoint()
+        ours = long.join(left, ["token", *SHORT], "left_semi")
         theirs = long.drop("twin").withColumnsRenamed({c: f"y_{c}" for c in _POSTING if c != "token"})
-        ours = long.join(matched.join(twins, "kid", "left_anti"), SHORT, "left_anti")
         key, y_key = F.struct(*SHORT), F.struct(*[f"y_{c}" for c in SHORT])
         before = (y_key < key) | ((y_key == key) & F.col("twin").isNotNull())
         same_before = F.coalesce(F.col("prev") == F.col("y_prev"), F.lit(False))

@@ -79,21 +79,27 @@ def test_large_family_and_long_lists(spark, monkeypatch):
             words = base[:6] + [f"own{i}_{k}" for k in range(20)]
         rows.append((i, " ".join(words)))
     monkeypatch.setattr(lines, "NEAR", 4)
+    monkeypatch.setattr(lines, "FIRST", 2)
     check(spark, rows)
 
 
-def test_pairs_do_not_depend_on_batches():
+def test_pairs_do_not_depend_on_batches(monkeypatch):
     rng = random.Random(15)
-    rows = sorted((rng.randint(0, 6), i, 0, 0) for i in range(400))
+    rows = sorted((rng.randint(0, 6), i) for i in range(400))
     columns = {"token": [r[0] for r in rows], "kid": [r[1] for r in rows]}
-    columns |= {c: [0] * 400 for c in ("line", "pos", "prev", "bits")} | {"size": [10] * 400}
-    types = {"token": pa.int32(), "line": pa.int32(), "size": pa.int32(), "pos": pa.int32(), "prev": pa.int32()}
+    columns |= {c: [0] * 400 for c in ("line", "pos", "prev")} | {"size": [10] * 400}
+    columns["bits"] = [rng.choice([0, 0, -1]) for _ in rows]
+    types = {c: pa.int32() for c in ("token", "line", "size", "pos", "prev")}
     batch = pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) for c in lines._POSTING], names=lines._POSTING)
+    monkeypatch.setattr(lines, "NEAR", 20)
     seen = set()
     for size in (400, 150, 64, 7, 1):
         parts = [batch.slice(i, size) for i in range(0, 400, size)]
         out = [r for b in lines._near_candidates(iter(parts)) for r in b.to_pylist()]
-        seen.add((frozenset((r["kid"], r["y_kid"]) for r in out if r["token"] is None), frozenset(r["token"] for r in out)))
+        pairs = [(r["kid"], r["y_kid"]) for r in out if r["token"] is None]
+        marks = [(r["kid"], r["token"]) for r in out if r["token"] is not None]
+        assert len(set(pairs)) == len(pairs) and len(set(marks)) == len(marks)
+        seen.add((frozenset(pairs), frozenset(marks)))
     assert len(seen) == 1
 
 
