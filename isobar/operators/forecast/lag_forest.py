@@ -29,6 +29,8 @@ TREES = 100
 SEED = 42
 # Levels of a tree: a leaf of a full tree then holds one row of 65,536.
 DEPTH = 16
+# Rows of a leaf, at least: the usual choice for regression forests.
+LEAF_ROWS = 5
 
 
 class _Nodes:
@@ -128,6 +130,7 @@ def forecast_lag_forest(
         predictionCol="_predicted",
         numTrees=trees,
         maxDepth=depth,
+        minInstancesPerNode=LEAF_ROWS,
         seed=SEED,
         featureSubsetStrategy="all",
         # Nodes split in one pass over the rows; more memory means fewer passes.
