@@ -18,6 +18,9 @@ from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed
 NUMERATOR, DENOMINATOR = 4, 5
 #: Word counts are kept for so many hash values; a fixed size whatever the data.
 COUNT_BITS = 20
+#: Counts that travel together, and the tasks that add up each slice at first.
+SLICE = 4096
+SPREAD = 16
 #: In each list a line is held against so many lines before it, and the list's first.
 NEAR = 1024
 #: So many of them at most, the nearest, are compared by their words at first.  Lines
@@ -53,10 +56,11 @@ def _words_by_line(data: np.ndarray, offsets: np.ndarray):
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of all words in all lines, by the lowest bits of the word's hash.
 
-    One row per hash value, at most ``2**COUNT_BITS``, reaches the driver.
+    A task counts all its rows and passes on slices of the table; slices are added up
+    in a few rows' memory, and one table of fixed size reaches the driver.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             data, offsets = byte_column(batch.column(0))
@@ -67,16 +71,31 @@ def word_counts(docs: DataFrame) -> np.ndarray:
             ]
             if places:
                 total += np.bincount(np.concatenate(places), minlength=len(total))
-        used = np.flatnonzero(total)
-        for k in range(0, len(used), 20_000):
-            part = used[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["place", "n"])
+        if total.any():
+            parts = total.reshape(-1, SLICE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["slice", "counts"],
+            )
 
-    rows = docs.select("text").mapInArrow(each, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[table["place"].to_numpy()] = table["n"].to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(part.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([p.tobytes() for p in sums.values()], pa.binary())],
+            names=["slice", "counts"],
+        )
+
+    kind = "slice int, counts binary"
+    # Two steps, so that no task gets a slice from every other task.
+    spread = docs.select("text").mapInArrow(count, kind).repartition("slice", F.spark_partition_id() % SPREAD)
+    rows = spread.mapInArrow(add, kind).repartition("slice").mapInArrow(add, kind).toArrow()
+    out = np.zeros((1 << COUNT_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
+    for i, part in zip(rows["slice"].to_pylist(), rows["counts"].to_pylist(), strict=True):
+        out[i] += np.frombuffer(part, np.int64)
+    return out.reshape(-1)
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -226,7 +245,7 @@ _PAIR = "kid bigint, line int, y_kid bigint, y_line int, token int"
 
 
 def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``kid, th, line, words`` of the needed lines, from a second reading of the texts.
+    """``kid, th, line, low`` of the needed lines, from a second reading of the texts; A-Z are lower-cased.
 
     A bitmap of fixed size leaves out nearly all other lines; the join drops the rest.
     """
@@ -241,18 +260,16 @@ def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 n = int((data[s:e] == 10).sum()) + 1
                 wanted = np.flatnonzero(sketch.found(known, np.full(n, kid[k]).view(np.uint64) << np.uint64(5) ^ np.arange(n, dtype=np.uint64)))
                 if len(wanted):
-                    lines = data[s:e].tobytes().split(b"\n")
+                    lines = LOWER[data[s:e]].tobytes().split(b"\n")
                     for i in wanted.tolist():
-                        words = set(lines[i].lower().split())
-                        if words:
-                            for column, value in zip(out, (kid[k], th[k], i, [w.decode("utf-8", "replace") for w in words]), strict=True):
-                                column.append(value)
+                        for column, value in zip(out, (kid[k], th[k], i, lines[i].decode("utf-8", "replace")), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.string()))],
-                names=[*KEY, "words"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())],
+                names=[*KEY, "low"],
             )
 
-    return _keyed(docs).mapInArrow(each, "kid bigint, th bigint, line int, words array<string>")
+    return _keyed(docs).mapInArrow(each, "kid bigint, th bigint, line int, low string")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -260,12 +277,16 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     y_short, y_key = [f"y_{c}" for c in SHORT], [f"y_{c}" for c in KEY]
     pairs = pairs.select(*SHORT, *y_short).distinct().checkpoint()
     needed = pairs.select(*SHORT).union(pairs.select(*y_short)).distinct()
-    words = _line_words(docs, needed).join(needed, SHORT, "left_semi").dropDuplicates(KEY).checkpoint()
-    theirs = words.withColumnsRenamed({c: f"y_{c}" for c in (*KEY, "words")})
-    shared = F.size(F.array_intersect("words", "y_words"))
-    enough = (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (F.size("words") + F.size("y_words"))
-    found = pairs.join(words, SHORT).join(theirs, y_short)
-    return found.where((F.struct(*y_key) < F.struct(*KEY)) & enough).select(*KEY)
+    texts = _stored(_line_words(docs, needed).join(needed, SHORT, "left_semi").dropDuplicates(KEY))
+    theirs = texts.withColumnsRenamed({c: f"y_{c}" for c in (*KEY, "low")})
+    found = pairs.join(texts, SHORT).join(theirs, y_short).where(F.struct(*y_key) < F.struct(*KEY))
+
+    def words(c: str) -> Column:
+        return F.array_distinct(F.filter(F.split(c, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+
+    sets = found.select(*KEY, words("low").alias("a"), words("y_low").alias("b"))
+    enough = (NUMERATOR + DENOMINATOR) * F.size(F.array_intersect("a", "b")) >= NUMERATOR * (F.size("a") + F.size("b"))
+    return sets.where(enough).select(*KEY)
 
 
 def _stored(df: DataFrame) -> DataFrame:
