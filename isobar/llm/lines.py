@@ -25,7 +25,7 @@ SPREAD = 16
 NEAR = 1024
 #: So many of them at most, the nearest, are compared by their words at first.  Lines
 #: with more, or beyond in a longer list, and still unmatched go through the whole list.
-FIRST = 8
+FIRST = 2
 
 #: Words of long lists, at most, that every task gets; more are joined by a shuffle.
 BROADCAST_WORDS = 1_000_000
