@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import use_checkpoints
@@ -17,6 +17,8 @@ WINDOW = 5
 COVER = 0.8
 #: Words of a window, at least, that are no slots.
 PLAIN = 2
+#: An item of so many words, but fewer than WINDOW, is one window of its own length.
+SHORTEST = 3
 
 #: Words that name a unit when a number stands before them.
 UNITS = (
@@ -32,7 +34,7 @@ UNITS = (
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _WORD = _DIGIT | _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 128)
-_STOP = np.isin(np.arange(256), list(b".!?:;|\n\r\""))
+_STOP = np.isin(np.arange(256), list(b".!?:;|\""))
 _UNIT_HASHES = np.array(sorted(hash_of(u) for u in UNITS), np.uint64)
 #: Placeholders: number, unit, name.
 _NUM, _UNIT, _NAME = (np.uint64(hash_of(s)) for s in ("<num>", "<unit>", "<name>"))
@@ -60,7 +62,9 @@ class Template:
 
     A word is a run of letters and digits; a point or comma between digits belongs
     to it.  A word that begins with a digit is a number; a unit is one of ``UNITS``
-    after a number; a name is a capitalised word that does not begin a sentence.
+    after a number; a name is a capitalised word that does not begin a sentence.  A
+    line break ends no sentence.  In ``words`` and ``fixed`` names are words, in lower
+    case, whatever their case and place.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
@@ -74,7 +78,9 @@ class Template:
         self.text = words.text
         self.values = range_hashes(folded, words.starts, words.ends)
         self.tokens = self.values.copy()
-        self.slot = np.zeros(len(words), bool)
+        self.words = self.values.copy()
+        self.slot = self.fixed = np.zeros(len(words), bool)
+        self.counts = words.counts()
         if not len(words):
             return
         number = _DIGIT[data[words.starts]]
@@ -88,28 +94,44 @@ class Template:
         name = capital & same & (stops[words.starts] == stops[before]) & ~number
         for kind, mark in ((number, _NUM), (unit, _UNIT), (name, _NAME)):
             self.tokens[kind] = mark
-        self.slot = number | unit | name
+        self.slot, self.fixed = number | unit | name, number | unit
+        self.words[self.fixed] = self.tokens[self.fixed]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens of all windows within a text that have enough plain words, and their hashes."""
-        hashes = windows(self.tokens, size)
-        if not len(hashes):
-            return np.zeros(0, np.int64), hashes
-        slots = np.concatenate(([0], np.cumsum(self.slot)))
-        n = len(hashes)
-        good = (self.text[:n] == self.text[size - 1 :]) & (slots[size:] - slots[:n] <= size - min(PLAIN, size))
-        at = np.flatnonzero(good)
-        return at, hashes[at]
+    def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First tokens, hashes, ids and slots of all windows within a text that have enough plain words.
 
+        First with names as slots, then those with names once more with names as words.
+        Both have one id; where only the second has enough plain words, it counts only
+        in texts that have no window of the first kind.
+        """
+        typed, worded = windows(self.tokens, size), windows(self.words, size)
+        n = len(typed)
+        if not n:
+            return []
 
-_WINDOWS = "pos int, win bigint, slots array<bigint>"
+        def enough(slot: np.ndarray) -> np.ndarray:
+            slots = np.concatenate(([0], np.cumsum(slot)))
+            return (self.text[:n] == self.text[size - 1 :]) & (slots[size:] - slots[:n] <= size - min(PLAIN, size))
 
+        first, second = enough(self.slot), enough(self.fixed) & (typed != worded)
+        has = np.bincount(self.text[:n][first], minlength=len(self.counts)) > 0
+        ids = np.where(first, typed, worded)
+        out = []
+        for good, hashes, slot in ((first, typed, self.slot), (second, worded, self.fixed)):
+            at = np.flatnonzero(good)
+            out.append((at, hashes[at], np.where(first[at] | ~has[self.text[at]], ids[at], np.uint64(0)), slot))
+        return out
 
-def template_windows(rows: DataFrame, keys: list[str], text: str, size: int, known: np.ndarray | None) -> DataFrame:
-    """``keys``, token position, hash and slot values of the windows of every text.
 
-    With a bitmap ``known`` only windows that may be in it leave the task, and those
-    without slots leave once per text.
+_WINDOWS = "pos int, win bigint, id bigint, size int, words int, slots array<bigint>"
+
+
+def template_windows(rows: DataFrame, keys: list[str], text: str, sizes: list[int], known: np.ndarray | None) -> DataFrame:
+    """``keys``, token position, hash, id, length, words of the text and slot values of the windows of every text.
+
+    With a bitmap ``known`` only windows that may be in it leave the task, of all
+    ``sizes``, and those without slots leave once per text.  Without one, texts that
+    are shorter than the largest size are one window, if that has one of the ``sizes``.
     """
     kept = rows.select(*keys, F.col(text).alias("_text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "_text")
@@ -119,89 +141,133 @@ def template_windows(rows: DataFrame, keys: list[str], text: str, size: int, kno
             data, offsets = byte_column(batch.column("_text"))
             for i, j in chunks(offsets):
                 template = Template(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at, hashes = template.windows(size)
-                if known is not None:
-                    hit = sketch.found(known, hashes)
-                    at, hashes = at[hit], hashes[hit]
-                slots = np.concatenate(([0], np.cumsum(template.slot)))
-                begin, end = slots[at], slots[at + size]
-                if known is not None and len(at):
-                    pair = np.stack((template.text[at], hashes.view(np.int64)), axis=1)
-                    once = np.zeros(len(at), bool)
-                    once[np.unique(pair, axis=0, return_index=True)[1]] = True
-                    keep = once | (end > begin)
-                    at, hashes, begin, end = at[keep], hashes[keep], begin[keep], end[keep]
-                values = template.values[template.slot].view(np.int64)
-                width = end - begin
-                ends = np.concatenate(([0], np.cumsum(width)))
-                flat = np.repeat(begin - ends[:-1], width) + np.arange(ends[-1])
-                first = np.searchsorted(template.text, np.arange(j - i))
-                pos = (at - first[template.text[at]]).astype(np.int32) if len(at) else np.zeros(0, np.int32)
-                rows_of = pa.array(template.text[at] + i)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(c.take(rows_of) for c in batch.columns[:-1]),
-                        pa.array(pos),
-                        pa.array(hashes.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[flat])),
-                    ],
-                    names=[*keys, "pos", "win", "slots"],
-                )
+                for size in sizes:
+                    for found in template.windows(size):
+                        yield made(batch, i, j, template, size, *found)
+
+    def made(batch, i, j, template, size, at, hashes, ids, slot):
+        if known is not None:
+            hit = sketch.found(known, hashes)
+        else:
+            words = template.counts[template.text[at]]
+            hit = (ids != 0) & ((words == size) if size < max(sizes) else (words >= size))
+        at, hashes, ids = at[hit], hashes[hit], ids[hit]
+        slots = np.concatenate(([0], np.cumsum(slot)))
+        begin, end = slots[at], slots[at + size]
+        if known is not None and len(at):
+            pair = np.stack((template.text[at], hashes.view(np.int64)), axis=1)
+            once = np.zeros(len(at), bool)
+            once[np.unique(pair, axis=0, return_index=True)[1]] = True
+            keep = once | (end > begin)
+            at, hashes, ids, begin, end = at[keep], hashes[keep], ids[keep], begin[keep], end[keep]
+        values = template.values[slot].view(np.int64)
+        width = end - begin
+        ends = np.concatenate(([0], np.cumsum(width)))
+        flat = np.repeat(begin - ends[:-1], width) + np.arange(ends[-1])
+        first = np.searchsorted(template.text, np.arange(j - i))
+        own = template.text[at]
+        return pa.RecordBatch.from_arrays(
+            [
+                *(c.take(pa.array(own + i)) for c in batch.columns[:-1]),
+                pa.array((at - first[own]).astype(np.int32)),
+                pa.array(hashes.view(np.int64)),
+                pa.array(ids.view(np.int64)),
+                pa.array(np.full(len(at), size, np.int32)),
+                pa.array(template.counts[own].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[flat])),
+            ],
+            names=[*keys, *(c.split(" ")[0] for c in _WINDOWS.split(", "))],
+        )
 
     return kept.mapInArrow(each, schema + _WINDOWS)
 
 
+def _occurrences() -> Column:
+    """The groups in which the values of a match must agree with those of others.
+
+    All matches of the document; those of one offset; and those of offsets that lie
+    together, in two rows of ranges as wide as the item, set off by half of it.
+    """
+    offset = (F.col("pos") - F.col("item_pos")).cast("bigint")
+    half = F.floor(F.col("words") / 2)
+    places = (F.lit(0), offset, F.floor(offset / F.col("words")), F.floor((offset + half) / F.col("words")))
+    return F.array(*[F.struct(F.lit(k).alias("k"), p.cast("bigint").alias("at")) for k, p in enumerate(places)])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
     """``doc_id, text_hash, item_id, covered, windows, changed`` of every passage found.
 
     A document holds an item if at least ``cover`` of the item's distinct template
-    windows are in it with consistent slots: over all matches of the two, each value
-    of the item stands for the value it most often stands for, and windows that
-    disagree do not count.  ``changed`` counts the values that differ.
+    windows are in it with consistent slots: each value of the item stands for the
+    value it most often stands for, and windows that disagree do not count.  That is
+    settled in every occurrence of its own (see ``_occurrences``), and the one that
+    covers most counts; windows without slots count wherever they stand.  A window
+    with names also counts if its words are the item's, whatever their case and
+    place in a sentence.  ``changed`` counts the values that differ.
 
-    Items with a null id or text, or of fewer than ``size`` words, and windows of
-    almost only slots are never found; nor is anything in a null or short text.
-    Rows of one id and text give one result.  Items with one id are one item.
+    An item of SHORTEST words or more, but fewer than ``size``, is one window.  Items
+    with a null id or text, or of fewer words, and windows of almost only slots are
+    never found; nor is anything in a null or shorter text.  Rows of one id and text
+    give one result.  Items with one id are one item.
 
     The windows of the documents meet a bitmap of fixed size before anything is
     shuffled; what passes is joined with the items' windows by hash.
     """
     use_checkpoints(docs.sparkSession)
-    item_windows = template_windows(items.where("item_id IS NOT NULL"), ["item_id"], "text", size, None)
+    sizes = list(range(min(SHORTEST, size), size + 1))
+    item_windows = template_windows(items.where("item_id IS NOT NULL"), ["item_id"], "text", sizes, None)
     item_windows = item_windows.withColumnsRenamed({"slots": "item_slots", "pos": "item_pos"})
     # The bitmap, the join and the totals read them; a benchmark is small beside a corpus.
     known = sketch.bitmap(item_windows, "win")
-    totals = item_windows.groupBy("item_id").agg(F.countDistinct("win").alias("windows"))
+    used = sorted(r["size"] for r in item_windows.select("size").distinct().collect())
+    totals = item_windows.groupBy("item_id").agg(F.countDistinct("id").alias("windows"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = template_windows(keyed, ["doc_id", "text_hash"], "text", size, known)
+    found = template_windows(keyed, ["doc_id", "text_hash"], "text", used, known).drop("id", "size", "words")
     pair = ["doc_id", "text_hash", "item_id"]
     # Stored: three branches read them, and the texts should be read once.
-    matches = found.join(item_windows, "win").select(*pair, "win", "item_pos", "pos", "slots", "item_slots").checkpoint()
-    plain = matches.where("size(slots) = 0").select(*pair, "win", F.lit(0).alias("changed"))
-    safe = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "doc_id" else F.col(c) == F.col(f"m_{c}") for c in pair]
-    slotted = matches.where("size(slots) > 0 AND size(slots) = size(item_slots)").select(
-        *pair, "win", "item_pos", "pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")
-    ).select(*pair, "win", "item_pos", "pos", F.col("s.item_slots").alias("ours"), F.col("s.slots").alias("theirs"))
+    matches = found.join(item_windows, "win").select(
+        *pair, "id", "win", "item_pos", "pos", "words", "slots", "item_slots"
+    ).checkpoint()
+    slotted = (
+        matches.where("size(slots) > 0 AND size(slots) = size(item_slots)")
+        .select(*pair, "id", "win", "item_pos", "pos", "slots", "item_slots", F.explode(_occurrences()).alias("o"))
+        .select(*pair, "id", "win", "item_pos", "pos", "o", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+        .select(*pair, "id", "win", "item_pos", "pos", "o", F.col("s.item_slots").alias("ours"), F.col("s.slots").alias("theirs"))
+    )
+    within = [*pair, "o"]
+    safe = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "doc_id" else F.col(c) == F.col(f"m_{c}") for c in within]
     meaning = (
-        slotted.groupBy(*pair, "ours", "theirs")
+        slotted.groupBy(*within, "ours", "theirs")
         .count()
-        .groupBy(*pair, "ours")
+        .groupBy(*within, "ours")
         .agg(F.max_by("theirs", F.struct("count", "theirs")).alias("theirs"))
-        .select(*[F.col(c).alias(f"m_{c}") for c in (*pair, "ours", "theirs")])
+        .select(*[F.col(c).alias(f"m_{c}") for c in (*within, "ours", "theirs")])
     )
     agreeing = (
         slotted.join(meaning, [*safe, F.col("ours") == F.col("m_ours")])
-        .groupBy(*pair, "win", "item_pos", "pos")
+        .groupBy(*within, "id", "win", "item_pos", "pos")
         .agg(F.bool_and(F.col("theirs") == F.col("m_theirs")).alias("agrees"), F.count_if(F.col("ours") != F.col("theirs")).alias("changed"))
         .where("agrees")
-        .select(*pair, "win", "changed")
+        .select(*pair, "id", "o", "changed")
+    )
+    # A window may count as plain, by its own names, and in an occurrence.
+    fixed = matches.where("size(slots) = 0").select(*pair, "id").distinct()
+    by_window = agreeing.groupBy(*within, "id").agg(F.max("changed").alias("changed"))
+    mine = [by_window[c].eqNullSafe(fixed[c]) if c == "doc_id" else by_window[c] == fixed[c] for c in (*pair, "id")]
+    best = (
+        by_window.join(fixed, mine, "left_anti")
+        .groupBy(*within)
+        .agg(F.count("*").alias("covered"), F.max("changed").alias("changed"))
+        .groupBy(*pair)
+        .agg(F.max(F.struct("covered", (-F.col("changed")).alias("same"))).alias("b"))
+        .select(*pair, F.col("b.covered").alias("covered"), (-F.col("b.same")).alias("changed"))
     )
     return (
-        plain.union(agreeing)
-        .groupBy(*pair, "win")
-        .agg(F.max("changed").alias("changed"))
+        fixed.groupBy(*pair)
+        .agg(F.count("*").alias("covered"), F.lit(0).cast("bigint").alias("changed"))
+        .union(best)
         .groupBy(*pair)
-        .agg(F.count("*").alias("covered"), F.max("changed").alias("changed"))
+        .agg(F.sum("covered").alias("covered"), F.max("changed").alias("changed"))
         .join(totals, "item_id")
         .where(F.col("covered") >= cover * F.col("windows"))
         .select(*pair, "covered", "windows", "changed")

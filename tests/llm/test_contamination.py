@@ -46,6 +46,28 @@ def test_slots_must_agree(spark):
     assert got == {(0, 1)}
 
 
+def test_each_occurrence_settles_its_own_values(spark):
+    one = "A train goes {} {} from {} to {} in {} hours. How fast was the train on its way?"
+    copies = [("120", "km", "Paris", "Rome", "3")] + [(str(95 + i), "miles", f"Oslo{i}", f"Kiel{i}", str(7 + i)) for i in range(6)]
+    texts = [" Well. ".join(one.format(*c) for c in some) for some in (copies[:2], copies, copies[::-1], copies[1:3])]
+    # A part of each of two variants is not an occurrence of the item.
+    texts.append("A train goes 1 km from Oslo to Kiel in 2 hours.")
+    got, _, _ = found(spark, texts)
+    assert got == {(i, 1) for i in range(4)}
+
+
+def test_case_line_breaks_and_short_items(spark):
+    text = ITEMS[0][1]
+    texts = [
+        text.upper(), text.lower(), text.replace("from Paris", "from\nParis").replace("to Rome", "to\nRome"),
+        "so then\nCount the red apples again now", "we should Count the red apples again now", "COUNT RED APPLES NOW",
+        "count red apples", "A TRAIN IS FAST FROM PARIS TO ROME",
+    ]
+    items = [(1, text), (7, "Count the red apples again now"), (8, "Count red apples now"), (4, "too short")]
+    got, _, _ = found(spark, texts, items)
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 7), (4, 7), (5, 8)}
+
+
 def plain_windows(text):
     words = re.findall(r"[^\W_]+", text.lower())
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
