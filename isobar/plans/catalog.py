@@ -1348,10 +1348,12 @@ def f_compare_all(spark, d):
             forecast_lag_linear(parts, 90, target),
             forecast_trend_seasonal(parts, 90, target, include_history=False),
             forecast_seasonal_ar(parts, 90, target),
+            forecast_seasonal_ar(parts, 90, target, search=True).withColumn(
+                "model", F.regexp_replace("model", "^seasonal_ar", "seasonal_ar_search")
+            ),
             forecast_mean(parts, 90, target),
+            forecast_lag_forest(parts.join(places, KEY), 90, target),
         ]
-        if target == MEAN_T:
-            made.append(forecast_lag_forest(parts.join(places, KEY), 90, target))
         path = fresh_path(spark, "forecasts")
         union = made[0]
         for other in made[1:]:

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import seasonal_series, to_pandas, to_spark
+from conftest import TESTDATA, seasonal_series, to_pandas, to_spark
 from isobar.operators import evaluate, report
 from isobar.operators import timeseries as ts
 from isobar.operators.forecast.lag_forest import forecast_lag_forest
@@ -11,6 +11,7 @@ from isobar.operators.forecast.lag_linear import forecast_lag_linear
 from isobar.operators.forecast.seasonal_ar import forecast_seasonal_ar, order_search
 from isobar.operators.forecast.simple import forecast_mean
 from isobar.operators.forecast.trend_seasonal import forecast_trend_seasonal
+from isobar.plans.catalog import QUERIES
 
 LENGTHS = [1200, 60, 13, 1000]
 
@@ -217,3 +218,14 @@ def test_report_keeps_nulls_without_data(spark, frame, mean):
     assert rows.loc[1, "energy"] == "heating requirements"
     assert rows.loc[2, "trend"] is None
     assert rows["annual_precipitation"].isna().all()
+
+
+@pytest.mark.skipif(not TESTDATA.exists(), reason="needs the given tables")
+def test_all_models_are_compared_for_every_target(spark):
+    rows = QUERIES["F10_compare_all_models"](spark, str(TESTDATA)).select("target", "by_position", "model").distinct().collect()
+    models = {}
+    for r in rows:
+        models.setdefault((r.target, r.by_position), set()).add(r.model)
+    assert len(models) == 6 and len(set(map(frozenset, models.values()))) == 1
+    assert any("forest" in m for m in next(iter(models.values())))
+    assert any(m.startswith("seasonal_ar_search") for m in next(iter(models.values())))
