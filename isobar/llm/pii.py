@@ -165,23 +165,28 @@ def fit(found: DataFrame, sample: int = SAMPLE, rounds: int = 12, depth: int = 3
 
     Candidates are labelled by the exact patterns and their checks, secrets by an
     assignment before them; the checks and the assignment are no features.  Four
-    fifths of the sample grow the trees.  On the rest, each kind gets the lowest of
-    a hundred thresholds at which ``PRECISION`` of what it accepts is right.
+    fifths of the sample grow the trees.  On all other candidates, in the sample or
+    not, each kind gets the lowest of a hundred thresholds at which ``PRECISION`` of
+    what it accepts is right.
     """
     rows = found.select("doc_id", F.explode("candidates").alias("c")).select(
         F.xxhash64("doc_id", "c.s", "c.e", "c.k").alias("h"), F.col("c.k").alias("k"), F.col("c.f").alias("f"),
         F.col("c.y").cast("double").alias("label"),
     )
     drawn = rows.orderBy("h", "k", "f").limit(sample).checkpoint()
-    grow, ask = drawn.where("pmod(h, 5) > 0"), drawn.where("pmod(h, 5) = 0")
-    if grow.agg(F.countDistinct("label")).first()[0] < 2:
+    grow, last = drawn.where("pmod(h, 5) > 0"), drawn.agg(F.max("h")).first()[0]
+    ask = rows.where((F.pmod("h", F.lit(5)) == 0) | (F.col("h") > F.lit(last)))
+    if last is None:
         return Trees()
-    flat = grow.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)])
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat)
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=3).fit(vectors.select("label", "features"))
-    parts = [
-        (_tree(t._java_obj.rootNode()), float(w)) for t, w in zip(model.trees, model.treeWeights, strict=True)
-    ]
+    parts = []
+    # A sample of one label grows no trees, but kinds that are right elsewhere keep a threshold.
+    if grow.agg(F.countDistinct("label")).first()[0] == 2:
+        flat = grow.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)])
+        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat)
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=3).fit(vectors.select("label", "features"))
+        parts = [
+            (_tree(t._java_obj.rootNode()), float(w)) for t, w in zip(model.trees, model.treeWeights, strict=True)
+        ]
     trees = Trees(parts)
     steps = (
         ask.select("k", "label", F.floor(trees.probability(F.col("f")) * 100).alias("step"))

@@ -83,3 +83,11 @@ def test_query_columns_and_added_spans(spark, tmp_path):
         assert set(filter(None, base.split(","))) <= spans
         assert any(s.startswith("secret:") for s in spans) == (r.doc_id is not None and r.doc_id < 300 and r.doc_id % 3 == 0)
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_thresholds_come_from_all_candidates(spark):
+    text = "concat('call +1 (555) 01', lpad(id, 5, '0'), '-7713 part number ', lpad(id, 7, '0'), if(id % 400 = 7, concat(' token = \"', left(sha2(string(id), 256), 40), '\" end'), ''))"
+    docs = spark.range(2000).selectExpr("id AS doc_id", f"{text} AS text")
+    exact = docs.select("doc_id", "text", pii.exact_spans(F.col("text")).alias("exact"))
+    found = exact.select("doc_id", pii._candidates(F.col("text"), F.col("exact")).alias("candidates")).cache()
+    assert pii.SECRET in pii.fit(found, sample=200).thresholds
