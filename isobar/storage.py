@@ -29,3 +29,9 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Make reliable checkpoints possible, keeping a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate folder once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
