@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, licenses, lines, pieces, pii, quality, simhash, toolcalls, urls
+from ..storage import shared_folder
+from . import (
+    contamination,
+    interactions,
+    language,
+    licenses,
+    lines,
+    negatives,
+    pieces,
+    pii,
+    quality,
+    simhash,
+    toolcalls,
+    urls,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +109,31 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_line_dedup", lines.ORACLE)
 def op4(spark: SparkSession, d: str) -> DataFrame:
     return lines.line_report(table(spark, d, "documents"))
+
+
+@query("op11_hard_negatives", negatives.ORACLE)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0)
+
+
+@query("op12_filter_audit", interactions.ORACLE)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return interactions.filter_interactions(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op13_warc", warc.ORACLE)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(
+        F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload")
+    )
+    found = warc.round_trip(spark, pages, f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
+    return found.select(
+        warc.page_of(F.col("id")).cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        warc.page_of(F.col("refers_to")).cast("bigint").alias("refers_to"),
+    )
