@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..timeseries import last_n
 
@@ -49,19 +50,86 @@ def tail_arrays(
     return listed.select(*keys, *[F.col(f"_tail.{c}").alias(f"tail_{c}") for c in columns])
 
 
-def second_moments(columns: Sequence[str]) -> tuple[list[Column], list[Column]]:
-    """Aggregates for a regression: means, and central second moments of all pairs.
+def gram_blocks(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Per key ``_rows``, ``_means`` and ``_moments``: row count, means, and central
+    second moments (divided by the count) of all pairs, upper triangle row by row.
 
-    The built-in covariance updates and merges without cancellation, so neither
-    a centring pass nor a wide matrix in Python is needed.
+    Every task adds up the rows it holds to one block per key: count, means, and the
+    matrix of products around them.  Blocks merge pairwise without cancellation
+    (Chan, Golub and LeVeque), so only they are exchanged, one per key and task.
+    Rows with a null in any column take no part.
     """
-    means = [F.avg(c) for c in columns]
-    moments = [F.covar_pop(a, b) for a, b in combinations_with_replacement(columns, 2)]
-    return means, moments
+    names = list(columns)
+    size = len(names)
+    upper = np.triu_indices(size)
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    schema = T.StructType(
+        [*fields, T.StructField("_count", T.DoubleType()), T.StructField("_block", T.ArrayType(T.DoubleType()))]
+    )
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            table = batch[names].to_numpy(dtype=float)
+            usable = ~np.isnan(table).any(axis=1)
+            batch, table = batch[usable], table[usable]
+            for key, at in batch.groupby(list(keys), sort=False).indices.items():
+                part = _block(table[at])
+                key = key if isinstance(key, tuple) else (key,)
+                held[key] = _merged(held[key], part) if key in held else part
+            if len(held) > MOST_HELD:
+                yield _block_rows(held, keys)
+                held = {}
+        if held:
+            yield _block_rows(held, keys)
+
+    def _block_rows(held: dict, keys: Sequence[str]) -> pd.DataFrame:
+        out = pd.DataFrame(list(held), columns=[f.name for f in fields])
+        out["_count"] = [float(n) for n, _, _ in held.values()]
+        out["_block"] = [np.concatenate([mean, products[upper]]) for _, mean, products in held.values()]
+        return out
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def merged(counts: pd.Series, parts: pd.Series) -> pd.Series:
+        found = []
+        for n, some in zip(counts, parts, strict=True):
+            n, some = np.asarray(n), np.vstack(some)
+            mean = n @ some[:, :size] / n.sum()
+            apart = some[:, :size] - mean
+            products = some[:, size:].sum(axis=0) + ((apart * n[:, None]).T @ apart)[upper]
+            found.append(np.concatenate([mean, products / n.sum()]))
+        return pd.Series(found)
+
+    ordered = [f.name for f in fields]
+    parts = rows.select(*ordered, *names).mapInPandas(blocks, schema)
+    listed = parts.groupBy(*keys).agg(F.collect_list(F.struct("_count", "_block")).alias("_b"))
+    return listed.select(
+        *keys,
+        F.aggregate("_b._count", F.lit(0.0), lambda total, n: total + n).cast("bigint").alias("_rows"),
+        merged("_b._count", "_b._block").alias("_m"),
+    ).select(
+        *keys, "_rows", F.slice("_m", 1, size).alias("_means"), F.slice("_m", size + 1, len(upper[0])).alias("_moments")
+    )
+
+
+#: Keys whose blocks a task holds before it sends them on.
+MOST_HELD = 20_000
+
+
+def _block(table: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    mean = table.mean(axis=0)
+    apart = table - mean
+    return len(table), mean, apart.T @ apart
+
+
+def _merged(one: tuple, other: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    n = one[0] + other[0]
+    apart = other[1] - one[1]
+    return n, one[1] + apart * (other[0] / n), one[2] + other[2] + np.outer(apart, apart) * (one[0] * other[0] / n)
 
 
 def moment_matrix(flat: np.ndarray, size: int) -> np.ndarray:
-    """Symmetric matrices, one per row of ``flat``, from :func:`second_moments`."""
+    """Symmetric matrices, one per row of ``flat``, from :func:`gram_blocks`."""
     rows, cols = np.triu_indices(size)
     out = np.empty((len(flat), size, size))
     out[:, rows, cols] = flat

@@ -17,9 +17,9 @@ from .common import (
     Z95,
     extent,
     forecast_rows,
+    gram_blocks,
     least_squares,
     moment_matrix,
-    second_moments,
     tail_arrays,
     train_rows,
 )
@@ -91,16 +91,13 @@ def lag_regression(
 ) -> DataFrame:
     """One row per key: ``predictions`` and ``residual_std``.
 
-    Training is one aggregate of second moments; Python sees one row per key.
+    Training is one pass for the moments; the solver sees one small array per key.
     The series must be free of nulls but at its start, as daily tables are.
     """
     train = train_rows(split)
     columns = [*ml_feature_names(), target]
     features = ml_feature_frame(train, target, keys).dropna(subset=[target])
-    means, moments = second_moments(columns)
-    fitted = features.groupBy(*keys).agg(
-        F.array(*means).alias("_means"), F.array(*moments).alias("_moments")
-    )
+    fitted = gram_blocks(features, columns, keys)
     history = train.select(*keys, "time", F.col(target).cast("double").alias("y"))
     per_key = (
         fitted.join(tail_arrays(history, ["y"], max(LAGS), keys), list(keys))

@@ -8,7 +8,7 @@ numbers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,14 +18,15 @@ from pyspark.sql import types as T
 
 from ...schema import DEFAULT_KEYS
 from ..clean import regularize_daily
-from ..series import CORE, block_window, with_day_blocks
+from ..series import block_arrays, with_day_blocks
+from ..timeseries import lagged_products
 from .common import (
     Z95,
     days_after,
     extent,
+    gram_blocks,
     least_squares,
     moment_matrix,
-    second_moments,
     tail_arrays,
     train_rows,
 )
@@ -61,65 +62,66 @@ def _daily(train: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
     return daily.select(*keys, "time", F.col(target).cast("double").alias("_y"))
 
 
-def _differences(daily: DataFrame, keys: Sequence[str], seasonal: bool) -> DataFrame:
-    """Blocks of the series with ``_w``: differenced by a day and, if asked, by a week.
+def _blocks(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The series in blocks, one array each, with enough earlier rows for all later steps."""
+    return block_arrays(with_day_blocks(daily, before=REACH), keys, "_y")
+
+
+def _differenced(values: np.ndarray, seasonal: bool) -> np.ndarray:
+    """Change by a day and, if asked, by a week on top; unknown where it reaches too far back."""
+    moves = np.diff(np.asarray(values, dtype=float), prepend=np.nan)
+    if seasonal:
+        moves = moves - np.concatenate([np.full(SEASON, np.nan), moves[:-SEASON]])[: len(moves)]
+    return moves
 
-    The blocks carry enough earlier rows for all later steps, so all of them use
-    this one partitioning.
-    """
-    window = block_window(keys)
 
-    def change(k: int):
-        return F.lag("_y", k).over(window) - F.lag("_y", k + 1).over(window)
+def _lagged(x: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate([np.full(k, np.nan), x[:-k]])[: len(x)]
 
-    step = change(0) - change(SEASON) if seasonal else change(0)
-    return with_day_blocks(daily, before=REACH).withColumn("_w", step)
+
+@F.pandas_udf(_DOUBLES)
+def _block_products(values: pd.Series, context: pd.Series, seasonal: pd.Series) -> pd.Series:
+    """Sums of products of differences up to ``LONG_AR`` rows apart."""
+    return pd.Series(
+        [lagged_products(_differenced(v, s), c, LONG_AR) for v, c, s in zip(values, context, seasonal, strict=True)]
+    )
 
 
-def _long_weights(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _long_weights(blocks: DataFrame, keys: Sequence[str], seasonal: bool) -> DataFrame:
     """``_phi`` per key: the long autoregression of the differences.
 
     Differencing leaves a mean of nearly zero, so none is taken off.
     """
-    window = block_window(keys)
-    products = blocks.select(
-        *keys,
-        CORE,
-        *[
-            (F.col("_w") * F.lag("_w", k).over(window)).alias(f"_p{k}")
-            for k in range(LONG_AR + 1)
-        ],
-    ).where(CORE)
-    sums = [F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in range(LONG_AR + 1)]
-    totals = products.groupBy(*keys).agg(F.array(*sums).alias("_sums"))
+    products = blocks.select(*keys, _block_products("_values", "_context", F.lit(seasonal)).alias("_p"))
+    totals = products.groupBy(*keys).agg(
+        F.array(*[F.sum(F.col("_p")[k]) for k in range(LONG_AR + 1)]).alias("_sums")
+    )
     return totals.select(*keys, _long_autoregression("_sums").alias("_phi"))
 
 
-def _moments(blocks: DataFrame, long: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _moments(blocks: DataFrame, long: DataFrame, keys: Sequence[str], seasonal: bool) -> DataFrame:
     """Per key, means and second moments of all lag terms and the response."""
-    window = block_window(keys)
-    explained = sum(
-        (F.lag("_w", k).over(window) * F.get("_phi", F.lit(k - 1)) for k in range(1, LONG_AR + 1)),
-        F.lit(0.0),
-    )
-    shocked = blocks.join(long, list(keys)).withColumn("_e", F.col("_w") - explained)
-    lagged = (
-        shocked.select(
-            *keys,
-            CORE,
-            "_w",
-            *[F.lag("_w", k).over(window).alias(f"_w{k}") for k in LAGS],
-            *[F.lag("_e", k).over(window).alias(f"_e{k}") for k in LAGS],
-        )
-        .where(CORE)
-        .dropna(subset=[*TERMS, "_w"])
-    )
-    means, moments = second_moments([*TERMS, "_w"])
-    return lagged.groupBy(*keys).agg(
-        F.array(*means).alias("_means"),
-        F.array(*moments).alias("_moments"),
-        F.count(F.lit(1)).alias("_rows"),
+    fields = [f for f in blocks.schema.fields if f.name in keys]
+    names = [f.name for f in fields]
+    terms = [*TERMS, "_w"]
+    schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in terms]])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch.itertuples(index=False):
+                w = _differenced(block.values_, seasonal)
+                shocks = w - sum(phi * _lagged(w, k) for k, phi in enumerate(block.phi_, start=1))
+                columns = [*[_lagged(w, k) for k in LAGS], *[_lagged(shocks, k) for k in LAGS], w]
+                table = np.stack(columns, axis=1)[block.context_ :]
+                known = pd.DataFrame(table[~np.isnan(table).any(axis=1)], columns=terms)
+                for i, name in enumerate(names):
+                    known.insert(i, name, block[i])
+                yield known
+
+    arrays = blocks.join(long, list(keys)).select(
+        *names, F.col("_values").alias("values_"), F.col("_context").alias("context_"), F.col("_phi").alias("phi_")
     )
+    return gram_blocks(arrays.mapInPandas(rows, schema), terms, keys)
 
 
 _CANDIDATES = T.ArrayType(
@@ -177,9 +179,9 @@ def _fit_orders(means: pd.Series, moments: pd.Series, rows: pd.Series) -> pd.Ser
 
 def _candidates(daily: DataFrame, keys: Sequence[str], seasonal: bool) -> DataFrame:
     """One row per key and order with its fit and the key's ``_phi``."""
-    blocks = _differences(daily, keys, seasonal)
-    long = _long_weights(blocks, keys)
-    fits = _moments(blocks, long, keys).select(
+    blocks = _blocks(daily, keys)
+    long = _long_weights(blocks, keys, seasonal)
+    fits = _moments(blocks, long, keys, seasonal).select(
         *keys, _fit_orders("_means", "_moments", "_rows").alias("_fits")
     )
     return fits.join(long, list(keys)).select(*keys, "_phi", F.inline("_fits"))

@@ -157,6 +157,18 @@ def block_window(keys: Sequence[str]):
     return Window.partitionBy(*keys, BLOCK).orderBy(POSITION)
 
 
+def block_arrays(blocks: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """One row per block of :func:`with_blocks`: its values in series order as the array
+    ``_values``, led by ``_context`` rows of the block before.
+
+    What a frame of any shape needs of a block is then one array of bounded length.
+    """
+    rows = F.sort_array(F.collect_list(F.struct(POSITION, column)))
+    return blocks.groupBy(*keys, BLOCK).agg(
+        F.count_if(~F.col(CORE)).cast("int").alias("_context"), rows.alias("_rows")
+    ).select(*keys, BLOCK, "_context", F.col(f"_rows.{column}").alias("_values"))
+
+
 def core_only(df: DataFrame, *also_drop: str) -> DataFrame:
     """Drop context copies and the bookkeeping columns."""
     return df.where(CORE).drop(BLOCK, CORE, *also_drop)

@@ -18,6 +18,7 @@ from .series import (
     CORE,
     LENGTH,
     POSITION,
+    block_arrays,
     block_window,
     core_only,
     neighbours,
@@ -196,8 +197,8 @@ def lag_products(
     """Per key, ``n`` and ``sums``: at index k the sum of products of deviations
     from the mean that lie ``k`` rows apart.
 
-    The products come from one window over blocks and are added up in one
-    aggregate, so only ``nlags + 1`` numbers per key and task are exchanged.
+    Each block of the series becomes one array, and all its products are taken in
+    one pass over it; only ``nlags + 1`` numbers per key and task are exchanged.
     """
     series = df.select(*keys, "time", F.col(target).cast("double").alias("_x"))
     filled = fill_forward_backward(series, keys, ["_x"], unit="year")
@@ -208,24 +209,32 @@ def lag_products(
     placed = with_position(filled, keys, totals=totals).withColumn(
         "_d", F.col("_x") - F.try_divide(F.col("_total"), F.col("_known"))
     )
-    window = block_window(keys)
     blocks = with_blocks(placed.select(*keys, POSITION, LENGTH, "_d"), keys, before=nlags)
-    products = core_only(
-        blocks.select(
-            "*",
-            (F.col("_d") * F.col("_d")).alias("_p0"),
-            *[
-                (F.col("_d") * F.lag("_d", k).over(window)).alias(f"_p{k}")
-                for k in range(1, nlags + 1)
-            ],
-        )
+    products = block_arrays(blocks, keys, "_d").select(
+        *keys, _products("_values", "_context", F.lit(nlags)).alias("_p"), (F.size("_values") - F.col("_context")).alias("_core_rows")
     )
     return products.groupBy(*keys).agg(
-        F.max(LENGTH).alias("n"),
-        F.array(*[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in range(nlags + 1)]).alias("sums"),
+        F.sum("_core_rows").alias("n"),
+        F.array(*[F.sum(F.col("_p")[k]) for k in range(nlags + 1)]).alias("sums"),
     )
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _products(values: pd.Series, context: pd.Series, nlags: pd.Series) -> pd.Series:
+    """Sums of products of a block's rows with those 0 to ``nlags`` rows before."""
+    return pd.Series([lagged_products(v, c, n) for v, c, n in zip(values, context, nlags, strict=True)])
+
+
+def lagged_products(values: np.ndarray, context: int, nlags: int) -> np.ndarray:
+    """Index k: the sum over rows after the first ``context`` of the row times the one k before."""
+    x = np.nan_to_num(np.asarray(values, dtype=float))
+    sums = np.zeros(nlags + 1)
+    for k in range(min(nlags, len(x) - 1) + 1):
+        start = max(context, k)
+        sums[k] = x[start:] @ x[start - k : len(x) - k]
+    return sums
+
+
 def _usable_lags(nlags: int) -> Column:
     """Highest lag of a series of ``n`` rows."""
     return F.least(F.lit(nlags), (F.floor(F.col("n") / 2) - 1).cast("int"))
