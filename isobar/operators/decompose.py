@@ -4,43 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import DEFAULT_KEYS, require
 from .clean import fill_forward_backward
-from .series import BLOCK, CORE, LENGTH, POSITION, with_blocks, with_position
+from .series import BLOCK, CORE, LENGTH, POSITION, block_window, with_blocks, with_position
 
 # Bounds of the period used when a series is shorter than two periods.
 SHORT_PERIODS = (7, 30)
 
 
-def _moving_average(rows: pd.DataFrame) -> pd.DataFrame:
-    """Centred moving average of one block; its width is a column, which no window
-    frame can express.  A block holds a bounded number of rows."""
-    rows = rows.sort_values(POSITION, ignore_index=True)
-    values = rows["_x"].to_numpy(dtype=float)
-    position = rows[POSITION].to_numpy()
-    period, length = int(rows["_period"].iloc[0]), int(rows[LENGTH].iloc[0])
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    at = np.arange(len(values))
-    if length < 2 * period:
+def _moving_average(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``trend``: a centred moving average whose width is a column.
+
+    A block is one array of rows with sums running along it, so any width is the
+    difference of two of its elements.  A block holds a bounded number of rows.
+    """
+    summed = blocks.withColumn("_sum", F.sum("_x").over(block_window(keys)))
+    arrays = summed.groupBy(*keys, BLOCK).agg(
+        F.sort_array(F.collect_list(F.struct(POSITION, "time", "_x", "_sum", CORE))).alias("_rows"),
+        F.first("_period").alias("_period"),
+        F.first(LENGTH).alias(LENGTH),
+    )
+    p, n = F.col("_period"), F.col(LENGTH)
+    half = F.floor(p / 2).cast("int")
+    whole = n >= 2 * p
+    at_rows = F.col("_rows")
+    last = F.size("_rows") - 1
+
+    def reach(i: Column, back: Column, ahead: Column) -> tuple[Column, Column, Column]:
+        low, high = F.greatest(i - back, F.lit(0)), F.least(i + ahead, last)
+        before = F.when(low > 0, F.get(at_rows, low - 1)["_sum"]).otherwise(0.0)
+        return low, high, F.get(at_rows, high)["_sum"] - before
+
+    def averaged(row: Column, i: Column) -> Column:
+        low, high, total = reach(i, half, half)
+        # An even width counts the two ends half.
+        ends = F.when(p % 2 == 0, (F.get(at_rows, low)["_x"] + F.get(at_rows, high)["_x"]) / 2).otherwise(0.0)
+        inside = (row[POSITION] >= half) & (row[POSITION] + half < n)
         # Too short to decompose: a plain rolling mean over what is there.
-        low = np.maximum(at - period // 2, 0)
-        high = np.minimum(at + (period - 1) // 2 + 1, len(values))
-        trend = (sums[high] - sums[low]) / (high - low)
-    else:
-        half = period // 2
-        low, high = np.clip(at - half, 0, None), np.clip(at + half, None, len(values) - 1)
-        total = sums[high + 1] - sums[low]
-        if period % 2 == 0:
-            total = total - 0.5 * (values[low] + values[high])
-        inside = (position >= half) & (position + half < length)
-        trend = np.where(inside, total / period, np.nan)
-    return rows.assign(trend=trend)[rows[CORE]].drop(columns=[BLOCK, CORE])
+        few_low, few_high, few = reach(i, half, F.floor((p - 1) / 2).cast("int"))
+        trend = F.when(~whole, few / (few_high - few_low + 1)).when(inside, (total - ends) / p)
+        return F.struct(row[POSITION].alias(POSITION), row["time"].alias("time"), row["_x"].alias("_x"), row[CORE].alias(CORE), trend.alias("trend"))
+
+    rows = arrays.select(*keys, "_period", LENGTH, F.inline(F.transform("_rows", averaged)))
+    return rows.where(CORE).drop(CORE)
 
 
 def seasonal_decompose(
@@ -68,16 +77,7 @@ def seasonal_decompose(
     )
     reach = max(period // 2, most // 2) + 1
     blocks = with_blocks(sized, keys, before=reach, after=reach)
-    smooth_schema = T.StructType(
-        [f for f in blocks.schema.fields if f.name not in (BLOCK, CORE)]
-        + [T.StructField("trend", T.DoubleType())]
-    )
-    smooth = (
-        blocks.groupBy(*keys, BLOCK)
-        .applyInPandas(_moving_average, smooth_schema)
-        .withColumn("trend", F.nanvl("trend", F.lit(None).cast("double")))
-        .withColumn("_x", F.nanvl("_x", F.lit(None).cast("double")))
-    )
+    smooth = _moving_average(blocks, keys)
 
     at, p = F.col(POSITION), F.col("_period")
     front = F.floor(p / 2)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...schema import DEFAULT_KEYS, PLACE_COLUMNS
-from ...storage import shared_folder, use_checkpoints
+from ...storage import discard, shared_folder, use_checkpoints
 from ..timeseries import LAGS, ROLLING, ml_feature_frame, ml_feature_names
 from .common import Z95, extent, forecast_rows, tail_arrays, train_rows
 
@@ -33,46 +33,57 @@ DEPTH = 16
 LEAF_ROWS = 5
 
 
+# Trees whose nodes travel together.
+GROUP = 25
+
+
 class _Nodes:
-    """The trees of a forest as arrays: one row per tree, one column per node.
+    """The nodes of some trees, one entry each; the right child follows the left one.
 
-    Their number is bounded by the forest's settings, not by the data: at most
-    ``trees * 2 ** (depth + 1)`` nodes.
+    Thirteen bytes a node, and their number is bounded by the forest's settings, not
+    by the data: at most ``trees * 2 ** (depth + 1)``.
     """
 
-    def __init__(self, table: pd.DataFrame, trees: int):
-        shape = (trees, int(table["id"].max()) + 1)
-        tree, node = table["tree"].to_numpy(), table["id"].to_numpy()
-        self.feature = np.zeros(shape, np.int16)
-        self.cut = np.full(shape, np.inf)
-        self.left, self.right = (np.tile(np.arange(shape[1], dtype=np.int32), (trees, 1)) for _ in range(2))
-        self.value = np.zeros(shape)
-        self.value[tree, node] = table["prediction"]
+    def __init__(self, table: pd.DataFrame):
+        order = _by_level(table)
+        table = table.iloc[order].reset_index(drop=True)
+        place = pd.Series(np.arange(len(table), dtype=np.int32), index=pd.MultiIndex.from_frame(table[["tree", "id"]]))
         inner = (table["left"] >= 0).to_numpy()
-        at = tree[inner], node[inner]
-        self.feature[at], self.cut[at] = table["feature"][inner], table["cut"][inner]
-        self.left[at], self.right[at] = table["left"][inner], table["right"][inner]
-
-    def predict(self, rows: np.ndarray) -> np.ndarray:
-        """Mean of all trees for each row of features."""
-        tree = np.arange(len(self.feature))[None, :]
+        self.roots = np.flatnonzero(table["id"].to_numpy() == 0).astype(np.int32)
+        self.left = np.arange(len(table), dtype=np.int32)
+        self.left[inner] = place.loc[pd.MultiIndex.from_frame(table.loc[inner, ["tree", "left"]])].to_numpy()
+        # A leaf leads back to itself: no feature lies beyond its cut.
+        self.feature = np.where(inner, table["feature"].to_numpy(), 0).astype(np.int8)
+        self.cut = np.where(inner, table["cut"].astype(float), np.inf).astype(np.float32)
+        self.value = table["prediction"].to_numpy(np.float32)
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """Sum over the trees for each row of float32 features."""
         each = np.arange(len(rows))[:, None]
-        node = np.zeros((len(rows), len(self.feature)), np.int32)
+        node = np.tile(self.roots, (len(rows), 1))
         while True:
-            low = rows[each, self.feature[tree, node]] <= self.cut[tree, node]
-            below = np.where(low, self.left[tree, node], self.right[tree, node])
+            below = self.left[node] + (rows[each, self.feature[node]] > self.cut[node])
             if np.array_equal(below, node):
-                return self.value[tree, node].mean(axis=1)
+                return self.value[node].sum(axis=1, dtype=float)
             node = below
 
 
-def _nodes_of(spark: SparkSession, model: RandomForestRegressionModel, trees: int) -> _Nodes:
-    """Node arrays of a fitted forest, by way of its stored form."""
+def _by_level(table: pd.DataFrame) -> np.ndarray:
+    """An order in which the two children of a node are neighbours, left first."""
+    inner = table[table["left"] >= 0]
+    parent = pd.concat(
+        [inner.assign(child=inner[side], place=i)[["tree", "child", "id", "place"]] for i, side in enumerate(("left", "right"))]
+    ).rename(columns={"id": "parent", "child": "id"})
+    placed = table[["tree", "id"]].merge(parent, on=["tree", "id"], how="left")
+    return placed.fillna(-1).sort_values(["tree", "parent", "place"], kind="stable").index.to_numpy()
+
+
+def _stored_nodes(spark: SparkSession, model: RandomForestRegressionModel, trees: int) -> list:
+    """The forest's nodes, a broadcast for each group of trees, by way of its stored form."""
     path = f"{shared_folder(spark).rstrip('/')}/isobar-forest-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
-    data = spark.read.parquet(f"{path}/data")
     node = F.col("nodeData")
-    table = data.select(
+    table = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"),
         node["id"].alias("id"),
         node["prediction"].alias("prediction"),
@@ -80,8 +91,13 @@ def _nodes_of(spark: SparkSession, model: RandomForestRegressionModel, trees: in
         node["rightChild"].alias("right"),
         node["split"]["featureIndex"].alias("feature"),
         F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
-    ).toPandas()
-    return _Nodes(table, trees)
+    )
+    groups = [
+        spark.sparkContext.broadcast(_Nodes(table.where(F.col("tree").between(t, t + GROUP - 1)).toPandas()))
+        for t in range(0, trees, GROUP)
+    ]
+    discard(spark, path)
+    return groups
 
 
 def _features(past: np.ndarray, days: pd.DatetimeIndex, places: np.ndarray) -> np.ndarray:
@@ -91,7 +107,7 @@ def _features(past: np.ndarray, days: pd.DatetimeIndex, places: np.ndarray) -> n
     rolling = [past[:, -k:].sum(axis=1) / k for k in ROLLING]
     known = np.nan_to_num(np.stack([*lags, *rolling], axis=1))
     season = np.stack([days.month.to_numpy(float), np.sin(angle), np.cos(angle)], axis=1)
-    return np.concatenate((season, known, places), axis=1)
+    return np.concatenate((season, known, places), axis=1).astype(np.float32)
 
 
 def forecast_lag_forest(
@@ -101,16 +117,18 @@ def forecast_lag_forest(
     keys: Sequence[str] = DEFAULT_KEYS,
     trees: int = TREES,
     depth: int = DEPTH,
+    traits: Sequence[str] = PLACE_COLUMNS,
 ) -> DataFrame:
     """Recursive forest forecast with a constant residual band.
 
     Training runs when this is called.  Forecasting is one pass over one row per
     key: each step predicts a day for all keys of a batch at once from the trees'
-    node arrays.  ``trees`` and ``depth`` are settings of the model.
+    node arrays.  ``trees`` and ``depth`` are settings of the model; ``traits`` names
+    the numbers, one per key, that tell keys apart, where ``split`` has them.
     """
     use_checkpoints(split.sparkSession)
     train = train_rows(split)
-    places = [c for c in PLACE_COLUMNS if c in split.columns]
+    places = [c for c in traits if c in split.columns]
     place = train.groupBy(*keys).agg(*[F.max(c).alias(c) for c in places]) if places else None
 
     def with_place(df: DataFrame) -> DataFrame:
@@ -141,7 +159,7 @@ def forecast_lag_forest(
         F.stddev_pop(F.col(target) - F.col("_predicted")).alias("residual_std")
     )
 
-    nodes = _nodes_of(split.sparkSession, model, trees)
+    groups = _stored_nodes(split.sparkSession, model, trees)
     reach = max(*LAGS, *ROLLING)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -154,7 +172,7 @@ def forecast_lag_forest(
         found = []
         for step in range(1, int(steps.max()) + 1):
             rows = _features(past, start + pd.Timedelta(days=step), fixed)
-            found.append(nodes.predict(rows))
+            found.append(sum(nodes.value.total(rows) for nodes in groups) / trees)
             past = np.concatenate((past[:, 1:], found[-1][:, None]), axis=1)
         path = np.stack(found, axis=1)
         return pd.Series([p[:n] for p, n in zip(path, steps, strict=True)])

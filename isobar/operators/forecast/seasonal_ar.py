@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,6 @@ from .common import (
     tail_arrays,
     train_rows,
 )
-from .simple import forecast_mean
 
 # Weekly season, largest orders tried, orders used without a search.
 SEASON = 7
@@ -295,27 +294,40 @@ def forecast_seasonal_ar(
         chosen = fits.where((F.col("p") == p) & (F.col("q") == q)).select(
             *keys, "level", "weights", "variance", "_phi"
         )
-    days = extent(split, forecast_days, keys)
+    known = train_rows(split).groupBy(*keys).agg(
+        F.avg(target).alias("_mean"), F.stddev_samp(target).alias("_deviation")
+    )
+    zeros = F.array_repeat(F.lit(0.0), F.lit(len(TERMS)))
     per_key = (
-        chosen.join(tail_arrays(daily, ["_y"], _TAIL + REACH, keys), list(keys))
-        .join(days, list(keys))
-        .withColumn("_weekly", F.lit(1.0 if search else 0.0))
+        extent(split, forecast_days, keys)
+        .join(known, list(keys))
+        .join(tail_arrays(daily, ["_y"], _TAIL + REACH, keys), list(keys), "left")
+        .join(chosen.withColumn("_fits", F.lit(True)), list(keys), "left")
     )
+    # Keys without a fit run along on zeros, so that nothing is computed twice.
     run = _run_forward(
-        "weights", "level", "variance", "_weekly", "_phi", "tail__y", "steps"
+        F.coalesce("weights", zeros),
+        F.coalesce("level", F.lit(0.0)),
+        F.coalesce("variance", F.lit(0.0)),
+        F.lit(1.0 if search else 0.0),
+        F.coalesce("_phi", F.array_repeat(F.lit(0.0), F.lit(LONG_AR))),
+        F.coalesce("tail__y", F.array().cast(_DOUBLES)),
+        "steps",
     )
-    solved = per_key.select(*keys, "last_time", run.alias("_out"))
+    solved = per_key.withColumn("_out", run)
     pairs = F.arrays_zip(F.col("_out.path").alias("path"), F.col("_out.spread").alias("spread"))
-    fitted = solved.select(*keys, "last_time", F.posexplode(pairs).alias("_i", "_at")).select(
+    daily_rows = solved.select(*keys, "last_time", "_fits", "_mean", "_deviation", F.posexplode(pairs).alias("_i", "_at"))
+
+    def either(fitted: Column, mean: Column) -> Column:
+        return F.when(F.col("_fits"), fitted).otherwise(mean)
+
+    path, spread = F.col("_at.path"), Z95 * F.col("_at.spread")
+    mean, width = F.col("_mean"), 2 * F.col("_deviation")
+    return daily_rows.select(
         *keys,
-        F.lit("seasonal_ar").alias("model"),
+        either(F.lit("seasonal_ar"), F.lit("seasonal_ar_mean")).alias("model"),
         days_after(F.col("last_time"), F.col("_i") + 1).alias("time"),
-        F.col("_at.path").alias("forecast"),
-        (F.col("_at.path") - Z95 * F.col("_at.spread")).alias("lower_ci"),
-        (F.col("_at.path") + Z95 * F.col("_at.spread")).alias("upper_ci"),
-    )
-    short = days.join(chosen.select(*keys), list(keys), "left_anti")
-    rest = split.join(short.select(*keys, "steps"), list(keys))
-    return fitted.unionByName(
-        forecast_mean(rest, F.col("steps"), target, keys).withColumn("model", F.lit("seasonal_ar_mean"))
+        either(path, mean).alias("forecast"),
+        either(path - spread, mean - width).alias("lower_ci"),
+        either(path + spread, mean + width).alias("upper_ci"),
     )

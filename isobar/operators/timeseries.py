@@ -255,28 +255,29 @@ def acf(
     )
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _partial_autocorrelations(sums: pd.Series, n: pd.Series) -> pd.Series:
-    """Durbin-Levinson on autocovariances divided by the number of pairs.
+def _durbin_levinson(cov: Column, nlags: int) -> Column:
+    """Partial autocorrelations for lags 0 to ``nlags`` from autocovariances, one step a lag."""
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("phi"), cov[0].alias("error"), F.array(F.lit(1.0)).cast("array<double>").alias("partial"))
 
-    All series of a batch advance together, one lag per step.
-    """
-    products = np.vstack(sums.to_numpy())
-    pairs = np.maximum(n.to_numpy(dtype=float)[:, None] - np.arange(products.shape[1]), 1.0)
-    cov = products / pairs
-    rows, width = cov.shape
-    partial = np.full((rows, width), np.nan)
-    partial[:, 0] = 1.0
-    phi = np.zeros((rows, 0))
-    error = cov[:, 0].copy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in range(1, width):
-            ahead = (phi * cov[:, 1:k][:, ::-1]).sum(axis=1)
-            newest = (cov[:, k] - ahead) / error
-            phi = np.hstack([phi - newest[:, None] * phi[:, ::-1], newest[:, None]])
-            error = error * (1 - newest**2)
-            partial[:, k] = newest
-    return pd.Series(list(partial))
+    def step(state: Column, k: Column) -> Column:
+        phi = state["phi"]
+        products = F.zip_with(phi, F.reverse(F.slice(cov, F.lit(2), k - 1)), lambda a, b: a * b)
+        ahead = F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+
+        def advanced(newest: Column) -> Column:
+            moved = F.zip_with(phi, F.reverse(phi), lambda a, b: a - newest * b)
+            return F.struct(
+                F.concat(moved, F.array(newest)).alias("phi"),
+                (state["error"] * (1 - newest * newest)).alias("error"),
+                F.concat(state["partial"], F.array(newest)).alias("partial"),
+            )
+
+        # An array of one element names the value, so that it is computed once a step.
+        newest = F.array(F.try_divide(F.get(cov, k) - ahead, state["error"]))
+        return F.transform(newest, advanced)[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(nlags)), start, step, lambda state: state["partial"])
 
 
 def pacf(
@@ -287,13 +288,15 @@ def pacf(
 ) -> DataFrame:
     """Partial autocorrelation by Yule-Walker: ``(keys, lag, pacf)``.
 
-    Uses the sums of :func:`acf`: one small array per key reaches Python.
+    Folds the sums of :func:`acf`, divided by their numbers of pairs, lag by lag (Durbin
+    and Levinson).  A series that does not vary has null from lag 1 on.
     """
     sums = lag_products(df, target, nlags, keys)
-    solved = sums.withColumn("_partial", _partial_autocorrelations("sums", "n"))
+    pairs = F.transform("sums", lambda s, k: s / F.greatest(F.col("n") - k, F.lit(1)))
+    solved = sums.select(*keys, "n", pairs.alias("_cov")).withColumn("_partial", _durbin_levinson(F.col("_cov"), nlags))
     return solved.select(*keys, "n", F.posexplode("_partial").alias("lag", "pacf")).where(
         F.col("lag") <= _usable_lags(nlags)
-    ).select(*keys, "lag", F.nanvl("pacf", F.lit(None).cast("double")).alias("pacf"))
+    ).select(*keys, "lag", "pacf")
 
 
 def sort_by_time(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
