@@ -65,7 +65,7 @@ def trigrams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Table:
-    """Vectors of the trigrams seen so far, one row each; begun anew when it is full."""
+    """Vectors of the trigrams seen so far, one row of bytes each; begun anew when it is full."""
 
     def __init__(self, dimensions: int, most: int = 24_000):
         self.dimensions, self.most = dimensions, most
@@ -74,7 +74,7 @@ class _Table:
 
     def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.rows = np.zeros((1024, self.dimensions), np.float32)
+        self.rows = np.zeros((1024, self.dimensions), np.int8)
 
     def letter(self, symbol: int) -> np.ndarray:
         """The random vector of a letter: -1 and 1, drawn from the letter's own seed."""
@@ -103,7 +103,7 @@ class _Table:
                     self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
                 self.rows[n] = self.gram(c)
             rows = self.rows[[self.at[c] for c in part]]
-            total += counts[k : k + 4096].astype(np.float32) @ rows
+            total += counts[k : k + 4096].astype(np.float32) @ rows.astype(np.float32)
         return total
 
 

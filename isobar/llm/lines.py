@@ -24,11 +24,9 @@ SPREAD = 16
 #: In each list a line is held against so many lines before it, and the list's first.
 NEAR = 1024
 #: So many of them at most, the nearest, are compared by their words at first.  Lines
-#: with more, or beyond in a longer list, and still unmatched go through the whole list.
-FIRST = 2
-
-#: Words of long lists, at most, that every task gets; more are joined by a shuffle.
-BROADCAST_WORDS = 1_000_000
+#: with more, or beyond in a longer list, and still unmatched go through the parts of
+#: the list that share a second word with them.
+FIRST = 8
 
 KEY = ["kid", "th", "line"]
 #: What lists carry of a key: lists are the bulk of the work, and the words that are
@@ -102,8 +100,9 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """Every line with a word: its key, 128-bit set hash, size, bit map and prefix.
 
     Words are put in one global order, rarest first by ``counts``.  Two sets that
-    match share a word of their prefixes.  Sets of up to three words match only
-    their equals and get no prefix.  A bit of the map tells whether an odd number of
+    match share a word of their prefixes, and another one within one word more, which
+    ``prefix`` ends with.  Sets of up to three words match only their equals and get no
+    prefix.  A bit of the map tells whether an odd number of
     the set's words have its hash value.
     """
     # Counts in steps of a 16th of a power of two: nine bits hold them.
@@ -127,7 +126,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         h1, h2 = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)
         bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), begin[:-1]) if len(first) else hashes
         least = -(-size * NUMERATOR // DENOMINATOR)
-        prefix = np.where(size > 3, size - least + 1, 0)
+        prefix = np.where(size > 3, size - least + 2, 0)
         ends = np.concatenate(([0], np.cumsum(prefix)))
         flat = np.repeat(begin[:-1] - ends[:-1], prefix) + np.arange(ends[-1])
         home = words.text[first]
@@ -153,9 +152,11 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """A row for each prefix word of each set, with its place and the word before it."""
-    return sets.select(*SHORT, "size", "bits", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", *SHORT, "size", "pos", F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1]).alias("prev"), "bits"
+    """A row for each prefix word of each set, with its place, the word before it, and all words of the prefix."""
+    listed = sets.select(*SHORT, "size", "bits", "prefix", F.posexplode("prefix").alias("pos", "token"))
+    before = F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1])
+    return listed.where(F.col("pos") < F.size("prefix") - 1).select(
+        "token", *SHORT, "size", "pos", before.alias("prev"), "bits", "prefix"
     )
 
 
@@ -308,7 +309,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     words are then compared.  In a list, a line is held against its near predecessors,
     and of those that pass only the nearest are compared.  That settles large families
     of similar lines without their pairs; lines that had more, or stand far on in a
-    long list, and are still unmatched go through the whole list.
+    long list, and are still unmatched meet the lines of the list that share a second
+    word of the prefix with them.
     """
     use_checkpoints(docs.sparkSession)
     lines = _stored(line_sets(docs, word_counts(docs)))
@@ -316,7 +318,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = _stored(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*"))
 
     postings = _postings(sets.where("size(prefix) > 0"))
-    sorted_lists = postings.repartition("token").sortWithinPartitions("token", *SHORT)
+    sorted_lists = postings.drop("prefix").repartition("token").sortWithinPartitions("token", *SHORT)
     found = sorted_lists.mapInArrow(_near_candidates, _PAIR).checkpoint()
     matched = _verified(docs, found.where("token IS NULL")).distinct().checkpoint()
     # Ids that stand for several texts: their short keys do not tell lines apart.
@@ -324,11 +326,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     twins = twins.select("kid", F.lit(True).alias("twin")).checkpoint()
     settled = matched.select(*SHORT).distinct().join(twins, "kid", "left_anti")
     left = found.where("token IS NOT NULL").select("token", *SHORT).join(settled, SHORT, "left_anti").checkpoint()
-    tokens = left.select("token").distinct().checkpoint()
-    many = tokens.count()
-    if many:
-        # The few words go to the lists, rather than all lists to the words.
-        long = postings.join(F.broadcast(tokens) if many <= BROADCAST_WORDS else tokens, "token")
+    # Stored, so that their size is known when the lists are joined with them.
+    tokens = _stored(left.select("token").distinct())
+    if tokens.count():
+        others = F.filter("prefix", lambda word, place: place != F.col("pos"))
+        long = postings.join(tokens, "token").withColumn("second", F.explode(others)).drop("prefix")
         long = long.join(twins, "kid", "left").checkpoint()
         ours = long.join(left, ["token", *SHORT], "left_semi")
         theirs = long.drop("twin").withColumnsRenamed({c: f"y_{c}" for c in _POSTING if c != "token"})
@@ -337,7 +339,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         same_before = F.coalesce(F.col("prev") == F.col("y_prev"), F.lit(False))
         columns = [F.col(c) for c in ("size", "y_size", "pos", "y_pos")]
         columns.append(F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))))
-        rest = ours.join(theirs, "token").where(before & ~same_before & _fits(*columns))
+        rest = ours.join(theirs, ["token", "second"]).where(before & ~same_before & _fits(*columns))
         matched = matched.union(_verified(docs, rest)).distinct().checkpoint()
 
     firsts = sets.select("h1", "h2", *[F.col(c).alias(f"f_{c}") for c in KEY])

@@ -18,7 +18,7 @@ from .texts import byte_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose pieces a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: What a character without a piece costs below the lowest score.
 UNKNOWN_COST = 10.0
 
