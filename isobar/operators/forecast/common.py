@@ -23,16 +23,20 @@ def test_rows(split: DataFrame) -> DataFrame:
     return split.where(F.col("split") == "test").drop("split")
 
 
-def extent(split: DataFrame, forecast_days: int, keys: Sequence[str]) -> DataFrame:
-    """Per key: last training time, training rows, test rows and number of steps."""
+def extent(split: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: last training time, training rows and test rows."""
     train = F.col("split") == "train"
     sizes = split.groupBy(*keys).agg(
         F.max(F.when(train, F.col("time"))).alias("last_time"),
         F.count_if(train).alias("train_rows"),
         F.count_if(~train).alias("test_rows"),
     )
-    steps = F.greatest(F.col("test_rows"), F.lit(forecast_days)).cast("int")
-    return sizes.where(F.col("train_rows") > 0).withColumn("steps", steps)
+    return sizes.where(F.col("train_rows") > 0)
+
+
+def with_steps(extents: DataFrame, forecast_days: int) -> DataFrame:
+    """Days to forecast: those asked for, or the test rows if there are more."""
+    return extents.withColumn("steps", F.greatest(F.col("test_rows"), F.lit(forecast_days)).cast("int"))
 
 
 def days_after(start: Column, days: Column) -> Column:

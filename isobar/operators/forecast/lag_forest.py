@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ...schema import DEFAULT_KEYS, PLACE_COLUMNS
 from ...storage import discard, shared_folder, use_checkpoints
 from ..timeseries import LAGS, ROLLING, ml_feature_frame, ml_feature_names
-from .common import Z95, extent, forecast_rows, tail_arrays, train_rows
+from .common import Z95, extent, forecast_rows, tail_arrays, train_rows, with_steps
 
 # Trees and seed of the forest.
 TREES = 100
@@ -178,7 +178,7 @@ def forecast_lag_forest(
         return pd.Series([p[:n] for p, n in zip(path, steps, strict=True)])
 
     history = train.select(*keys, "time", F.col(target).cast("double").alias("y"))
-    ends = extent(split, forecast_days, keys)
+    ends = with_steps(extent(split, keys), forecast_days)
     state = with_place(
         ends.join(tail_arrays(history, ["y"], reach, keys), list(keys)).join(spread, list(keys))
     )

@@ -29,6 +29,7 @@ from .common import (
     moment_matrix,
     tail_arrays,
     train_rows,
+    with_steps,
 )
 
 # Weekly season, largest orders tried, orders used without a search.
@@ -267,18 +268,17 @@ def _run_forward(
     )
 
 
-def forecast_seasonal_ar(
+def fit_seasonal_ar(
     split: DataFrame,
-    forecast_days: int = 90,
     target: str = "temperature_2m_mean",
     keys: Sequence[str] = DEFAULT_KEYS,
     search: bool = False,
 ) -> DataFrame:
-    """Daily forecasts with a 95 percent band that widens with the horizon.
+    """The fitted models as a table, one row per key, to be stored and run later.
 
-    ``search`` picks the order with the lowest corrected information criterion
-    for each key; otherwise the fixed order is used.  Keys too short to fit get
-    the mean forecast over the same days, as model ``seasonal_ar_mean``.
+    ``keys, last_time, train_rows, test_rows, mean, deviation, tail, weekly, fits, level,
+    weights, variance, phi``: weights and the long autoregression ``phi`` of the chosen
+    order, and the latest days they run on.  ``fits`` is null for a key too short to fit.
     """
     daily = _daily(train_rows(split), target, keys)
     fits = _candidates(daily, keys, seasonal=search)
@@ -286,43 +286,48 @@ def forecast_seasonal_ar(
         usable = fits.where(F.col("aicc").isNotNull())
         chosen = usable.groupBy(*keys).agg(
             F.min_by(
-                F.struct("level", "weights", "variance", "_phi"), F.struct("aicc", "p", "q")
+                F.struct("level", "weights", "variance", F.col("_phi").alias("phi")), F.struct("aicc", "p", "q")
             ).alias("_f")
         ).select(*keys, "_f.*")
     else:
         p, q = DEFAULT_ORDER
         chosen = fits.where((F.col("p") == p) & (F.col("q") == q)).select(
-            *keys, "level", "weights", "variance", "_phi"
+            *keys, "level", "weights", "variance", F.col("_phi").alias("phi")
         )
     known = train_rows(split).groupBy(*keys).agg(
-        F.avg(target).alias("_mean"), F.stddev_samp(target).alias("_deviation")
+        F.avg(target).alias("mean"), F.stddev_samp(target).alias("deviation")
     )
-    zeros = F.array_repeat(F.lit(0.0), F.lit(len(TERMS)))
-    per_key = (
-        extent(split, forecast_days, keys)
+    tails = tail_arrays(daily, ["_y"], _TAIL + REACH, keys).withColumnRenamed("tail__y", "tail")
+    return (
+        extent(split, keys)
         .join(known, list(keys))
-        .join(tail_arrays(daily, ["_y"], _TAIL + REACH, keys), list(keys), "left")
-        .join(chosen.withColumn("_fits", F.lit(True)), list(keys), "left")
+        .join(tails, list(keys), "left")
+        .withColumn("weekly", F.lit(1.0 if search else 0.0))
+        .join(chosen.withColumn("fits", F.lit(True)), list(keys), "left")
     )
+
+
+def run_seasonal_ar(models: DataFrame, forecast_days: int = 90, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+    """Forecasts from the table of :func:`fit_seasonal_ar`; keys without a fit get their mean."""
     # Keys without a fit run along on zeros, so that nothing is computed twice.
     run = _run_forward(
-        F.coalesce("weights", zeros),
+        F.coalesce("weights", F.array_repeat(F.lit(0.0), F.lit(len(TERMS)))),
         F.coalesce("level", F.lit(0.0)),
         F.coalesce("variance", F.lit(0.0)),
-        F.lit(1.0 if search else 0.0),
-        F.coalesce("_phi", F.array_repeat(F.lit(0.0), F.lit(LONG_AR))),
-        F.coalesce("tail__y", F.array().cast(_DOUBLES)),
+        "weekly",
+        F.coalesce("phi", F.array_repeat(F.lit(0.0), F.lit(LONG_AR))),
+        F.coalesce("tail", F.array().cast(_DOUBLES)),
         "steps",
     )
-    solved = per_key.withColumn("_out", run)
+    solved = with_steps(models, forecast_days).withColumn("_out", run)
     pairs = F.arrays_zip(F.col("_out.path").alias("path"), F.col("_out.spread").alias("spread"))
-    daily_rows = solved.select(*keys, "last_time", "_fits", "_mean", "_deviation", F.posexplode(pairs).alias("_i", "_at"))
+    daily_rows = solved.select(*keys, "last_time", "fits", "mean", "deviation", F.posexplode(pairs).alias("_i", "_at"))
 
     def either(fitted: Column, mean: Column) -> Column:
-        return F.when(F.col("_fits"), fitted).otherwise(mean)
+        return F.when(F.col("fits"), fitted).otherwise(mean)
 
     path, spread = F.col("_at.path"), Z95 * F.col("_at.spread")
-    mean, width = F.col("_mean"), 2 * F.col("_deviation")
+    mean, width = F.col("mean"), 2 * F.col("deviation")
     return daily_rows.select(
         *keys,
         either(F.lit("seasonal_ar"), F.lit("seasonal_ar_mean")).alias("model"),
@@ -331,3 +336,19 @@ def forecast_seasonal_ar(
         either(path - spread, mean - width).alias("lower_ci"),
         either(path + spread, mean + width).alias("upper_ci"),
     )
+
+
+def forecast_seasonal_ar(
+    split: DataFrame,
+    forecast_days: int = 90,
+    target: str = "temperature_2m_mean",
+    keys: Sequence[str] = DEFAULT_KEYS,
+    search: bool = False,
+) -> DataFrame:
+    """Daily forecasts with a 95 percent band that widens with the horizon.
+
+    ``search`` picks the order with the lowest corrected information criterion
+    for each key; otherwise the fixed order is used.  Keys too short to fit get
+    the mean forecast over the same days, as model ``seasonal_ar_mean``.
+    """
+    return run_seasonal_ar(fit_seasonal_ar(split, target, keys, search), forecast_days, keys)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ...schema import DEFAULT_KEYS
 from ..series import BLOCK, with_blocks, with_position
-from .common import Z95, days_after, extent, train_rows
+from .common import Z95, days_after, extent, train_rows, with_steps
 
 # Shape of the curve.
 KNOTS = 25
@@ -172,7 +172,7 @@ def forecast_trend_seasonal(
     )
     fitted = fitted.select(*keys, "_first", "_last", "_fit.weights", "_fit.residual_std")
 
-    ahead = extent(split, forecast_days, keys).select(
+    ahead = with_steps(extent(split, keys), forecast_days).select(
         *keys, "last_time", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("_i")
     )
     times = ahead.select(*keys, days_after(F.col("last_time"), F.col("_i")).alias("time"))
