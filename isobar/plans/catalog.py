@@ -188,6 +188,45 @@ def write_hourly(spark, d):
     return quantised(stored, *S.READINGS)
 
 
+_FETCHES = (
+    (("1996-02-01", "1996-08-01"), ("1997-03-01", "1997-06-01")),
+    (("1996-06-01", "1997-04-01"), ("1997-05-15", "1998-01-01"), ("1996-03-01", "1996-04-01")),
+)
+_GAPS = (*_FETCHES[0], ("1996-08-01", "1997-03-01"), ("1997-06-01", "1998-01-01"))
+
+
+def fetched(spark: SparkSession, d: str) -> str:
+    """A table filled by two requests that overlap, each writing only what was missing."""
+    rows = stored(spark, weather(spark, d), "weather")
+    path = fresh_path(spark, "ranges")
+    for ranges in _FETCHES:
+        listed = F.array(*[F.struct(F.lit(a).cast("timestamp_ntz").alias("start"), F.lit(b).cast("timestamp_ntz").alias("end")) for a, b in ranges])
+        wanted = rows.select(KEY).distinct().select(KEY, F.inline(listed))
+        tables.write_ranges(rows, wanted, path, buckets=4)
+    return path
+
+
+_IN_RANGE = "time >= TIMESTAMP '1996-02-01' AND time < TIMESTAMP '1998-01-01'"
+
+
+@query("S3_reused_ranges", S.query(S.W, f"SELECT station_id, time, {S.quantised(S.READINGS)} FROM w WHERE {_IN_RANGE}"))
+def reused_ranges(spark, d):
+    return quantised(tables.read_hourly(spark, fetched(spark, d), buckets=4).select(KEY, "time", *S.READINGS), *S.READINGS)
+
+
+@query(
+    "S3_stored_ranges",
+    S.query(
+        S.W,
+        "SELECT DISTINCT station_id, s AS start, e AS \"end\" FROM w, (VALUES "
+        + ", ".join(f"(TIMESTAMP '{a}', TIMESTAMP '{b}')" for a, b in _GAPS)
+        + ") v(s, e)",
+    ),
+)
+def stored_ranges(spark, d):
+    return tables.stored_ranges(spark, fetched(spark, d))
+
+
 @query(
     "S4_date_range_scan",
     S.query(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import HOURLY_SCHEMA, nan_to_null
+from ..storage import use_checkpoints
 
 STATION_BUCKET = "station_bucket"
 YEAR = "year"
@@ -58,6 +59,70 @@ def write_missing_hourly(df: DataFrame, path: str, buckets: int = 64) -> None:
     write_hourly(fresh.select(*df.columns), path, buckets, mode="append")
 
 
+#: Where a stored table notes what has been fetched; the leading underscore keeps it out of reads.
+RANGES = "_ranges"
+
+
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """``station_id, start, end`` without overlaps: ranges that meet or overlap become one.
+
+    An end is exclusive; empty ranges and those with a null count for nothing.  Windows
+    run over the ranges of one station, which are as many as its fetches.
+    """
+    order = Window.partitionBy("station_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ranges.where("start < end AND station_id IS NOT NULL").withColumn(
+        "_opens", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))
+    )
+    grouped = opened.withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("station_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
+def missing_ranges(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """What of the wanted ranges no stored range covers: interval subtraction per station.
+
+    Both sides are merged first.  Each wanted range is cut by the stored ones it
+    overlaps: a gap runs from the end of one, or its own start, to the start of the
+    next, or its own end.
+    """
+    known = merged_ranges(stored).withColumnsRenamed({"start": "_from", "end": "_to"})
+    asked = merged_ranges(wanted)
+    cut = asked.join(known, "station_id", "left").withColumn("_over", (F.col("_from") < F.col("end")) & (F.col("_to") > F.col("start")))
+    cuts = cut.groupBy("station_id", "start", "end").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_over"), F.struct("_from", "_to")))).alias("_cuts")
+    )
+    starts = F.concat(F.array("start"), F.col("_cuts._to"))
+    ends = F.concat(F.col("_cuts._from"), F.array("end"))
+    gaps = cuts.select("station_id", F.explode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("_gap"))
+    return gaps.select("station_id", "_gap.start", "_gap.end").where("start < end")
+
+
+def stored_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The ranges that :func:`write_ranges` has stored at ``path``."""
+    return spark.read.parquet(f"{path}/{RANGES}")
+
+
+def write_ranges(df: DataFrame, wanted: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store the readings of ``wanted`` (``station_id, start, end``) that are not stored yet.
+
+    Only the interval table is read to find the gaps, no stored reading.  A gap counts
+    as stored even where ``df`` has no reading in it.  Gaps are noted after their
+    readings; should a run end in between, :func:`write_missing_hourly` fills the same
+    readings without doubling them.  The first call makes the table.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{RANGES}")
+    begun = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    known = stored_ranges(spark, path) if begun else wanted.select("station_id", "start", "end").limit(0)
+    # The gaps are read twice, and the note that is appended must be the one that was used.
+    use_checkpoints(spark)
+    gaps = missing_ranges(wanted, known).checkpoint()
+    bounds = gaps.withColumnsRenamed({"station_id": "_station", "start": "_start", "end": "_end"})
+    inside = (F.col("station_id") == F.col("_station")) & (F.col("time") >= F.col("_start")) & (F.col("time") < F.col("_end"))
+    write_hourly(df.join(bounds, inside).select(*df.columns), path, buckets, mode="append")
+    gaps.write.mode("append").parquet(f"{path}/{RANGES}")
+
+
 def read_hourly(
     spark: SparkSession,
     path: str,

@@ -217,3 +217,33 @@ def test_streams(spark, frame, tmp_path):
     one = frame[frame.station_id == 1]["temperature_2m"]
     top = cleaned.where("station_id = 1").agg(F.max("temperature_2m")).first()[0]
     assert top == pytest.approx(one.mean() + one.std())
+
+
+def ranges(spark, *rows):
+    made = spark.createDataFrame([(s, f"2024-01-{a:02d}", f"2024-01-{b:02d}") for s, a, b in rows], "station_id bigint, a string, b string")
+    return made.selectExpr("station_id", "cast(a AS timestamp_ntz) AS start", "cast(b AS timestamp_ntz) AS end")
+
+
+def as_days(df):
+    return sorted((r.station_id, r.start.day, r.end.day) for r in df.collect())
+
+
+def test_range_subtraction(spark):
+    wanted = ranges(spark, (1, 1, 20), (1, 15, 25), (2, 3, 4), (3, 1, 9), (4, 5, 5), (None, 1, 9))
+    have = ranges(spark, (1, 5, 8), (1, 7, 10), (1, 24, 28), (3, 1, 9), (5, 1, 2))
+    assert as_days(tables.merged_ranges(wanted)) == [(1, 1, 25), (2, 3, 4), (3, 1, 9)]
+    assert as_days(tables.missing_ranges(wanted, have)) == [(1, 1, 5), (1, 10, 24), (2, 3, 4)]
+    assert as_days(tables.missing_ranges(wanted, have.limit(0))) == as_days(tables.merged_ranges(wanted))
+    assert as_days(tables.missing_ranges(wanted.limit(0), have)) == []
+
+
+def test_overlapping_requests_write_only_the_gap(spark, tmp_path):
+    hours = spark.range(24 * 20).selectExpr(
+        "id % 2 AS station_id", "cast('2024-01-01' AS timestamp_ntz) + make_dt_interval(0, id) AS time", "id * 1.0D AS temperature_2m"
+    )
+    path = str(tmp_path / "store")
+    for request in ((1, 2, 6), (1, 4, 9), (1, 3, 5)):
+        tables.write_ranges(hours, ranges(spark, request, (0, 1, 2)), path, buckets=2)
+    stored = tables.read_hourly(spark, path, buckets=2)
+    assert as_days(tables.stored_ranges(spark, path)) == [(0, 1, 2), (1, 2, 6), (1, 6, 9)]
+    assert stored.count() == stored.select("station_id", "time").distinct().count() == 12 + 7 * 12
