@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_KEYS, require
@@ -82,15 +82,63 @@ def heat_weights(summary: DataFrame, column: str = "temperature_2m_mean") -> Dat
     return known.select("latitude", "longitude", ((F.col(column) - low) / reach).alias("weight"))
 
 
+def _near_stations(framed: DataFrame, cells: int, nearest: int) -> DataFrame:
+    """Stations with every grid point (``_row``, ``_col``) that may have them among its nearest.
+
+    Stations are counted per cell around a grid point.  Rings of cells around a point
+    are added up until they hold ``nearest`` stations; none of these is further than
+    the ring's corner, so only cells within that distance are searched.  The tables of
+    cells and rings have a size that the grid fixes.  Stations meet grid points by an
+    equal join on the cell, a few for each station where stations are many.
+    """
+
+    def step(c: str) -> Column:
+        return (F.col(f"_high_{c}") - F.col(f"_low_{c}")) / (cells - 1)
+
+    def cell(c: str) -> Column:
+        at = F.round(F.try_divide(F.col(c) - F.col(f"_low_{c}"), step(c)))
+        return F.coalesce(at, F.lit(0.0)).cast("int")
+
+    placed = framed.select("*", cell("latitude").alias("_i"), cell("longitude").alias("_j"))
+    counts = placed.groupBy("_i", "_j").agg(
+        F.count("*").alias("_count"), F.max(step("latitude")).alias("_dy"), F.max(step("longitude")).alias("_dx")
+    )
+    every = F.sequence(F.lit(0), F.lit(cells - 1))
+    seen = counts.withColumn("_row", F.explode(every)).withColumn("_col", F.explode(every))
+    ring = F.greatest(F.abs(F.col("_row") - F.col("_i")), F.abs(F.col("_col") - F.col("_j")))
+    rings = seen.groupBy("_row", "_col", ring.alias("_ring")).agg(
+        F.sum("_count").alias("_count"), F.max("_dy").alias("_dy"), F.max("_dx").alias("_dx")
+    )
+    around = Window.partitionBy("_row", "_col").orderBy("_ring")
+    enough = F.when(F.sum("_count").over(around) >= nearest, F.col("_ring"))
+    reach = rings.withColumn("_enough", enough).groupBy("_row", "_col").agg(
+        F.coalesce(F.min("_enough"), F.lit(cells)).alias("_enough"), F.max("_dy").alias("_dy"), F.max("_dx").alias("_dx")
+    )
+    corner = (F.col("_enough") + 0.5) * F.hypot("_dy", "_dx")
+
+    def searched(index: str, by: str) -> Column:
+        width = F.coalesce(F.floor(F.try_divide(corner, F.col(by)) + 0.5 + 1e-9), F.lit(cells))
+        width = F.least(width, F.lit(cells)).cast("int")
+        return F.sequence(F.greatest(F.col(index) - width, F.lit(0)), F.least(F.col(index) + width, F.lit(cells - 1)))
+
+    search = reach.select("_row", "_col", F.explode(searched("_row", "_dy")).alias("_i"), searched("_col", "_dx").alias("_j"))
+    search = search.withColumn("_j", F.explode("_j"))
+    return placed.join(search, ["_i", "_j"]).drop("_i", "_j")
+
+
 def regional_grid(
     summary: DataFrame,
     column: str = "temperature_2m_mean",
     cells: int = 24,
     levels: int = 14,
     minimum_points: int = 4,
+    nearest: int | None = None,
 ) -> DataFrame:
     """Value and level per grid cell by inverse-distance weighting of stations.
 
+    ``nearest`` weighs only so many stations, those closest to the grid point (ties by
+    place and value); see :func:`_near_stations`.  Otherwise all stations count.
+
     Stands in for a drawn contour map; its numbers are not those of a
     triangulation.  The grid is ``cells`` squared whatever the number of
     stations: each input task adds up its own stations per grid cell, so at most
@@ -116,15 +164,19 @@ def regional_grid(
         *[overall(F.min(c)).alias(f"_low_{c}") for c in ("latitude", "longitude")],
         *[overall(F.max(c)).alias(f"_high_{c}") for c in ("latitude", "longitude")],
     )
-    spread = (
-        framed.withColumn("_y", F.explode(axis("latitude")))
-        .withColumn("_x", F.explode(axis("longitude")))
-        .withColumn(
-            "_d2",
-            F.pow(F.col("_y.at") - F.col("latitude"), F.lit(2))
-            + F.pow(F.col("_x.at") - F.col("longitude"), F.lit(2)),
-        )
+    distance = F.pow(F.col("_y.at") - F.col("latitude"), F.lit(2)) + F.pow(
+        F.col("_x.at") - F.col("longitude"), F.lit(2)
     )
+    if nearest is None:
+        met = framed.withColumn("_y", F.explode(axis("latitude"))).withColumn("_x", F.explode(axis("longitude")))
+    else:
+        met = _near_stations(framed, cells, nearest).select(
+            "*", axis("latitude")[F.col("_row")].alias("_y"), axis("longitude")[F.col("_col")].alias("_x")
+        )
+    spread = met.withColumn("_d2", distance)
+    if nearest is not None:
+        order = Window.partitionBy("_row", "_col").orderBy("_d2", "latitude", "longitude", "value")
+        spread = spread.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= nearest)
     weight = F.try_divide(F.lit(1.0), F.col("_d2"))
     on_point = F.col("_d2") == 0
     cell_values = spread.groupBy(

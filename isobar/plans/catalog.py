@@ -1094,6 +1094,31 @@ def a_grid(spark, d):
     return quantised(spatial.regional_grid(summary(spark, d)), "value")
 
 
+@query(
+    "A18_nearest_grid",
+    S.query(
+        S.SUMMARY
+        + f""",
+kn AS (SELECT latitude, longitude, {MEAN_T} AS value FROM sm),
+fr AS (SELECT min(latitude) AS y0, max(latitude) AS y1, min(longitude) AS x0, max(longitude) AS x1,
+              min(value) AS lo, max(value) AS hi FROM kn),
+gr AS (SELECT y.i AS row, x.i AS col, y0 + (y1 - y0) * y.i / 23 AS latitude, x0 + (x1 - x0) * x.i / 23 AS longitude
+       FROM fr, generate_series(0, 23) AS y(i), generate_series(0, 23) AS x(i)),
+ds AS (SELECT row, col, gr.latitude, gr.longitude, value,
+              (gr.latitude - kn.latitude) ** 2 + (gr.longitude - kn.longitude) ** 2 AS d2 FROM gr, kn
+       QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY d2, kn.latitude, kn.longitude, value) <= 4),
+ce AS (SELECT row, col, latitude, longitude, count(*) AS points,
+              coalesce(avg(CASE WHEN d2 = 0 THEN value END),
+                       sum(value / nullif(d2, 0)) / sum(1 / nullif(d2, 0))) AS value FROM ds GROUP BY ALL)""",
+        f"""SELECT row, col, latitude, longitude, {S.q("value", "value")},
+        CAST(CASE WHEN hi = lo THEN 1 ELSE greatest(least(floor((value - lo) / (hi - lo) * 14) + 1, 14), 1) END AS INTEGER) AS level
+        FROM ce, fr WHERE points >= 4""",
+    ),
+)
+def a_near_grid(spark, d):
+    return quantised(spatial.regional_grid(summary(spark, d), nearest=4), "value")
+
+
 # -- windows and time series ----------------------------------------------------
 
 _OVER = "OVER (PARTITION BY station_id ORDER BY time"

@@ -247,3 +247,26 @@ def test_overlapping_requests_write_only_the_gap(spark, tmp_path):
     stored = tables.read_hourly(spark, path, buckets=2)
     assert as_days(tables.stored_ranges(spark, path)) == [(0, 1, 2), (1, 2, 6), (1, 6, 9)]
     assert stored.count() == stored.select("station_id", "time").distinct().count() == 12 + 7 * 12
+
+
+@pytest.mark.parametrize("shape", ["even", "clustered", "line"])
+def test_nearest_grid_equals_brute_force(spark, shape):
+    rng = np.random.default_rng(8)
+    n = 300
+    lat, lon = rng.uniform(-60, 70, n), rng.uniform(-170, 170, n)
+    if shape == "clustered":
+        lat[:200], lon[:200] = lat[0] + rng.normal(size=200) * 0.01, lon[0] + rng.normal(size=200) * 0.01
+    if shape == "line":
+        lat[:] = 5.0
+    frame = pd.DataFrame({"latitude": lat, "longitude": lon, "temperature_2m_mean": rng.normal(size=n)})
+    places = spark.createDataFrame(frame)
+    everyone = spatial.regional_grid(places, cells=9, nearest=n).toPandas().sort_values(["row", "col"], ignore_index=True)
+    plain = spatial.regional_grid(places, cells=9).toPandas().sort_values(["row", "col"], ignore_index=True)
+    pd.testing.assert_frame_equal(everyone, plain)
+    got = spatial.regional_grid(places, cells=9, nearest=6).toPandas()
+    assert len(got) == 81
+    for row in got.itertuples():
+        d2 = (frame.latitude - row.latitude) ** 2 + (frame.longitude - row.longitude) ** 2
+        near = d2.nsmallest(6).index
+        want = np.average(frame.temperature_2m_mean[near], weights=1 / d2[near]) if d2[near].min() else frame.temperature_2m_mean[near[0]]
+        assert row.value == pytest.approx(want)
