@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import use_checkpoints
 from . import sketch
-from .texts import LOWER, Words, byte_column, chunks, hash_of, range_hashes, windows
+from .texts import LOWER, Words, byte_column, chunks, hash_of, range_hashes, spare, windows
 
 WINDOW = 5
 COVER = 0.8
@@ -133,12 +133,13 @@ def template_windows(rows: DataFrame, keys: list[str], text: str, sizes: list[in
     ``sizes``, and those without slots leave once per text.  Without one, texts that
     are shorter than the largest size are one window, if that has one of the ``sizes``.
     """
-    kept = rows.select(*keys, F.col(text).alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "_text")
+    hidden = spare(keys)
+    kept = rows.select(*keys, F.col(text).alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != hidden)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = byte_column(batch.column("_text"))
+            data, offsets = byte_column(batch.column(hidden))
             for i, j in chunks(offsets):
                 template = Template(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for size in sizes:
@@ -276,5 +277,5 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, cover: f
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; columns unchanged, null ids and repeated rows kept."""
-    bad = contaminated(docs, items).select(F.col("text_hash").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, items).select("text_hash").distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["text_hash"], "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import byte_column
+from .texts import byte_column, spare
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
@@ -164,14 +164,15 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     """
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
-    kept = docs.select(*docs.columns, F.col(text).alias("_text"))
+    hidden = spare(docs.columns)
+    kept = docs.select(*docs.columns, F.col(text).alias(hidden))
     schema = docs.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double")
     columns = [f.name for f in schema][:-2]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Table(matrix.shape[1])
         for batch in batches:
-            data, ends = byte_column(batch.column("_text"))
+            data, ends = byte_column(batch.column(hidden))
             found, scores = [], []
             for s, e in zip(ends[:-1], ends[1:], strict=True):
                 codes, counts = trigrams(data[s:e].tobytes())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import LOWER, Words, byte_column, chunks, hash_of
+from .texts import LOWER, Words, byte_column, chunks, hash_of, spare
 
 THRESHOLD = 0.8
 
@@ -146,8 +146,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, phr
     parts = [(np.array([hash_of(w) for w in p.split()], np.uint64), label) for p, label in phrases.items()]
     new = [c.split(" ")[0] for c in _COLUMNS.split(", ")]
     keep = [c for c in docs.columns if c not in new]
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
+    hidden = spare(keep)
+    rows = docs.select(*keep, F.col("text").alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != hidden)
 
     def chunk(data: np.ndarray, offsets: np.ndarray):
         texts = len(offsets) - 1
@@ -191,7 +192,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, phr
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = byte_column(batch.column("_text"))
+            data, offsets = byte_column(batch.column(hidden))
             for i, j in chunks(offsets):
                 found = chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 arrays = [

@@ -355,10 +355,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    known = removed.select(F.col("kid").alias("_kid"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
+def _with_removed(docs: DataFrame, removed: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` beside what each loses, and the column that holds it."""
     kid = F.coalesce(docs["doc_id"], F.lit(-(2**63)))
-    return docs.join(known, (kid == F.col("_kid")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
+    same = (kid == removed["kid"]) & (F.xxhash64(docs["text"]) == removed["th"])
+    return docs.join(removed, same, "left"), removed["removed"]
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -367,8 +368,8 @@ def line_report(docs: DataFrame) -> DataFrame:
     Line numbers count from 0 and are comma-joined.  Lines without words never
     match.  A null text has no lines; equal rows lose the same lines.
     """
-    rows = _with_removed(docs.select("doc_id", "text"), removed_lines(docs))
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
+    rows, gone = _with_removed(docs.select("doc_id", "text"), removed_lines(docs))
+    removed = F.coalesce(gone, F.array().cast("array<int>"))
     return rows.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("n_lines"),
@@ -388,13 +389,12 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
     No row goes; a text that loses all its lines becomes empty, a null text stays null.
     """
-    rows = _with_removed(docs, removed_lines(docs))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_removed")))
-    out = rows.withColumn("text", text)
+    rows, gone = _with_removed(docs, removed_lines(docs))
+    new = {"text": F.when(gone.isNull(), docs["text"]).otherwise(_without(docs["text"], gone))}
     if "n_chars" in docs.columns:
-        changed = F.col("_removed").isNotNull()
-        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        chars = F.when(gone.isNotNull(), F.length(new["text"])).otherwise(docs["n_chars"])
+        new["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns])
 
 
 #: ``line_report`` over documents of different ids, as plain SQL.

@@ -139,8 +139,10 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
     vocabulary = load(path)
     new = ["ids", "n_tokens", "ids_sha256", "exact"]
     keep = [c for c in docs.columns if c not in new]
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
+    # Plain names on the way through Python; the callers' own may hold dots or clash.
+    plain, hidden = [f"c{i}" for i in range(len(keep))], "text"
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain, strict=True)], F.col(text).alias(hidden))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != hidden)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(vocabulary)
@@ -150,7 +152,7 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
                 yield coded(coder, batch.slice(k, 1000))
 
     def coded(coder: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("_text")
+        texts = batch.column(hidden)
         data, ends = byte_column(texts)
         ids, digests, exact = [], [], []
         for s, e in zip(ends[:-1], ends[1:], strict=True):
@@ -164,10 +166,11 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, flat), pa.array(sizes), pa.array(digests, pa.string()), pa.array(exact, pa.bool_())],
-            names=[*keep, *new],
+            names=[*plain, *new],
         )
 
-    return rows.mapInArrow(each, schema + "ids array<int>, n_tokens bigint, ids_sha256 string, exact boolean")
+    coded_rows = rows.mapInArrow(each, schema + "ids array<int>, n_tokens bigint, ids_sha256 string, exact boolean")
+    return coded_rows.toDF(*keep, *new)
 
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..storage import use_checkpoints
-from .texts import SPACES, Words, byte_column, chunks, mixed, range_hashes, sums_by_text, windows
+from .texts import SPACES, Words, byte_column, chunks, mixed, range_hashes, spare, sums_by_text, windows
 
 #: Labelled rows, at most, that the forest and its threshold are fitted on.
 SAMPLE = 8_192
@@ -76,12 +76,13 @@ def _of_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def rule_statistics(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """The ``keep`` columns and the statistics of every whole text; null has no words."""
     names = (*STATISTICS, *_MORE)
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "_text")
+    hidden = spare(keep)
+    kept = docs.select(*keep, F.col(text).alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != hidden)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = byte_column(batch.column("_text"))
+            data, offsets = byte_column(batch.column(hidden))
             parts = [
                 _of_chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for i, j in chunks(offsets)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import use_checkpoints
 from .graph import components
-from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed, windows
+from .texts import byte_column, spare
 
 RADIUS = 4
 SHINGLE = 4
@@ -25,17 +23,7 @@ BLOCKS = 6
 #: Fingerprints of a bucket that meet in one comparison, on average, at most twice.
 CELL = 512
 
-#: Texts of this 5-word-shingle Jaccard similarity or more are near copies for ``keep_one``.
-SIMILARITY = 0.8
-COPY_SHINGLE = 5
-#: Bands of minima and minima of a band.  A pair of similarity s shares a band with
-#: probability 1 - (1 - s^5)^20: 0.9996 at 0.8, 0.99999 at 0.85.
-BANDS, BAND = 20, 5
-#: Members of a bucket that all others meet in the first comparison.
-HUBS = 2
-
 _BITS = np.arange(64, dtype=np.uint64)
-_FLIP, _TIMES = np.random.default_rng(41).integers(0, 2**63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -63,12 +51,13 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """The ``keep`` columns and ``fp`` (the fingerprint as a signed long) of every row."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "_text")
+    hidden = spare(keep)
+    kept = docs.select(*keep, F.col(text).alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != hidden)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = byte_column(batch.column("_text"))
+            data, ends = byte_column(batch.column(hidden))
             found = [fingerprint(data[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], names=[*keep, "fp"])
@@ -261,165 +250,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of the distinct word shingles of each text, by text and hash.
-
-    Fewer words than a shingle make one; no words make none.
-    """
-    words = Words(data, offsets, ~SPACES[data])
-    tokens, counts = words.hashes(LOWER[data]), words.counts()
-    begin = np.cumsum(counts) - counts
-    texts, hashes = [], []
-    for n in range(1, size + 1):
-        of = np.flatnonzero(counts == n) if n < size else np.flatnonzero(counts >= n)
-        many = counts[of] - n + 1
-        at = np.repeat(begin[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        texts.append(np.repeat(of, many))
-        hashes.append(windows(tokens, n)[at])
-    text, found = np.concatenate(texts), np.concatenate(hashes)
-    order = np.lexsort((found, text))
-    text, found = text[order], found[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (found[1:] != found[:-1])
-    return text[new], found[new]
-
-
-def _over_sets(docs: DataFrame, keep: list[str], columns: str, make) -> DataFrame:
-    """The ``keep`` columns and what ``make`` returns for the shingle sets of each text."""
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != "_text")
-    names = [*keep, *(c.split(" ")[0] for c in columns.split(", "))]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = byte_column(batch.column("_text"))
-            for i, j in chunks(offsets):
-                text, hashes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                arrays = make(hashes, np.bincount(text, minlength=j - i))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *arrays], names=names)
-
-    return kept.mapInArrow(each, schema + columns)
-
-
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
-
-
-def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
-    """One hash of each set, its size and its bands; the empty set has hash 0 and no bands."""
-    full = np.flatnonzero(sizes)
-    own = np.zeros(len(sizes), np.uint64)
-    bands = np.zeros((len(full), BANDS), np.uint64)
-    if len(full):
-        starts = (np.cumsum(sizes) - sizes)[full]
-        own[full] = mixed(np.add.reduceat(mixed(hashes), starts) + sizes[full].astype(np.uint64))
-        for k in range(BANDS * BAND):
-            low = np.minimum.reduceat((hashes ^ _FLIP[k]) * _TIMES[k], starts)
-            bands[:, k // BAND] = mixed(bands[:, k // BAND] + low + np.uint64(k))
-    return [pa.array(own.view(np.int64)), pa.array(sizes.astype(np.int32)), _lists(bands.ravel(), BANDS * (sizes > 0))]
-
-
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each list whose roots differ and whose sizes allow the similarity."""
-    for batch in batches:
-        for row in batch.column(0):
-            fp, root, n = (row.values.field(c).to_numpy() for c in ("fp", "root", "n"))
-            for x in range(len(fp) - 1):
-                y = x + 1 + np.flatnonzero(
-                    (root[x + 1 :] != root[x])
-                    & (np.minimum(n[x + 1 :], n[x]) >= SIMILARITY * np.maximum(n[x + 1 :], n[x]))
-                )
-                if len(y):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(fp[x], fp[y])), pa.array(np.maximum(fp[x], fp[y]))], names=["a", "b"]
-                    )
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` whose sets are similar enough, by all their shingles."""
-    mine = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("a_set"))
-    theirs = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("b_set"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    return (
-        pairs.join(theirs, "b")
-        .join(mine, "a")
-        .select("a", "b", common.alias("common"), (F.size("a_set") + F.size("b_set")).alias("both"))
-        .where(F.col("common") >= SIMILARITY * (F.col("both") - F.col("common")))
-        .select("a", "b")
-    )
-
-
-def copy_links(docs: DataFrame, rows: DataFrame, keys: list[str], cell: int = CELL) -> DataFrame:
-    """``a, b`` edges that connect the same sets as all similar pairs that share a band do.
-
-    ``rows`` has ``keys``, ``fp``, ``n`` and ``bands`` of every row of ``docs``.  At first each
-    member of a bucket meets the bucket's HUBS.  Buckets whose members are not all
-    connected then have every pair of unconnected members compared, in cells as in
-    ``links``; no bucket is cut short and no task holds one.
-    """
-    sets = rows.where("n > 0").groupBy("fp").agg(F.min(F.struct(*keys, "n", "bands")).alias("o"))
-    sets = sets.select("fp", "o.*")
-    keyed = sets.select("fp", "n", F.posexplode("bands")).select("fp", "n", F.xxhash64("pos", "col").alias("key"))
-    many = keyed.groupBy("key").agg(
-        F.count("*").alias("count"),
-        *[F.min(F.struct(F.xxhash64(F.lit(k), "fp", "key"), "fp", "n")).alias(f"hub{k}") for k in range(HUBS)],
-    ).where("count > 1")
-    met = keyed.join(many, "key").checkpoint()
-    hub = F.explode(F.array(*[F.struct(f"hub{k}.fp", f"hub{k}.n") for k in range(HUBS)])).alias("hub")
-    tried = (
-        met.select("fp", "n", hub)
-        .where(F.col("fp") != F.col("hub.fp"))
-        .where(F.least("n", "hub.n") >= SIMILARITY * F.greatest("n", "hub.n"))
-        .select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
-    # One row stands for a set; only sets that share a band are made again from their texts.
-    standing = sets.join(met.select("fp").distinct(), "fp").select("fp", *[F.col(c).alias(f"_s{c}") for c in keys])
-    same = [docs[c].eqNullSafe(standing[f"_s{c}"]) for c in keys]
-    texts = docs.select(*keys, "text").join(standing, reduce(and_, same)).select("fp", "text")
-    whole = _over_sets(texts, ["fp"], "shingles array<bigint>", lambda h, n: [_lists(h, n)])
-    whole = whole.groupBy("fp").agg(F.first("shingles").alias("shingles")).checkpoint()
-    edges = _similar(tried, whole).checkpoint()
-    roots = components(edges).withColumnRenamed("node", "fp")
-    placed = met.join(roots, "fp", "left").select("key", "fp", "n", "count", F.coalesce("root", "fp").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    parts = F.ceil(F.col("count") / cell).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    left = (
-        placed.join(open_keys, "key")
-        .select("key", "fp", "n", "root", parts.alias("parts"))
-        .select("key", "fp", "n", "root", own.alias("own"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
-        .select("key", "fp", "n", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .repartition("key", "i", "j")
-        .groupBy("key", "i", "j")
-        .agg(F.sort_array(F.collect_list(F.struct("fp", "root", "n"))).alias("members"))
-        .select("members")
-        .distinct()
-        .mapInArrow(_apart, "a bigint, b bigint")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    return edges.union(_similar(left, whole))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies: that of the smallest ``doc_id``, columns unchanged.
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of :func:`near_duplicates`: that of the smallest ``doc_id``, columns unchanged.
 
-    Two texts are linked if the Jaccard similarity of their 5-word shingles is at
-    least SIMILARITY; a pair is compared if it shares one of BANDS bands of minima.
-    Texts without words are one group.  A null id comes last.  Among rows of one id,
-    the smallest hash of all columns decides; of equal rows one stays.
+    A null id comes last.  Among rows of one id, the smallest hash of all columns
+    decides; of equal rows one stays.  An empty table stays empty.  Long texts are read
+    whole; columns may have any names.
     """
-    use_checkpoints(docs.sparkSession)
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    keys = ["doc_id", "_row"]
-    rows = _over_sets(marked, keys, "fp bigint, n int, bands array<bigint>", _sketches).checkpoint()
-    reached = components(copy_links(marked, rows, keys)).withColumnRenamed("node", "fp")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    by_print = rows.groupBy("fp").agg(F.min(order).alias("o")).join(reached, "fp", "left")
-    chosen = by_print.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("o").alias("o"))
-    chosen = chosen.select(F.col("o.doc_id").alias("_id"), F.col("o._row").alias("_chosen"))
-    same = marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked["_row"] == chosen["_chosen"])
-    return marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    marked = plain.select("*", doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(*plain.columns).alias("row"))
+    rows, roots = _grouped(marked.select("doc_id", "row", "text"), radius, "doc_id", "row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    by_print = rows.groupBy("fp").agg(F.min(order).alias("o"))
+    chosen = by_print.join(roots, "fp").groupBy("root").agg(F.min("o").alias("o"))
+    chosen = chosen.select(F.col("o.doc_id").alias("kept_id"), F.col("o.row").alias("kept_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))
+    one = marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "row"])
+    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

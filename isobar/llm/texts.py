@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,14 @@ LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256)
 )
 
 
+def spare(columns: Iterable[str], name: str = "_text") -> str:
+    """A column name that is not among ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the offsets of its rows; null counts as empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column

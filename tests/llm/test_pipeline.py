@@ -53,3 +53,17 @@ def test_run_over_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{TESTDATA}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{TESTDATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_pass_every_stage(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").limit(30)
+    names = ("_text", "_row", "row", "fp", "_bad", "text_hash", "_removed", "_kid", "_th", "kid", "th", "removed", "c0", "Text_", "a.b")
+    wide = docs.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names]).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = sorted((r.doc_id, r.text) for r in stage(spark, docs, str(TESTDATA)).collect())
+        kept = stage(spark, wide, str(TESTDATA))
+        assert kept.columns == wide.columns
+        rows = kept.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == plain
+        assert all(r[n] == n for r in rows for n in names)
+    assert pieces.encode(wide).where("exact AND _text = '_text'").count() == 30
