@@ -23,7 +23,12 @@ CROSS_SECTION = {
     "A7_calendar_matrix",
     "A12_wind_rose",
     "W3_ml_feature_frame",
+    "W5_seasonal_decompose",
+    "W7_pacf",
+    "F3_forecast_lag_linear",
+    "F7_forecast_seasonal_ar_search",
     "F10_compare_models",
+    "S3_stored_ranges",
     "T1_stream_daily",
 }
 CHOSEN = set(entry.oracle_sql()) if os.environ.get("ISOBAR_ALL_QUERIES") else CROSS_SECTION
