@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed
 #: Lines match if the Jaccard similarity of their word sets is at least this fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Word counts are kept for so many hash values; a fixed size whatever the data.
-COUNT_BITS = 20
+COUNT_BITS = 23
+_MOST = np.uint32(2**32 - 1)
 #: Counts that travel together, and the tasks that add up each slice at first.
 SLICE = 4096
 SPREAD = 16
@@ -32,6 +34,8 @@ KEY = ["kid", "th", "line"]
 #: What lists carry of a key: lists are the bulk of the work, and the words that are
 #: looked up later bring the text hash back.
 SHORT = ["kid", "line"]
+#: Stands for no word before in arrays, where words are 32-bit hashes.
+_NONE = 1 << 40
 _POSTING = ("token", *SHORT, "size", "pos", "prev", "bits")
 
 
@@ -51,75 +55,90 @@ def _words_by_line(data: np.ndarray, offsets: np.ndarray):
     return words, hashes, breaks[words.starts] + words.text, number
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of all words in all lines, by the lowest bits of the word's hash.
+def word_ranks(docs: DataFrame) -> np.ndarray:
+    """How frequent words are, by the lowest bits of the word's hash: eight steps for each doubling.
 
-    A task counts all its rows and passes on slices of the table; slices are added up
-    in a few rows' memory, and one table of fixed size reaches the driver.
+    0 stands for words that occur once or never.  A task counts all its rows and passes on
+    slices of the table, of which it lists the counts that are not zero; slices are added up
+    in a few rows' memory, and one table of fixed size, a byte an entry, reaches the driver.
     """
 
+    def packed(slices: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for some in batched(slices, 256):
+            numbers, parts = [], []
+            for i, part in some:
+                at = np.flatnonzero(part)
+                if len(at):
+                    numbers.append(i)
+                    parts.append(at.astype(np.uint16).tobytes() + part[at].astype(np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"]
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+        total = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
             data, offsets = byte_column(batch.column(0))
-            places = [
-                _words_by_line(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
-                .astype(np.uint32) & np.uint32(len(total) - 1)
-                for i, j in chunks(offsets)
-            ]
-            if places:
-                total += np.bincount(np.concatenate(places), minlength=len(total))
-        if total.any():
-            parts = total.reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["slice", "counts"],
-            )
+            for i, j in chunks(offsets):
+                hashes = _words_by_line(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
+                at, n = np.unique(hashes.astype(np.uint32) & np.uint32(len(total) - 1), return_counts=True)
+                total[at] += np.minimum(n, _MOST - total[at]).astype(np.uint32)
+        yield from packed(enumerate(total.reshape(-1, SLICE)))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(part.as_buffer(), np.int64)
+                buffer = part.as_buffer()
+                n = buffer.size // 10
+                here = sums.setdefault(i, np.zeros(SLICE, np.uint64))
+                here[np.frombuffer(buffer, np.uint16, n)] += np.frombuffer(buffer[2 * n :].to_pybytes(), np.uint64)
+        return sums
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(summed(batches).items())
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = summed(batches)
+        steps = [np.minimum(np.log2(np.maximum(x, 1)) * 8, 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([p.tobytes() for p in sums.values()], pa.binary())],
-            names=["slice", "counts"],
+            [pa.array(list(sums), pa.int32()), pa.array(steps, pa.binary())], names=["slice", "ranks"]
         )
 
     kind = "slice int, counts binary"
     # Two steps, so that no task gets a slice from every other task.
     spread = docs.select("text").mapInArrow(count, kind).repartition("slice", F.spark_partition_id() % SPREAD)
-    rows = spread.mapInArrow(add, kind).repartition("slice").mapInArrow(add, kind).toArrow()
-    out = np.zeros((1 << COUNT_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
-    for i, part in zip(rows["slice"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-        out[i] += np.frombuffer(part, np.int64)
+    rows = spread.mapInArrow(add, kind).repartition("slice").mapInArrow(rank, "slice int, ranks binary").toArrow()
+    out = np.zeros(((1 << COUNT_BITS) // SLICE, SLICE), np.uint8)
+    for i, part in zip(rows["slice"].to_pylist(), rows["ranks"], strict=True):
+        out[i] = np.frombuffer(part.as_buffer(), np.uint8)
     return out.reshape(-1)
 
 
-def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def line_sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """Every line with a word: its key, 128-bit set hash, size, bit map and prefix.
 
-    Words are put in one global order, rarest first by ``counts``.  Two sets that
+    Words are put in one global order, rarest first by ``rank``.  Two sets that
     match share a word of their prefixes, and another one within one word more, which
-    ``prefix`` ends with.  Sets of up to three words match only their equals and get no
-    prefix.  A bit of the map tells whether an odd number of
-    the set's words have its hash value.
+    ``prefix`` ends with.  Words of rank 0 stand in one line only, so no two sets share
+    them: ``prefix`` leaves them out, and ``lone`` tells how many they are.  Sets of up to
+    three words match only their equals and get no prefix; nor do sets whose prefix has
+    no word but lone ones before its last.  A bit of the map tells whether an odd number
+    of the set's words have its hash value.
     """
-    # Counts in steps of a 16th of a power of two: nine bits hold them.
-    rank = np.minimum(np.log2(np.maximum(counts, 1)) * 16, 511).astype(np.uint64)
 
     def chunk(kid: np.ndarray, th: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         words, hashes, line, number = _words_by_line(data, offsets)
         _, first, dense = np.unique(line, return_index=True, return_inverse=True)
-        rarity = rank[(hashes & np.uint64(len(rank) - 1)).astype(np.int64)]
+        rarity = rank[(hashes & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64)
         if len(first) < 1 << 15:
             order = np.argsort(dense.astype(np.uint64) << np.uint64(49) | rarity << np.uint64(40) | hashes >> np.uint64(24))
         else:
             order = np.lexsort((hashes >> np.uint64(24), rarity, dense))
-        row, hashes = dense[order], hashes[order]
+        row, hashes, rarity = dense[order], hashes[order], rarity[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-        row, hashes = row[new], hashes[new]
+        row, hashes, rarity = row[new], hashes[new], rarity[new]
         size = np.bincount(row, minlength=len(first))
         begin = np.concatenate(([0], np.cumsum(size)))
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(h))) for h in (hashes, mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)))]
@@ -127,16 +146,18 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), begin[:-1]) if len(first) else hashes
         least = -(-size * NUMERATOR // DENOMINATOR)
         prefix = np.where(size > 3, size - least + 2, 0)
+        lone = np.minimum(np.bincount(row[rarity == 0], minlength=len(first)), prefix)
+        prefix = np.where(prefix - lone > 1, prefix - lone, 0)
         ends = np.concatenate(([0], np.cumsum(prefix)))
-        flat = np.repeat(begin[:-1] - ends[:-1], prefix) + np.arange(ends[-1])
+        flat = np.repeat(begin[:-1] + lone - ends[:-1], prefix) + np.arange(ends[-1])
         home = words.text[first]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(kid[home]), pa.array(th[home]), pa.array(number[first].astype(np.int32)), pa.array(h1), pa.array(h2),
-                pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)),
+                pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(lone.astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hashes[flat] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
             ],
-            names=[*KEY, "h1", "h2", "size", "bits", "prefix"],
+            names=[*KEY, "h1", "h2", "size", "bits", "lone", "prefix"],
         )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +168,17 @@ def line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 yield chunk(kid[i:j], th[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     return _keyed(docs).mapInArrow(
-        each, "kid bigint, th bigint, line int, h1 bigint, h2 bigint, size int, bits bigint, prefix array<int>"
+        each, "kid bigint, th bigint, line int, h1 bigint, h2 bigint, size int, bits bigint, lone int, prefix array<int>"
     )
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """A row for each prefix word of each set, with its place, the word before it, and all words of the prefix."""
-    listed = sets.select(*SHORT, "size", "bits", "prefix", F.posexplode("prefix").alias("pos", "token"))
-    before = F.when(F.col("pos") > 0, F.col("prefix")[F.col("pos") - 1])
-    return listed.where(F.col("pos") < F.size("prefix") - 1).select(
-        "token", *SHORT, "size", "pos", before.alias("prev"), "bits", "prefix"
+    """A row for each prefix word of each set, with its place, the word before it if others may hold that, and all words of the prefix."""
+    listed = sets.select(*SHORT, "size", "bits", "lone", "prefix", F.posexplode("prefix").alias("at", "token"))
+    before = F.when(F.col("at") > 0, F.col("prefix")[F.col("at") - 1])
+    place = (F.col("at") + F.col("lone")).alias("pos")
+    return listed.where(F.col("at") < F.size("prefix") - 1).select(
+        "token", *SHORT, "size", place, before.alias("prev"), "bits", "at", "prefix"
     )
 
 
@@ -187,7 +209,7 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     held = {c: np.zeros(0, np.int64) for c in _POSTING}  # the first row of the open list, then its last ones
     rank = 0  # place in its list of the row after the held ones
     for batch in batches:
-        new = {c: batch.column(c).fill_null(0).to_numpy().astype(np.int64) for c in _POSTING}
+        new = {c: batch.column(c).cast(pa.int64()).fill_null(_NONE).to_numpy() for c in _POSTING}
         rows = {c: np.concatenate((held[c], new[c])) for c in _POSTING}
         token, size, bits = rows["token"], rows["size"], rows["bits"].view(np.uint64)
         known = len(held["token"])
@@ -207,7 +229,7 @@ def _near_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             both = size[a] + size[b]
             at = np.flatnonzero((NUMERATOR + DENOMINATOR) * (both - unlike) >= 2 * NUMERATOR * both)
             a, b = a[at], b[at]
-            same_before = (rows["prev"][a] == rows["prev"][b]) & (rows["pos"][a] > 0) & (rows["pos"][b] > 0)
+            same_before = (rows["prev"][a] == rows["prev"][b]) & (rows["prev"][a] != _NONE)
             return at[~same_before & _fits(size[a], size[b], rows["pos"][a], rows["pos"][b], unlike[at])]
 
         pairs = np.zeros(len(token), np.int64)
@@ -313,12 +335,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     word of the prefix with them.
     """
     use_checkpoints(docs.sparkSession)
-    lines = _stored(line_sets(docs, word_counts(docs)))
-    first = F.min(F.struct(*KEY, "size", "bits", "prefix")).alias("f")
+    lines = _stored(line_sets(docs, word_ranks(docs)))
+    first = F.min(F.struct(*KEY, "size", "bits", "lone", "prefix")).alias("f")
     sets = _stored(lines.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*"))
 
     postings = _postings(sets.where("size(prefix) > 0"))
-    sorted_lists = postings.drop("prefix").repartition("token").sortWithinPartitions("token", *SHORT)
+    sorted_lists = postings.drop("at", "prefix").repartition("token").sortWithinPartitions("token", *SHORT)
     found = sorted_lists.mapInArrow(_near_candidates, _PAIR).checkpoint()
     matched = _verified(docs, found.where("token IS NULL")).distinct().checkpoint()
     # Ids that stand for several texts: their short keys do not tell lines apart.
@@ -329,8 +351,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # Stored, so that their size is known when the lists are joined with them.
     tokens = _stored(left.select("token").distinct())
     if tokens.count():
-        others = F.filter("prefix", lambda word, place: place != F.col("pos"))
-        long = postings.join(tokens, "token").withColumn("second", F.explode(others)).drop("prefix")
+        others = F.filter("prefix", lambda word, place: place != F.col("at"))
+        long = postings.join(tokens, "token").withColumn("second", F.explode(others)).drop("at", "prefix")
         long = long.join(twins, "kid", "left").checkpoint()
         ours = long.join(left, ["token", *SHORT], "left_semi")
         theirs = long.drop("twin").withColumnsRenamed({c: f"y_{c}" for c in _POSTING if c != "token"})
