@@ -95,8 +95,7 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op10_chat_formatting", toolcalls.ORACLE)
 def op10(spark: SparkSession, d: str) -> DataFrame:
-    tools = spark.createDataFrame(toolcalls.REPLY, toolcalls.SCHEMAS)
-    linked = toolcalls.link(toolcalls.dialogue(table(spark, d, "conversations")), tools)
+    linked = toolcalls.link(toolcalls.dialogue(table(spark, d, "conversations")), spark.sql(toolcalls.REPLY))
     return linked.withColumn("errors", F.array_join("errors", ","))
 
 

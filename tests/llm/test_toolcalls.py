@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 import pytest
@@ -23,7 +24,7 @@ def answer(i, content):
 def run(spark, rows, tools=TOOLS):
     messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     schemas = spark.createDataFrame(tools, toolcalls.SCHEMAS)
-    return toolcalls.link(toolcalls.parsed(messages), schemas, rounds=3).collect()
+    return toolcalls.link(toolcalls.parsed(messages), schemas).collect()
 
 
 def test_links_orders_and_validates(spark):
@@ -72,6 +73,44 @@ def test_many_equal_ids_stay_linear(spark):
     assert sorted(r.status for r in got) == ["linked", "linked", "repeated", "repeated"]
 
 
+def slow_positions(turns, waits):
+    """The latest turn on any way and the most waits to it, walked one by one; None in or behind a cycle."""
+
+    def walk(c, seen):
+        if c in seen:
+            return None
+        best = (turns[c], 0)
+        for d in waits.get(c, ()):
+            if d in turns:
+                found = walk(d, seen | {c})
+                if found is None:
+                    return None
+                best = max(best, (found[0], found[1] + 1))
+        return best
+
+    return {c: walk(c, frozenset()) for c in turns}
+
+
+def test_long_chains_and_cycles(spark):
+    rng = random.Random(5)
+    rows, expected = [], {}
+    chain = [(f"c{i}", "find", {"q": "x"}, [f"c{i + 1}"]) for i in range(70)]
+    rows.append((0, 1, "assistant", calls(*chain)))
+    expected |= {(0, f"c{i}"): (1, 69 - i) for i in range(70)}
+    ring = [(f"c{i}", "find", {"q": "x"}, [f"c{(i + 1) % 40}"]) for i in range(40)]
+    behind = [("b0", "find", {"q": "x"}, ["c3"]), ("b1", "find", {"q": "x"}, ["b0"]), ("own", "find", {"q": "x"}, ["own"]), ("free", "find", {"q": "x"}, [])]
+    rows.append((1, 1, "assistant", calls(*ring, *behind)))
+    expected |= {(1, f"c{i}"): None for i in range(40)} | {(1, i): None for i in ("b0", "b1", "own")} | {(1, "free"): (1, 0)}
+    for conv in range(2, 12):
+        turns = {f"c{i}": rng.randrange(6) for i in range(14)}
+        waits = {c: rng.sample(list(turns), rng.choice([0, 0, 1, 1, 2])) for c in turns}
+        for c, t in turns.items():
+            rows.append((conv, t, "assistant", calls((c, "find", {"q": "x"}, [*waits[c], "nobody"]))))
+        expected |= {(conv, c): p for c, p in slow_positions(turns, waits).items()}
+    got = {(r.conv_id, r.id): None if r.status == "waiting" else (r["at"], r.step) for r in run(spark, rows) if r.kind == "call"}
+    assert got == expected and None in [p for (conv, _), p in got.items() if conv > 1]
+
+
 @pytest.mark.skipif(not TESTDATA.exists(), reason="needs the given tables")
 def test_query_equals_sql(spark):
     mine = catalog.QUERIES["op10_chat_formatting"](spark, str(TESTDATA)).toPandas()
@@ -80,3 +119,5 @@ def test_query_equals_sql(spark):
     theirs = con.execute(catalog.ORACLES["op10_chat_formatting"]).df()[list(mine.columns)]
     key = lambda f: sorted(tuple(map(str, r)) for r in f.astype(object).where(f.notna(), "-").itertuples(index=False))
     assert key(mine) == key(theirs)
+    assert {"linked", "waiting"} <= set(mine.status) and {"no_schema", "missing:text,unknown:tone"} <= set(mine.errors)
+    assert (mine["at"] > mine.turn).any()
