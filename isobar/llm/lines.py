@@ -18,8 +18,7 @@ from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed
 #: Lines match if the Jaccard similarity of their word sets is at least this fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Word counts are kept for so many hash values; a fixed size whatever the data.
-COUNT_BITS = 23
-_MOST = np.uint32(2**32 - 1)
+COUNT_BITS = 22
 #: Counts that travel together, and the tasks that add up each slice at first.
 SLICE = 4096
 SPREAD = 16
@@ -76,13 +75,13 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.uint32)
+        total = np.zeros(1 << COUNT_BITS, np.uint64)
         for batch in batches:
             data, offsets = byte_column(batch.column(0))
             for i, j in chunks(offsets):
                 hashes = _words_by_line(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
                 at, n = np.unique(hashes.astype(np.uint32) & np.uint32(len(total) - 1), return_counts=True)
-                total[at] += np.minimum(n, _MOST - total[at]).astype(np.uint32)
+                total[at] += n.astype(np.uint64)
         yield from packed(enumerate(total.reshape(-1, SLICE)))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
@@ -268,8 +267,9 @@ _PAIR = "kid bigint, line int, y_kid bigint, y_line int, token int"
 
 
 def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``kid, th, line, low`` of the needed lines, from a second reading of the texts; A-Z are lower-cased.
+    """``kid, th, line, low, n`` of the needed lines, from a second reading of the texts.
 
+    ``low`` holds each of the line's ``n`` words once, A-Z lower-cased, a space between two.
     A bitmap of fixed size leaves out nearly all other lines; the join drops the rest.
     """
     known = sketch.bitmap(needed.select(F.shiftleft("kid", 5).bitwiseXOR(F.col("line").cast("bigint")).alias("at")), "at")
@@ -278,21 +278,23 @@ def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
         for batch in batches:
             kid, th = batch.column("kid").to_numpy(), batch.column("th").to_numpy()
             data, offsets = byte_column(batch.column("_text"))
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for k, (s, e) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 n = int((data[s:e] == 10).sum()) + 1
                 wanted = np.flatnonzero(sketch.found(known, np.full(n, kid[k]).view(np.uint64) << np.uint64(5) ^ np.arange(n, dtype=np.uint64)))
                 if len(wanted):
                     lines = LOWER[data[s:e]].tobytes().split(b"\n")
                     for i in wanted.tolist():
-                        for column, value in zip(out, (kid[k], th[k], i, lines[i].decode("utf-8", "replace")), strict=True):
+                        words = dict.fromkeys(lines[i].split())  # of bytes: at ASCII space only
+                        low = b" ".join(words).decode("utf-8", "replace")
+                        for column, value in zip(out, (kid[k], th[k], i, low, len(words)), strict=True):
                             column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())],
-                names=[*KEY, "low"],
+                [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[*KEY, "low", "n"]
             )
 
-    return _keyed(docs).mapInArrow(each, "kid bigint, th bigint, line int, low string")
+    return _keyed(docs).mapInArrow(each, "kid bigint, th bigint, line int, low string, n int")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -301,15 +303,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = pairs.select(*SHORT, *y_short).distinct().checkpoint()
     needed = pairs.select(*SHORT).union(pairs.select(*y_short)).distinct()
     texts = _stored(_line_words(docs, needed).join(needed, SHORT, "left_semi").dropDuplicates(KEY))
-    theirs = texts.withColumnsRenamed({c: f"y_{c}" for c in (*KEY, "low")})
+    theirs = texts.withColumnsRenamed({c: f"y_{c}" for c in (*KEY, "low", "n")})
     found = pairs.join(texts, SHORT).join(theirs, y_short).where(F.struct(*y_key) < F.struct(*KEY))
 
-    def words(c: str) -> Column:
-        return F.array_distinct(F.filter(F.split(c, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
-
-    sets = found.select(*KEY, words("low").alias("a"), words("y_low").alias("b"))
-    enough = (NUMERATOR + DENOMINATOR) * F.size(F.array_intersect("a", "b")) >= NUMERATOR * (F.size("a") + F.size("b"))
-    return sets.where(enough).select(*KEY)
+    both = F.size(F.array_intersect(F.split("low", " ", -1), F.split("y_low", " ", -1)))
+    enough = (NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (F.col("n") + F.col("y_n"))
+    return found.where(enough).select(*KEY)
 
 
 def _stored(df: DataFrame) -> DataFrame:
