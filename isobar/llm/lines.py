@@ -300,7 +300,7 @@ def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Keys of the lines that reach the similarity with the line before that they are paired with."""
     y_short, y_key = [f"y_{c}" for c in SHORT], [f"y_{c}" for c in KEY]
-    pairs = pairs.select(*SHORT, *y_short).distinct().checkpoint()
+    pairs = _stored(pairs.select(*SHORT, *y_short).distinct())
     needed = pairs.select(*SHORT).union(pairs.select(*y_short)).distinct()
     texts = _stored(_line_words(docs, needed).join(needed, SHORT, "left_semi").dropDuplicates(KEY))
     theirs = texts.withColumnsRenamed({c: f"y_{c}" for c in (*KEY, "low", "n")})
@@ -340,7 +340,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     postings = _postings(sets.where("size(prefix) > 0"))
     sorted_lists = postings.drop("at", "prefix").repartition("token").sortWithinPartitions("token", *SHORT)
-    found = sorted_lists.mapInArrow(_near_candidates, _PAIR).checkpoint()
+    found = _stored(sorted_lists.mapInArrow(_near_candidates, _PAIR))
     matched = _verified(docs, found.where("token IS NULL")).distinct().checkpoint()
     # Ids that stand for several texts: their short keys do not tell lines apart.
     twins = _keyed(docs).select("kid", "th").distinct().groupBy("kid").count().where("count > 1")
@@ -352,7 +352,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     if tokens.count():
         others = F.filter("prefix", lambda word, place: place != F.col("at"))
         long = postings.join(tokens, "token").withColumn("second", F.explode(others)).drop("at", "prefix")
-        long = long.join(twins, "kid", "left").checkpoint()
+        long = _stored(long.join(twins, "kid", "left"))
         ours = long.join(left, ["token", *SHORT], "left_semi")
         theirs = long.drop("twin").withColumnsRenamed({c: f"y_{c}" for c in _POSTING if c != "token"})
         key, y_key = F.struct(*SHORT), F.struct(*[f"y_{c}" for c in SHORT])
