@@ -44,13 +44,14 @@ def _imputed(
     linear: Sequence[str],
     level: Sequence[str],
     moments: Sequence[str] = (),
+    cell: str | None = None,
 ) -> DataFrame:
     """Fill ``linear`` columns by interpolation and ``level`` ones forward, then back.
 
-    ``moments`` as in :func:`~isobar.operators.series.neighbours`.
+    ``moments`` and ``cell`` as in :func:`~isobar.operators.series.neighbours`.
     """
     near = neighbours(
-        df, keys, [*linear, *level], time, unit, positions=linear, moments=moments
+        df, keys, [*linear, *level], time, unit, positions=linear, cell=cell, moments=moments
     )
     extra = [f"`_{name}_{c}`" for c in moments for name in ("mean", "std")]
 
@@ -198,6 +199,7 @@ def clean_cells(
     time: str = "time",
     threshold: float = 3.0,
     unit: str = "month",
+    cell: str | None = None,
 ) -> DataFrame:
     """:func:`clean_hourly` that keeps the ``_bucket`` cell and its partitioning.
 
@@ -207,10 +209,10 @@ def clean_cells(
     key or a time have no cell and are left out.
     """
     parsed = parse_time(df, time)
-    linear = numeric_columns(parsed, exclude=(*keys, time))
-    level = [c for c in parsed.columns if c not in (*keys, time, *linear)]
+    linear = numeric_columns(parsed, exclude=(*keys, time, cell))
+    level = [c for c in parsed.columns if c not in (*keys, time, cell, *linear)]
     capped = [c for c in CAPPED_READINGS if c in linear]
-    imputed = _imputed(parsed, keys, time, unit, linear, level, capped)
+    imputed = _imputed(parsed, keys, time, unit, linear, level, capped, cell)
     bounded = imputed.selectExpr(
         *[f"`{c}`" for c in (*parsed.columns, BUCKET)],
         *[
@@ -229,14 +231,18 @@ def clean_hourly(
     time: str = "time",
     threshold: float = 3.0,
     unit: str = "month",
+    cell: str | None = None,
 ) -> DataFrame:
     """Parse, fill gaps, cap outliers and add ``feels_like``, in this order.
 
-    Rows without a key or a time stay, unfilled and uncapped.
+    Rows without a key or a time stay, unfilled and uncapped.  ``cell`` names the column
+    of a table from :func:`~isobar.sources.tables.store_cells` that the rows are stored
+    by; it takes the place of ``unit`` and is not part of the result.
     """
-    clean = clean_cells(df, keys, time, threshold, unit).drop(BUCKET)
+    clean = clean_cells(df, keys, time, threshold, unit, cell).drop(BUCKET)
     parsed = parse_time(df, time)
-    return _with_unplaced(clean, parsed.withColumn("feels_like", feels_like_of(parsed)), keys, time)
+    whole = _with_unplaced(clean, parsed.withColumn("feels_like", feels_like_of(parsed)), keys, time)
+    return whole.drop(cell) if cell else whole
 
 
 def regularize_daily(

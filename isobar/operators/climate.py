@@ -11,7 +11,7 @@ from ..functions.calendar import month_name
 from ..schema import DEFAULT_KEYS, require
 from .daily import null_safe_sum
 from .quantiles import exact_quantiles
-from .stats import QUARTILES, quartiles
+from .stats import QUARTILES, with_quantiles
 
 # Compass sectors clockwise from north, and speed classes in km/h.
 SECTORS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
@@ -56,27 +56,17 @@ def monthly_distribution(
     df: DataFrame,
     column: str = "temperature_2m_mean",
     keys: Sequence[str] = DEFAULT_KEYS,
-    large_groups: bool = False,
 ) -> DataFrame:
-    """Count, extremes and quartiles by calendar month.
-
-    ``large_groups`` as in :func:`~isobar.operators.stats.describe_stats`.
-    """
+    """Count, extremes and exact quartiles by calendar month, whatever the months hold."""
     require(df, "time", column)
     group = [*keys, "month"]
     dated = df.select(*keys, F.month("time").alias("month"), F.col(column).alias("value"))
-    in_memory = [] if large_groups else [quartiles(F.col("value")).alias("_q")]
     stats = dated.groupBy(*group).agg(
         F.count("value").alias("count"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        *in_memory,
     )
-    if large_groups:
-        stats = stats.join(exact_quantiles(dated, group, "value", QUARTILES), group, "left")
-    else:
-        stats = stats.select("*", "_q.*")
-    return stats.select(
+    return with_quantiles(stats, exact_quantiles(dated, group, "value", QUARTILES), group).select(
         *group, month_name(F.col("month")).alias("month_name"), "count", "min", *QUARTILES, "max"
     )
 

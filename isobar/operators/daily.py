@@ -87,12 +87,14 @@ def clean_daily(
     time: str = "time",
     threshold: float = 3.0,
     unit: str = "month",
+    cell: str | None = None,
 ) -> DataFrame:
     """Daily table straight from raw readings.
 
     The daily aggregate groups inside the cleaning cells, so it adds no exchange.
+    ``cell`` as in :func:`~isobar.operators.clean.clean_hourly`.
     """
-    return _daily(clean_cells(df, keys, time, threshold, unit), keys, time, (BUCKET,))
+    return _daily(clean_cells(df, keys, time, threshold, unit, cell), keys, time, (BUCKET,))
 
 
 def hourly_to_daily(

@@ -15,12 +15,6 @@ from .quantiles import exact_quantiles
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def quartiles(value: Column) -> Column:
-    """Aggregate: struct of the exact quartiles, from one pass over the values."""
-    found = F.percentile(value, list(QUARTILES.values()))
-    return F.struct(*[F.get(found, F.lit(i)).alias(n) for i, n in enumerate(QUARTILES)])
-
-
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(keys, variable, value)`` rows of the given columns."""
     doubles = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -44,26 +38,31 @@ def corrected_kurtosis(value: Column) -> Column:
     return F.when(n >= 4, F.when(flat, F.lit(0.0)).otherwise(corrected))
 
 
+def with_quantiles(stats: DataFrame, quantiles: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Quantiles beside the other figures of their group; a null key is a group too."""
+    other = {c: f"_of_{c}" for c in group}
+    same = F.lit(True)
+    for c, o in other.items():
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    return stats.join(quantiles.withColumnsRenamed(other), same, "left").drop(*other.values())
+
+
 def describe_stats(
     df: DataFrame,
     keys: Sequence[str] = DEFAULT_KEYS,
     columns: Sequence[str] | None = None,
-    large_groups: bool = False,
 ) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles, maximum and shape.
 
-    One row per key and variable.  Quartiles interpolate linearly between ranks.
-    The built-in percentile holds a group's distinct values in one task, which
-    is right for daily series (366 values a year at most).  For keys without
-    such a bound, ``large_groups`` finds the same quartiles by rank selection.
+    One row per key and variable.  Quartiles interpolate linearly between ranks and are
+    exact for groups of any size, so the rows are gone over more than once: store them
+    first if they are dear to make.
     """
     columns = list(columns or variable_columns(df, keys))
     group = [*keys, "variable"]
     long = long_form(df, keys, columns)
     value = F.col("value")
-    in_memory = [] if large_groups else [quartiles(value).alias("_q")]
     stats = long.groupBy(*group).agg(
-        *in_memory,
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
@@ -72,11 +71,7 @@ def describe_stats(
         corrected_skewness(value).alias("skewness"),
         corrected_kurtosis(value).alias("kurtosis"),
     )
-    if large_groups:
-        stats = stats.join(exact_quantiles(long, group, "value", QUARTILES), group, "left")
-    else:
-        stats = stats.select("*", "_q.*")
-    return stats.select(
+    return with_quantiles(stats, exact_quantiles(long, group, "value", QUARTILES), group).select(
         *group, "count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"
     )
 

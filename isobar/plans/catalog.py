@@ -34,6 +34,7 @@ from ..operators.forecast.lag_linear import forecast_lag_linear
 from ..operators.forecast.seasonal_ar import DEFAULT_ORDER, forecast_seasonal_ar, order_search
 from ..operators.forecast.simple import forecast_mean
 from ..operators.forecast.trend_seasonal import forecast_trend_seasonal
+from ..operators.quantiles import exact_quantiles, quantile_sketches
 from ..schema import CAPPED_READINGS, variable_columns
 from ..sources import payload, stations, tables
 from ..storage import shared_folder
@@ -95,6 +96,13 @@ def stored_days(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Clean readings written to the shared folder first, for several passes over them."""
+    path = fresh_path(spark, "hourly")
+    hourly(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def split(spark: SparkSession, d: str) -> DataFrame:
     return ts.train_test_split(target_series(spark, d))
 
@@ -703,6 +711,23 @@ def c_clean(spark, d):
     return quantised(hourly(spark, d), *_CLEAN_COLUMNS)
 
 
+def in_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Raw readings as a table bucketed by station and month, in the shared folder."""
+    path = fresh_path(spark, "cells")
+    name = f"cells_{uuid.uuid4().hex}"
+    tables.store_cells(weather(spark, d), name, path, buckets=16)
+    return spark.table(name)
+
+
+@query(
+    "C7_clean_from_cells",
+    S.query(S.H, f"SELECT station_id, time, {S.quantised(_CLEAN_COLUMNS)} FROM h"),
+)
+def c_cells(spark, d):
+    """Cleaning of a table in cells."""
+    return quantised(clean.clean_hourly(in_cells(spark, d), cell=tables.CELL), *_CLEAN_COLUMNS)
+
+
 @query(
     "C8_regularize_daily",
     S.query(
@@ -756,6 +781,15 @@ def a_both(spark, d):
     return quantised(by_day, *DAILY_FLOATS)
 
 
+@query(
+    "A3_daily_from_cells",
+    S.query(S.D, f"SELECT station_id, time, {S.quantised(DAILY_FLOATS)} FROM d"),
+)
+def a_cells(spark, d):
+    """Days from a table in cells: no reading moves between tasks any more."""
+    return quantised(daily.clean_daily(in_cells(spark, d), cell=tables.CELL), *DAILY_FLOATS)
+
+
 _LONG = (
     S.D
     + f""",
@@ -778,7 +812,7 @@ _DESCRIBE = ("mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurt
     ),
 )
 def a_describe(spark, d):
-    return quantised(stats.describe_stats(days(spark, d)), *_DESCRIBE)
+    return quantised(stats.describe_stats(stored_days(spark, d)), *_DESCRIBE)
 
 
 @query(
@@ -798,8 +832,8 @@ lo AS (UNPIVOT (SELECT station_id, {", ".join(_CLEAN_COLUMNS)} FROM h)
 )
 def a_describe_hourly(spark, d):
     """All stations as one group of hourly values: the groups have no size bound."""
-    rows = hourly(spark, d)
-    table = stats.describe_stats(rows, keys=(), columns=list(_CLEAN_COLUMNS), large_groups=True)
+    rows = stored_hours(spark, d)
+    table = stats.describe_stats(rows, keys=(), columns=list(_CLEAN_COLUMNS))
     return quantised(table, *_DESCRIBE)
 
 
@@ -875,10 +909,29 @@ def a_calendar(spark, d):
     ),
 )
 def a_monthly(spark, d):
-    table = climate.monthly_distribution(days(spark, d))
+    table = climate.monthly_distribution(stored_days(spark, d))
     return quantised(table, "min", "q25", "q50", "q75", "max")
 
 
+@query(
+    "A8_quartiles_from_sketches",
+    S.query(
+        S.H,
+        f"""SELECT month(time)::INTEGER AS month, {S.q("quantile_cont(temperature_2m, 0.25)", "q25")},
+        {S.q("quantile_cont(temperature_2m, 0.5)", "q50")},
+        {S.q("quantile_cont(temperature_2m, 0.75)", "q75")} FROM h GROUP BY 1""",
+    ),
+)
+def a_rolled(spark, d):
+    """Sketches stored per station and month of each year, rolled up to calendar months."""
+    rows = stored_hours(spark, d).withColumn("month", F.month("time"))
+    cells = rows.withColumn("year", F.year("time"))
+    path = fresh_path(spark, "sketches")
+    quantile_sketches(cells, [KEY, "year", "month"], "temperature_2m").write.parquet(path)
+    table = exact_quantiles(rows, ["month"], "temperature_2m", stats.QUARTILES, spark.read.parquet(path))
+    return quantised(table, *stats.QUARTILES)
+
+
 @query(
     "A8_monthly_histogram",
     S.query(

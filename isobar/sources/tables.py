@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import HOURLY_SCHEMA, nan_to_null
+from ..operators.series import bucket_of
+from ..schema import DEFAULT_KEYS, HOURLY_SCHEMA, nan_to_null
 from ..storage import use_checkpoints
 
 STATION_BUCKET = "station_bucket"
 YEAR = "year"
+#: Column of a table in cells that says which calendar cell a reading is in.
+CELL = "cell"
 
 
 def read_hourly_csv(
@@ -59,6 +62,35 @@ def write_missing_hourly(df: DataFrame, path: str, buckets: int = 64) -> None:
     write_hourly(fresh.select(*df.columns), path, buckets, mode="append")
 
 
+def store_cells(
+    df: DataFrame,
+    table: str,
+    path: str | None = None,
+    keys: Sequence[str] = DEFAULT_KEYS,
+    unit: str = "month",
+    buckets: int = 256,
+    mode: str = "error",
+) -> None:
+    """Store raw readings as a table bucketed by key and calendar cell, ``cell``.
+
+    Cleaning and the daily aggregate group by just these columns, so with
+    ``cell=CELL`` they read such a table without an exchange of the readings.  A key
+    that holds a third of all rows is spread over the buckets by its cells.  Each
+    bucket is one file, sorted by key, cell and time: choose ``buckets`` so that a file
+    has some hundred megabytes.  Under
+    ``spark.sql.legacy.bucketedTableScan.outputOrdering`` the engine also trusts the
+    order of the files and leaves out the sort by time.
+
+    The readings are stored at ``path``, or in the warehouse.  Rows without a key or a
+    time are stored too.
+    """
+    placed = df.withColumn(CELL, bucket_of(F.col("time"), unit))
+    # The writer deals rows to buckets by the same hash, so a task writes one bucket.
+    dealt = placed.repartition(buckets, *keys, CELL).write.bucketBy(buckets, *keys, CELL)
+    writer = dealt.sortBy(*keys, CELL, "time").mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 #: Where a stored table notes what has been fetched; the leading underscore keeps it out of reads.
 RANGES = "_ranges"
 

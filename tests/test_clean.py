@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import raw_hourly, to_pandas, to_spark
 from isobar.operators import clean, daily
+from isobar.sources import tables
 from isobar.schema import CAPPED_READINGS
 
 
@@ -169,3 +170,36 @@ def test_rows_without_a_time_or_key_stay(spark):
         assert sorted(str(r.temperature_2m) for r in got) == ["1.0", "1.0", "7.0", "None"]
     full = df.withColumn("relative_humidity_2m", F.lit(50.0)).withColumn("wind_speed_10m", F.lit(5.0))
     assert clean.clean_hourly(full).count() == 4
+
+
+@pytest.mark.parametrize("ordered", ["false", "true"])
+def test_a_table_in_cells_moves_no_reading(spark, frame, tmp_path, ordered):
+    raw = to_spark(spark, frame)
+    name = f"cells_{ordered}"
+    tables.store_cells(raw, name, str(tmp_path / name), buckets=6)
+    stored = spark.table(name)
+    plan = daily.clean_daily(stored, cell=tables.CELL)
+    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set(setting, ordered)
+    try:
+        tree = plan._jdf.queryExecution().executedPlan()
+        lines = tree.toString().splitlines()
+        got = to_pandas(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset(setting)
+    # What moves is the summary of the cells: to the series' carry, and back to the cells.
+    moved = [x for x in lines if "Exchange hashpartitioning" in x]
+    assert moved and all("temperature_2m" not in x.split("hashpartitioning")[1] for x in moved)
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x]
+    assert scans and all("SelectedBucketsCount: 6 out of 6" in lines[i] for i in scans)
+    for i in scans:
+        above = [x for x in lines[max(0, i - 4) : i] if "Exchange" in x]
+        assert not above, above
+    sorts = sum("Sort [" in x and "time" in x and "DESC" not in x for x in lines)
+    assert sorts == 0 if ordered == "true" else sorts > 0
+    pd.testing.assert_frame_equal(got, to_pandas(daily.clean_daily(raw)), rtol=1e-9)
+    whole = clean.clean_hourly(stored, cell=tables.CELL)
+    assert tables.CELL not in whole.columns
+    pd.testing.assert_frame_equal(to_pandas(whole), to_pandas(clean.clean_hourly(raw)), rtol=1e-9)

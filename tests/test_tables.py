@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import raw_hourly, to_pandas, to_spark
 from isobar.operators import clean, climate, daily, spatial, stats
-from isobar.operators.quantiles import exact_quantiles
+from isobar.operators.quantiles import exact_quantiles, quantile_sketches
 from isobar.sources import payload, stations, tables
 from isobar.streaming.readings import stream_clean, stream_daily
 
@@ -22,9 +22,8 @@ def days(spark, frame):
     return daily.clean_daily(to_spark(spark, frame)).cache()
 
 
-@pytest.mark.parametrize("large_groups", [False, True])
-def test_describe(days, large_groups):
-    got = stats.describe_stats(days, large_groups=large_groups).toPandas()
+def test_describe(days):
+    got = stats.describe_stats(days).toPandas()
     want = days.toPandas()
     for row in got.itertuples():
         x = want[want.station_id == row.station_id][row.variable]
@@ -44,6 +43,33 @@ def test_quantiles_of_a_hot_group_with_ties(spark):
         assert row[name] == pytest.approx(np.quantile(values, q))
 
 
+def test_quantiles_of_odd_values(spark):
+    rows = [(None, v) for v in (1.0, 2.0, 4.0)] + [(1, None), (2, float("inf")), (2, float("-inf")), (2, 3.0), (3, float("nan")), (3, 5.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    wanted = {"low": 0.0, "middle": 0.5, "high": 0.75}
+    got = {r.g: (r.low, r.middle, r.high) for r in exact_quantiles(df, ["g"], "v", wanted).collect()}
+    assert got == {None: (1.0, 2.0, 3.0), 2: (float("-inf"), 3.0, float("inf")), 3: (5.0, 5.0, 5.0)}
+    assert exact_quantiles(df.where("false"), ["g"], "v", wanted).count() == 0
+
+
+def test_quantiles_from_stored_sketches(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    frame = pd.DataFrame({"g": rng.integers(0, 2, 60000), "month": rng.integers(1, 13, 60000), "v": np.exp(rng.normal(0, 4, 60000))})
+    df = to_spark(spark, frame)
+    quantile_sketches(df, ["g", "month"], "v").write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert stored.count() == 24
+    wanted = {"a": 0.1, "b": 0.5, "c": 0.505, "d": 0.99}
+    for group in (["g"], []):
+        for row in exact_quantiles(df, group, "v", wanted, stored).collect():
+            x = frame["v"] if not group else frame.loc[frame.g == row.g, "v"]
+            for name, q in wanted.items():
+                assert row[name] == pytest.approx(np.quantile(x, q), rel=1e-12)
+    other = df.withColumn("v", F.col("v") * 3)
+    with pytest.raises(Exception, match="outside the range"):
+        exact_quantiles(other, ["g"], "v", wanted, stored).collect()
+
+
 def test_correlations(days):
     columns = ["temperature_2m_mean", "feels_like_max", "surface_pressure_mean", "rain_sum"]
     got = stats.correlation_matrix(days, columns=columns).toPandas()
