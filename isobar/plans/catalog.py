@@ -38,6 +38,7 @@ from ..operators.quantiles import exact_quantiles, quantile_sketches
 from ..schema import CAPPED_READINGS, variable_columns
 from ..sources import payload, stations, tables
 from ..storage import shared_folder
+from ..streaming.gaps import STATE_STORE, stream_fill
 from ..streaming.readings import stream_clean, stream_daily
 from . import model_sql as M
 from . import sql as S
@@ -1834,3 +1835,51 @@ def t_clean(spark, d):
     table = run_stream(spark, stream_clean(arriving, bounds), "stream-clean")
     figures = ["temperature_2m", "relative_humidity_2m", "wind_speed_10m", "feels_like"]
     return quantised(table.select(KEY, "time", *figures, "is_daytime"), *figures)
+
+
+_FILLED = ("temperature_2m", "relative_humidity_2m")
+_SO_FAR = "OVER (PARTITION BY station_id ORDER BY time ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    "T2_stream_fill",
+    S.query(
+        S.I
+        + """,
+ends AS (SELECT station_id, least("""
+        + ", ".join(f"max(time) FILTER ({c} IS NOT NULL)" for c in _FILLED)
+        + """) AS until
+         FROM w WHERE time <= (SELECT max(time) - INTERVAL 2 DAY FROM w) GROUP BY 1),
+r AS (SELECT station_id, time, """
+        + ", ".join(
+            f"{c}, avg({c}) {_SO_FAR} AS m_{c}, nullif(stddev_samp({c}) {_SO_FAR}, 0) AS s_{c}"
+            for c in _FILLED
+        )
+        + " FROM i)",
+        "SELECT station_id, time, "
+        + ", ".join(
+            S.q(
+                f"CASE WHEN s_{c} IS NULL THEN {c} "
+                f"ELSE least(greatest({c}, m_{c} - 1.5 * s_{c}), m_{c} + 1.5 * s_{c}) END",
+                c,
+            )
+            for c in _FILLED
+        )
+        + " FROM r JOIN ends USING (station_id) WHERE time <= until",
+    ),
+)
+def t_fill(spark, d):
+    """Gaps filled and readings capped to the bounds so far, with state per station."""
+    path = fresh_path(spark, "arriving")
+    weather(spark, d).select(KEY, "time", *_FILLED).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    arriving = spark.readStream.schema(schema).parquet(path)
+    filled = stream_fill(arriving, columns=_FILLED, max_gap="365 days", threshold=1.5)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        table = run_stream(spark, filled, "stream-fill")
+    finally:
+        spark.conf.set(setting, before)
+    return quantised(clean.cap_to_bounds(table, _FILLED), *_FILLED)
