@@ -14,13 +14,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..storage import use_checkpoints
 from .texts import SPACES, Words, byte_column, chunks, mixed, range_hashes, spare, sums_by_text, windows
 
-#: Labelled rows, at most, that the forest and its threshold are fitted on.
+#: Labelled rows, at most, that the forest is fitted on.  Its threshold comes from all of them.
 SAMPLE = 8_192
 TREES = 200
 TREE_ROWS = 256
 #: The part of well labelled rows that the threshold must leave.
 KEPT_GOOD = 0.995
 EDGE = 0.001
+#: Scores are counted in so many steps to find the threshold.
+STEPS = 1 << 16
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -191,20 +193,76 @@ def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed:
     return forest
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, kept_good: float = KEPT_GOOD) -> float:
-    """Threshold above which a document goes.
+def calibrate(
+    scores: np.ndarray, good: np.ndarray, kept_good: float = KEPT_GOOD, times: np.ndarray | None = None
+) -> float:
+    """Threshold above which a document goes; ``times`` says how many rows a score stands for.
 
     Of all thresholds that leave ``kept_good`` of the good rows, the one that sets
     apart the most bad rows, and among those the highest.  Without rows of both kinds nothing goes.
     """
     if good.all() or not good.any():
         return float("inf")
-    border = np.quantile(scores[good], kept_good, method="higher")
+    times = np.ones(len(scores), np.int64) if times is None else times
+    order = np.argsort(scores[good], kind="stable")
+    upto = np.cumsum(times[good][order])
+    border = scores[good][order][np.searchsorted(upto, np.ceil(kept_good * (upto[-1] - 1)), side="right")]
     above = scores[~good][scores[~good] > border]
     # Half way to the nearest bad row, so that good rows near the border stay.
     return float((border + above.min()) / 2) if len(above) else float("inf")
 
 
+def threshold_of(scored: DataFrame) -> float:
+    """:func:`calibrate` over all rows of ``anomaly``, ``good`` and ``rows``, whatever their number.
+
+    Scores are added up in ``STEPS`` steps.  A step stands at the highest good score in
+    it, and at the lowest and the highest bad one.
+    """
+    step = F.floor(F.col("anomaly") * STEPS).alias("step")
+    counted = scored.groupBy(step, "good").agg(
+        F.min("anomaly").alias("low"), F.max("anomaly").alias("high"), F.sum("rows").alias("rows")
+    )
+    steps = counted.collect()
+    found = [(r.high, r.good, r.rows) for r in steps] + [(r.low, False, r.rows) for r in steps if not r.good]
+    if not found:
+        return float("inf")
+    scores, good, times = (np.array(x) for x in zip(*found, strict=True))
+    return calibrate(scores, good, times=times)
+
+
+def smallest(rows: DataFrame, mark: str, sample: int) -> DataFrame:
+    """The rows of the least hashes ``mark``: ``sample`` of them, or all, and hardly any more.
+
+    Counts by the first bits, then by the next ones where the sample ends, say which
+    these are, so a task has its share of the sample and not a whole one.
+    """
+    taken, end = 0, None
+    for bits in (16, 32):
+        part = F.shiftrightunsigned(mark, 64 - bits)
+        inside = rows if end is None else rows.where(F.shiftrightunsigned(mark, 80 - bits) == end)
+        for r in sorted(inside.groupBy(part.alias("part")).count().collect()):
+            if taken + r["count"] >= sample:
+                end = r.part
+                break
+            taken += r["count"]
+        else:
+            return rows
+    return rows.where(F.shiftrightunsigned(mark, 32) <= end)
+
+
+def anomalies(rows: DataFrame, forest: Forest | None, usual: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """``rows`` of rule statistics with their ``anomaly``, 0 without a forest."""
+    columns = rows.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ratios = features({c: batch.column(c).to_numpy() for c in (*STATISTICS, *_MORE)})
+            anomaly = forest.score(margins(ratios, usual)) if forest is not None else np.zeros(len(ratios))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anomaly)], names=[*columns, "anomaly"])
+
+    return rows.mapInArrow(each, StructType([*rows.schema.fields, StructField("anomaly", DoubleType())]))
+
+
 def _base_failed():
     return F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
 
@@ -212,41 +270,38 @@ def _base_failed():
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, the rule statistics, ``base_failed``, ``anomaly`` and ``kept`` of every row.
 
-    Statistics cover every whole text and are stored once.  The forest and its
-    threshold are fitted on at most ``sample`` labelled rows that pass the base
-    rules, those of the smallest id hash.  A document labelled more than once is good
-    if most labels say so.  Rows with a null or unlabelled id are judged too; without
-    labels of both kinds, only the base rules decide.  Repeated rows stay.
+    Statistics cover every whole text and are stored once.  The forest and the usual
+    range of the ratios are fitted on at most ``sample`` different labelled rows that pass
+    the base rules, those of the smallest id hash; the threshold comes from all labelled
+    rows that pass them.  A document labelled more than once is good if most labels say
+    so.  Rows with a null or unlabelled id are judged too; without labels of both kinds,
+    only the base rules decide.  Repeated rows stay.  An empty table gives an empty one;
+    a text of any length is gone over about a megabyte at a time.
     """
     use_checkpoints(docs.sparkSession)
     found = rule_statistics(docs, "text", "doc_id").checkpoint()
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         (F.avg("quality") >= 0.5).alias("good")
     )
-    drawn = (
+    measured = ["doc_id", *STATISTICS, *_MORE]
+    labelled = (
         found.where(~_base_failed())
+        .groupBy(*measured)
+        .agg(F.count(F.lit(1)).alias("rows"))
         .join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS)
-        .limit(sample)
-        .collect()
+        .withColumn("mark", F.xxhash64("doc_id"))
+        .checkpoint()
     )
+    first = F.shiftrightunsigned("mark", 1)
+    drawn = smallest(labelled, "mark", sample).orderBy(first, *measured).limit(sample).collect()
     forest, usual, threshold = None, None, float("inf")
     good = np.array([r.good for r in drawn], bool)
     if good.any():
         rows = features({c: np.array([r[c] for r in drawn]) for c in (*STATISTICS, *_MORE)})
         usual = usual_range(rows[good])
         forest = grow(margins(rows, usual))
-        threshold = calibrate(forest.score(margins(rows, usual)), good)
-    columns = found.columns
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = features({c: batch.column(c).to_numpy() for c in (*STATISTICS, *_MORE)})
-            anomaly = forest.score(margins(rows, usual)) if forest is not None else np.zeros(len(rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anomaly)], names=[*columns, "anomaly"])
-
-    scored = found.mapInArrow(each, StructType([*found.schema.fields, StructField("anomaly", DoubleType())]))
-    return scored.select(
+        threshold = threshold_of(anomalies(labelled, forest, usual))
+    return anomalies(found, forest, usual).select(
         "doc_id", *STATISTICS, _base_failed().alias("base_failed"), "anomaly",
         (~_base_failed() & (F.col("anomaly") <= threshold)).alias("kept"),
     )

@@ -48,6 +48,31 @@ def test_forest_sets_outliers_apart():
     assert len(set(same.tolist())) == 1
 
 
+def test_threshold_from_all_rows(spark):
+    rng = np.random.default_rng(9)
+    scores = np.concatenate((rng.beta(2, 8, 5000), rng.beta(8, 3, 400)))
+    good = np.arange(5400) < 5000
+    rows = [(float(x), bool(g), 1 + i % 3) for i, (x, g) in enumerate(zip(scores, good))]
+    scored = spark.createDataFrame(rows, "anomaly double, good boolean, rows bigint").repartition(7)
+    times = np.array([r[2] for r in rows])
+    wide = np.repeat(scores, times), np.repeat(good, times)
+    exact = quality.calibrate(*wide)
+    assert exact == quality.calibrate(scores, good, times=times)
+    border = np.quantile(wide[0][wide[1]], quality.KEPT_GOOD, method="higher")
+    assert exact > border and not ((wide[0] > border) & (wide[0] <= exact) & ~wide[1]).any()
+    assert abs(quality.threshold_of(scored) - exact) <= 2 / quality.STEPS
+    assert quality.threshold_of(scored.where("good")) == float("inf")
+    assert quality.threshold_of(scored.limit(0)) == float("inf")
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("mark")).union(spark.range(9).select(F.lit(0).alias("mark")))
+    marks = sorted(r.mark % 2**64 for r in rows.collect())
+    for sample in (1, 9, 100, 4999, 6000):
+        got = sorted(r.mark % 2**64 for r in quality.smallest(rows, "mark", sample).collect())
+        assert got == marks[: len(got)] and min(sample, len(marks)) <= len(got) <= max(sample + 9, 9)
+
+
 def test_path_lengths_equal_a_walk():
     rng = np.random.default_rng(8)
     rows = rng.normal(size=(60, 2))
