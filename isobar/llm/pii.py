@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import use_checkpoints
+from .sampling import smallest
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL, IP, CARD, PHONE, SECRET = range(5)
@@ -170,10 +171,10 @@ def fit(found: DataFrame, sample: int = SAMPLE, rounds: int = 12, depth: int = 3
     what it accepts is right.
     """
     rows = found.select("doc_id", F.explode("candidates").alias("c")).select(
-        F.xxhash64("doc_id", "c.s", "c.e", "c.k").alias("h"), F.col("c.k").alias("k"), F.col("c.f").alias("f"),
+        F.shiftrightunsigned(F.xxhash64("doc_id", "c.s", "c.e", "c.k"), 1).alias("h"), F.col("c.k").alias("k"), F.col("c.f").alias("f"),
         F.col("c.y").cast("double").alias("label"),
     )
-    drawn = rows.orderBy("h", "k", "f").limit(sample).checkpoint()
+    drawn = smallest(rows, "h", sample).orderBy("h", "k", "f").limit(sample).checkpoint()
     grow, last = drawn.where("pmod(h, 5) > 0"), drawn.agg(F.max("h")).first()[0]
     ask = rows.where((F.pmod("h", F.lit(5)) == 0) | (F.col("h") > F.lit(last)))
     if last is None:

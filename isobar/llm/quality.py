@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..storage import use_checkpoints
+from .sampling import smallest
 from .texts import SPACES, Words, byte_column, chunks, mixed, range_hashes, spare, sums_by_text, windows
 
 #: Labelled rows, at most, that the forest is fitted on.  Its threshold comes from all of them.
@@ -230,26 +231,6 @@ def threshold_of(scored: DataFrame) -> float:
     return calibrate(scores, good, times=times)
 
 
-def smallest(rows: DataFrame, mark: str, sample: int) -> DataFrame:
-    """The rows of the least hashes ``mark``: ``sample`` of them, or all, and hardly any more.
-
-    Counts by the first bits, then by the next ones where the sample ends, say which
-    these are, so a task has its share of the sample and not a whole one.
-    """
-    taken, end = 0, None
-    for bits in (16, 32):
-        part = F.shiftrightunsigned(mark, 64 - bits)
-        inside = rows if end is None else rows.where(F.shiftrightunsigned(mark, 80 - bits) == end)
-        for r in sorted(inside.groupBy(part.alias("part")).count().collect()):
-            if taken + r["count"] >= sample:
-                end = r.part
-                break
-            taken += r["count"]
-        else:
-            return rows
-    return rows.where(F.shiftrightunsigned(mark, 32) <= end)
-
-
 def anomalies(rows: DataFrame, forest: Forest | None, usual: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """``rows`` of rule statistics with their ``anomaly``, 0 without a forest."""
     columns = rows.columns

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import TESTDATA
 from isobar.llm import quality
+from isobar.llm.sampling import smallest
 
 
 def slow(text):
@@ -69,7 +70,7 @@ def test_sample_is_the_smallest_hashes(spark):
     rows = spark.range(5000).select(F.xxhash64("id").alias("mark")).union(spark.range(9).select(F.lit(0).alias("mark")))
     marks = sorted(r.mark % 2**64 for r in rows.collect())
     for sample in (1, 9, 100, 4999, 6000):
-        got = sorted(r.mark % 2**64 for r in quality.smallest(rows, "mark", sample).collect())
+        got = sorted(r.mark % 2**64 for r in smallest(rows, "mark", sample).collect())
         assert got == marks[: len(got)] and min(sample, len(marks)) <= len(got) <= max(sample + 9, 9)
 
 
