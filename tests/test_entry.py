@@ -30,6 +30,9 @@ CROSS_SECTION = {
     "F10_compare_models",
     "S3_stored_ranges",
     "T1_stream_daily",
+    "T2_stream_fill",
+    "A3_daily_from_cells",
+    "A8_quartiles_from_sketches",
 }
 CHOSEN = set(entry.oracle_sql()) if os.environ.get("ISOBAR_ALL_QUERIES") else CROSS_SECTION
 
