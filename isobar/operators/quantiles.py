@@ -106,11 +106,12 @@ def exact_quantiles(
     same = F.lit(True)
     for own, other in renamed.items():
         same = same & F.col(own).eqNullSafe(F.col(other))
-    known = _known(df, group, value)
-    if group:
-        placed = known.join(ranges.withColumnsRenamed(renamed), same).drop(*keys)
-    else:
-        placed = known.withColumn("_one", F.lit(1)).join(ranges.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    def with_ranges(rows: DataFrame) -> DataFrame:
+        if group:
+            return rows.join(ranges.withColumnsRenamed(renamed), same).drop(*keys)
+        return rows.withColumn("_one", F.lit(1)).join(ranges.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+    placed = with_ranges(_known(df, group, value))
 
     # Values in no range only count, by how many ranges end below them.
     inside = F.exists("_ranges", lambda r: F.col("_v").between(r["low"], r["high"]))
@@ -119,7 +120,7 @@ def exact_quantiles(
         placed.withColumn("_passed", passed)
         .withColumn("_v", F.when(inside, F.col("_v")))
         .groupBy(*group, "_v", "_passed")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_ranges").alias("_ranges"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
 
     def step(r: Column) -> Column:
@@ -133,7 +134,11 @@ def exact_quantiles(
             .otherwise(F.lit(0))
         )
 
-    ranked = stored(counted, "ranked").select(*group, "_v", "_passed", "_c", F.posexplode("_ranges").alias("_i", "_r"))
+    # The ranges come back to the few rows left: carried through the count, an array
+    # would make it sort all values.
+    ranked = with_ranges(stored(counted, "ranked")).select(
+        *group, "_v", "_passed", "_c", F.posexplode("_ranges").alias("_i", "_r")
+    )
     steps = ranked.select(
         *group, "_i", "_v", "_c", F.col("_r.rank").alias("_rank"), step(F.col("_r")).cast("int").alias("_step")
     ).where(F.col("_step").isNotNull())
