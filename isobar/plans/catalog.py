@@ -712,11 +712,19 @@ def c_clean(spark, d):
     return quantised(hourly(spark, d), *_CLEAN_COLUMNS)
 
 
+#: Order lines to a bucket of cells, and so readings at most: what one task sorts.
+BUCKET_LINES = 250_000
+
+
 def in_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Raw readings as a table bucketed by station and month, in the shared folder."""
+    """Raw readings as a table bucketed by station and month, in the shared folder.
+
+    Buckets grow in number with the readings, not in size: a task holds one.
+    """
     path = fresh_path(spark, "cells")
     name = f"cells_{uuid.uuid4().hex}"
-    tables.store_cells(weather(spark, d), name, path, buckets=16)
+    lines = fixture.table(spark, d, "lineitem").count()
+    tables.store_cells(weather(spark, d), name, path, buckets=max(16, -(-lines // BUCKET_LINES)))
     return spark.table(name)
 
 
