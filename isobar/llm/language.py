@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import byte_column, spare
+from .texts import byte_column, releasing, spare
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
@@ -141,7 +141,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions
                 )
 
     sums = (
-        known.mapInArrow(each, "lang string, dim int, part bigint")
+        known.mapInArrow(releasing(each), "lang string, dim int, part bigint")
         .groupBy("lang", "dim")
         .agg(F.sum("part").alias("total"))
         .groupBy("lang")
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 names=[*columns, "lang_pred", "score"],
             )
 
-    return kept.mapInArrow(each, schema)
+    return kept.mapInArrow(releasing(each), schema)
 
 
 def held_out(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_folder, use_checkpoints
 from . import sketch
-from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed
+from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed, releasing
 
 #: Lines match if the Jaccard similarity of their word sets is at least this fraction.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -106,8 +106,8 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
 
     kind = "slice int, counts binary"
     # Two steps, so that no task gets a slice from every other task.
-    spread = docs.select("text").mapInArrow(count, kind).repartition("slice", F.spark_partition_id() % SPREAD)
-    rows = spread.mapInArrow(add, kind).repartition("slice").mapInArrow(rank, "slice int, ranks binary").toArrow()
+    spread = docs.select("text").mapInArrow(releasing(count), kind).repartition("slice", F.spark_partition_id() % SPREAD)
+    rows = spread.mapInArrow(releasing(add), kind).repartition("slice").mapInArrow(releasing(rank), "slice int, ranks binary").toArrow()
     out = np.zeros(((1 << COUNT_BITS) // SLICE, SLICE), np.uint8)
     for i, part in zip(rows["slice"].to_pylist(), rows["ranks"], strict=True):
         out[i] = np.frombuffer(part.as_buffer(), np.uint8)
@@ -167,7 +167,7 @@ def line_sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 yield chunk(kid[i:j], th[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     return _keyed(docs).mapInArrow(
-        each, "kid bigint, th bigint, line int, h1 bigint, h2 bigint, size int, bits bigint, lone int, prefix array<int>"
+        releasing(each), "kid bigint, th bigint, line int, h1 bigint, h2 bigint, size int, bits bigint, lone int, prefix array<int>"
     )
 
 
@@ -294,7 +294,7 @@ def _line_words(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[*KEY, "low", "n"]
             )
 
-    return _keyed(docs).mapInArrow(each, "kid bigint, th bigint, line int, low string, n int")
+    return _keyed(docs).mapInArrow(releasing(each), "kid bigint, th bigint, line int, low string, n int")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     postings = _postings(sets.where("size(prefix) > 0"))
     sorted_lists = postings.drop("at", "prefix").repartition("token").sortWithinPartitions("token", *SHORT)
-    found = sorted_lists.mapInArrow(_near_candidates, _PAIR).checkpoint()
+    found = sorted_lists.mapInArrow(releasing(_near_candidates), _PAIR).checkpoint()
     matched = _verified(docs, found.where("token IS NULL")).distinct().checkpoint()
     # Ids that stand for several texts: their short keys do not tell lines apart.
     twins = _keyed(docs).select("kid", "th").distinct().groupBy("kid").count().where("count > 1")

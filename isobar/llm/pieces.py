@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import byte_column
+from .texts import byte_column, releasing
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose pieces a task remembers.
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
             names=[*plain, *new],
         )
 
-    coded_rows = rows.mapInArrow(each, schema + "ids array<int>, n_tokens bigint, ids_sha256 string, exact boolean")
+    coded_rows = rows.mapInArrow(releasing(each), schema + "ids array<int>, n_tokens bigint, ids_sha256 string, exact boolean")
     return coded_rows.toDF(*keep, *new)
 
 
@@ -185,4 +185,4 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [None if i is None else coder.decode(i) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return rows.select(keep).mapInArrow(each, schema + "text string")
+    return rows.select(keep).mapInArrow(releasing(each), schema + "text string")

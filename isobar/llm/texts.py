@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,31 @@ LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256)
 )
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc's own; other libraries do without
+        trim(0)
+
+
+def releasing(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``each`` for ``mapInArrow`` whose worker does not keep a task's memory for the next ones.
+
+    Workers live on from stage to stage, and their tables, freed with the task, else
+    add up beside those of the stages that follow.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return task
+
+
 def spare(columns: Iterable[str], name: str = "_text") -> str:
     """A column name that is not among ``columns``, whatever the case."""
     taken = {c.lower() for c in columns}
