@@ -117,3 +117,40 @@ def test_texts_lose_their_lines(spark):
 def test_given_table_equals_all_pairs(spark):
     docs = spark.read.parquet(str(TESTDATA / "documents.parquet"))
     check(spark, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def family(rng, n=60, size=100):
+    """Long lines of which many share most words, some of them too few."""
+    base = [f"b{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(size), rng.choice([3, 9, 12, 14])):
+            words[at] = f"new{i}_{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_many_partners_are_found_without_second_words(spark, monkeypatch):
+    """Lists of usual length are gone through again, not spread over pairs of words."""
+    monkeypatch.setattr(lines, "FIRST", 2)
+    asked = []
+    again = lines._near_candidates
+    monkeypatch.setattr(lines, "partial", lambda f, **more: asked.append(f) or (lambda batches: again(batches, **more)), raising=False)
+    monkeypatch.setattr(lines.F, "explode", lambda column: pytest.fail("a list was spread by its second words"))
+    check(spark, family(random.Random(16)))
+    assert asked
+
+
+def test_report_shuffles_no_text_and_shuffles_end(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, during, stored = spark.conf.get(name), [], lines._stored
+    monkeypatch.setattr(lines, "_stored", lambda df: during.append(spark.conf.get(name)) or stored(df))
+    docs = spark.createDataFrame([(1, "a b c d\ne"), (2, "a b c d")], "doc_id bigint, text string")
+    report = lines.line_report(docs)
+    assert set(during) == {"true"} and spark.conf.get(name) == before
+    node = report._jdf.queryExecution().optimizedPlan()
+    while not node.nodeName().startswith("Join"):
+        node = node.children().head()
+    assert "n_lines" in node.children().head().output().mkString(",") and "text" not in node.children().head().output().mkString(",")
+    assert sorted(map(tuple, report.collect())) == [(1, 2, 0, ""), (2, 1, 1, "0")]
