@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_folder
 from . import sketch
-from .texts import LOWER, SPACES, Words, byte_column, chunks, mixed, releasing, spare
+from .texts import LOWER, SPACES, byte_column, chunks, mixed, range_hashes, releasing, spare
 
 #: Lines match if the Jaccard similarity of their word sets is at least this fraction.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -38,12 +38,21 @@ SHORT = ["kid", "line"]
 #: Stands for no word before in arrays, where words are 32-bit hashes.
 _NONE = 1 << 40
 _MEMBER, _LOWER = (~SPACES).astype(np.uint8).tobytes(), LOWER.tobytes()
+#: Words of more bytes than this are hashed by ``range_hashes``.
+LONG_WORD = 64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: The first so many of eight bytes, by number.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _POSTING = ("token", *SHORT, "size", "pos", "prev", "bits")
+#: What sets have to share by their number of differing bits.
+_TIMES = (NUMERATOR + DENOMINATOR) * np.arange(65)
 #: Batches of lists that are gone through at once.
-TOGETHER = 8
+TOGETHER = 16
 #: The bit map of a set of more words than this is of little use; half of its words have
 #: one of their own, ``half``, which leaves the other half's in ``bits`` without it.
 MAPPED = 64
+#: Columns of hashes, of which few are equal.
+_HASHED = ("h1", "h2", "bits", "half", "prefix.list.element")
 #: Columns that lists may carry besides.
 _MORE = ("half", "asked")
 
@@ -54,15 +63,37 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(kid, F.xxhash64("text").alias("th"), F.col("text").alias("_text"), *more)
 
 
-def _words_by_line(data: np.ndarray, offsets: np.ndarray):
-    """Words, their hashes, the running number of each one's line, and that line's number in its text."""
-    text = data.tobytes()  # whose translate() is faster than taking from a table
-    words = Words(data, offsets, np.frombuffer(text.translate(_MEMBER), bool))
-    hashes = words.hashes(np.frombuffer(text.translate(_LOWER), np.uint8))
-    feeds = np.flatnonzero(data == 10)
-    breaks = np.searchsorted(feeds, words.starts)
-    number = breaks - np.searchsorted(feeds, offsets)[words.text]
-    return words, hashes, breaks + words.text, number
+def _word_places(text: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end; a word ends with its text."""
+    member = np.zeros(len(text) + 2, bool)
+    member[1:-1] = np.frombuffer(text.translate(_MEMBER), bool)
+    starts, ends = np.flatnonzero(member[1:] > member[:-1]), np.flatnonzero(member[1:] < member[:-1])
+    inner = np.unique(offsets[1:-1])
+    joints = inner[member[inner] & member[inner + 1]]
+    if len(joints):  # both an end and a start
+        starts, ends = (np.insert(x, np.searchsorted(x, joints), joints) for x in (starts, ends))
+    return starts, ends
+
+
+def _word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, A-Z lower-cased, from eight of its bytes at a time."""
+    data = np.frombuffer(text.translate(_LOWER) + bytes(8), np.uint8)
+    eights = np.ndarray((len(text) + 1,), "<u8", data, strides=(1,))
+    size = ends - starts
+    hashes = mixed((eights[starts] & _BYTES[np.minimum(size, 8)]) * _FACTOR + size.astype(np.uint64))
+    more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    for done in range(8, LONG_WORD, 8):
+        more = more[size[more] > done]
+        if not len(more):
+            break
+        next_ones = eights[starts[more] + done] & _BYTES[np.minimum(size[more] - done, 8)]
+        hashes[more] = mixed(hashes[more] * _FACTOR + next_ones)
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        words = np.concatenate([data[i:j] for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        until = np.cumsum(size[long])
+        hashes[long] = range_hashes(words, until - size[long], until)
+    return hashes
 
 
 def word_ranks(docs: DataFrame) -> np.ndarray:
@@ -90,7 +121,8 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             data, offsets = byte_column(batch.column(0))
             for i, j in chunks(offsets):
-                hashes = _words_by_line(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
+                text = data[offsets[i] : offsets[j]].tobytes()
+                hashes = _word_hashes(text, *_word_places(text, offsets[i : j + 1] - offsets[i]))
                 at, n = np.unique(hashes.astype(np.uint32) & np.uint32(len(total) - 1), return_counts=True)
                 total[at] += n.astype(np.uint64)
         yield from packed(enumerate(total.reshape(-1, SLICE)))
@@ -126,7 +158,7 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """Every line with a word: its key, 128-bit set hash, size, bit map and prefix.
+    """Every line with a word: its key, 128-bit set hash, size, bit map and prefix.  And each row of ``docs``, as line -1.
 
     Words are put in one global order, rarest first by ``rank``.  Two sets that
     match share a word of their prefixes, and another one within one word more, which
@@ -135,12 +167,27 @@ def line_sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     three words match only their equals and get no prefix; nor do sets whose prefix has
     no word but lone ones before its last.  A bit of the map tells whether an odd number
     of the set's words have its hash value; ``half`` is the map of about half of the words
-    if they are more than ``MAPPED``, else 0.
+    if they are more than ``MAPPED``, else 0.  ``times`` is how often the set stands in the
+    texts that were taken together, at the first of these lines, and 0 at the others.
+    Line -1 has the number of its text's lines as ``size``, and ``lone`` is 1 if it has no id.
     """
+    kind = "kid bigint, th bigint, line int, h1 bigint, h2 bigint, times int, size int, bits bigint, half bigint, lone int, prefix array<int>"
+    names = [part.split()[0] for part in kind.split(", ")]
 
     def chunk(kid: np.ndarray, th: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        words, hashes, line, number = _words_by_line(data, offsets)
-        _, first, dense = np.unique(line, return_index=True, return_inverse=True)
+        text = data.tobytes()
+        starts, ends = _word_places(text, offsets)
+        hashes = _word_hashes(text, starts, ends)
+        # The text of each word, and how many line feeds stand before it.
+        home = np.repeat(np.arange(len(kid)), np.diff(np.searchsorted(starts, offsets)))
+        feeds = np.flatnonzero(data == 10)
+        breaks = np.repeat(np.arange(len(feeds) + 1), np.diff(np.searchsorted(starts, feeds), prepend=0, append=len(starts)))
+        line = breaks + home
+        new = np.ones(len(line), bool)
+        new[1:] = line[1:] != line[:-1]
+        first, dense = np.flatnonzero(new), np.cumsum(new) - 1
+        home = home[first]
+        number = breaks[first] - np.searchsorted(feeds, offsets)[home]
         rarity = rank[(hashes & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64)
         if len(first) < 1 << 15:
             order = np.argsort(dense.astype(np.uint64) << np.uint64(49) | rarity << np.uint64(40) | hashes >> np.uint64(24))
@@ -164,26 +211,38 @@ def line_sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
         prefix = np.where(prefix - lone > 1, prefix - lone, 0)
         ends = np.concatenate(([0], np.cumsum(prefix)))
         flat = np.repeat(begin[:-1] + lone - ends[:-1], prefix) + np.arange(ends[-1])
-        home = words.text[first]
+        kid, th = kid[home], th[home]
+        equal = np.lexsort((number, th, kid, h2, h1))
+        begins = np.flatnonzero(np.concatenate(([True], (h1[equal[1:]] != h1[equal[:-1]]) | (h2[equal[1:]] != h2[equal[:-1]])))[: len(equal)])
+        times = np.zeros(len(equal), np.int32)
+        times[equal[begins]] = np.diff(begins, append=len(equal))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(kid[home]), pa.array(th[home]), pa.array(number[first].astype(np.int32)), pa.array(h1), pa.array(h2),
+                pa.array(kid), pa.array(th), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(times),
                 pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(half.view(np.int64)), pa.array(lone.astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hashes[flat] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
             ],
-            names=[*KEY, "h1", "h2", "size", "bits", "half", "lone", "prefix"],
+            names=names,
         )
 
+    def rows(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        n_lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), offsets)) + 1
+        n_lines[batch.column("_text").is_null().to_numpy(zero_copy_only=False)] = 0
+        zero, none = pa.array(np.zeros(len(n_lines), np.int64)), pa.array(batch.column("no_id").cast(pa.int32()))
+        have = {"line": pa.array(np.full(len(n_lines), -1, np.int32)), "size": pa.array(n_lines.astype(np.int32)), "lone": none}
+        have |= {c: batch.column(c) for c in ("kid", "th")} | {c: zero for c in ("h1", "h2", "bits", "half")}
+        have |= {"times": zero.cast(pa.int32()), "prefix": pa.nulls(len(n_lines), pa.list_(pa.int32()))}
+        return pa.RecordBatch.from_arrays([have[c] for c in names], names=names)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kid, th = batch.column("kid").to_numpy(), batch.column("th").to_numpy()
             data, offsets = byte_column(batch.column("_text"))
+            yield rows(batch, data, offsets)
             for i, j in chunks(offsets):
                 yield chunk(kid[i:j], th[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
-    return _keyed(docs).mapInArrow(
-        releasing(each), "kid bigint, th bigint, line int, h1 bigint, h2 bigint, size int, bits bigint, half bigint, lone int, prefix array<int>"
-    )
+    return _keyed(docs, F.col("doc_id").isNull().alias("no_id")).mapInArrow(releasing(each), kind)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -196,6 +255,28 @@ def _postings(sets: DataFrame) -> DataFrame:
     )
 
 
+def _sorted_lists(postings: DataFrame) -> DataFrame:
+    """Lists sorted by word and key, each in one partition.
+
+    Rows travel and are sorted packed.  ``head``, a word and its key's id as far as that
+    fits into 32 bits, nearly always tells two rows apart.
+    """
+    word, within = F.col("token").cast("bigint"), F.least(F.greatest("kid", F.lit(0)), F.lit((1 << 32) - 1))
+    two = lambda a, b: F.shiftleft(F.col(a).cast("bigint"), 32).bitwiseOR(F.col(b).cast("bigint").bitwiseAND(F.lit((1 << 32) - 1)))
+    # No word before is told by the sign.
+    before = F.when(F.col("prev").isNull(), F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.lit(-(1 << 63)))).otherwise(two("pos", "prev"))
+    rows = postings.select(
+        F.shiftleft(word, 32).bitwiseOR(within).alias("head"), "kid", two("line", "size").alias("sized"), before.alias("before"), "bits", "half"
+    )
+    high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
+    rows = rows.repartition(high("head")).sortWithinPartitions("head", "kid", "sized")
+    return rows.select(
+        high("head").alias("token"), "kid", high("sized").alias("line"), low("sized").alias("size"),
+        high("before").bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"),
+        F.when(F.col("before") >= 0, low("before")).alias("prev"), "bits", "half",
+    )
+
+
 def _fits(n, m, i, j, unlike):
     """Length, positional and bit map filter for sets of ``n`` and ``m`` words that share the words at ``i`` and ``j``.
 
@@ -237,7 +318,8 @@ def _near_candidates(batches: Iterator[pa.RecordBatch], again: bool = False) ->
             continue
         begins = np.concatenate(([True], token[1:] != token[:-1]))
         start = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-        place = np.arange(len(token)) - start
+        here = np.arange(len(token)) - start  # rows of its list that are at hand before each
+        place = here.copy()
         if known:
             place[start == 0] += rank - known
         # The held first row may not stand right before the last ones: no neighbour by distance.
@@ -253,11 +335,13 @@ def _near_candidates(batches: Iterator[pa.RecordBatch], again: bool = False) ->
             unlike[wide] -= np.bitwise_count(whole[wide].view(np.uint64))
             return unlike
 
-        def fit(a: np.ndarray, b: np.ndarray, rows=rows, size=size, bits=bits, differing=differing) -> np.ndarray:
-            unlike = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).astype(np.int64)
-            both = size[a] + size[b]
+        plain = bits.view(np.uint64)
+        # Of both sizes together, so much may differ for each of the pair.
+        spared = (NUMERATOR + DENOMINATOR - 2 * NUMERATOR) * size
+
+        def fit(a: np.ndarray, b: np.ndarray, rows=rows, size=size, plain=plain, spared=spared, differing=differing) -> np.ndarray:
             # The one map first, which leaves out nearly all pairs.
-            at = np.flatnonzero((NUMERATOR + DENOMINATOR) * (both - unlike) >= 2 * NUMERATOR * both)
+            at = np.flatnonzero(spared[a] + spared[b] >= _TIMES[np.bitwise_count(plain[a] ^ plain[b])])
             a, b = a[at], b[at]
             same_before = (rows["prev"][a] == rows["prev"][b]) & (rows["prev"][a] != _NONE)
             return at[~same_before & _fits(size[a], size[b], rows["pos"][a], rows["pos"][b], differing(a, b))]
@@ -268,8 +352,7 @@ def _near_candidates(batches: Iterator[pa.RecordBatch], again: bool = False) ->
         if again:
             active = active[rows["asked"][active] == 1]
         for d in range(1, NEAR + 1):
-            active = active[active >= d]
-            active = active[token[active] == token[active - d]]
+            active = active[here[active] >= d]
             if not len(active):
                 break
             use = active[active - d > 0] if skipped else active
@@ -365,16 +448,16 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; packed, unlike a checkpoint."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Dictionaries of hashes are built in vain.
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in _HASHED}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def _shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Within, a query's shuffle files go when it ends; else they stay until the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within, the setting has this value."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -384,6 +467,19 @@ def _shuffles_end(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def _shuffles_end(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends; else they stay until the driver collects its garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def _rows_alone(spark: SparkSession):
+    """Within, a batch for Python ends by its number of rows alone; its bytes are else added up again for every row.
+
+    Only for rows of a fixed width.
+    """
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1))
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``kid, th, removed``: the numbers of the lines that go, of each document that loses any.
 
@@ -400,30 +496,38 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     more are also held against all near predecessors, and those that stand far on in a
     long list meet its lines that share the next word of the prefix with them.
     """
+    return _removed(docs)[0]
+
+
+def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``removed_lines`` and every row of ``docs``, as line -1 of ``line_sets``."""
     with _shuffles_end(docs.sparkSession):
-        lines = _stored(line_sets(docs, word_ranks(docs)))
+        stored = _stored(line_sets(docs, word_ranks(docs)))
+        lines, rows = stored.where("line >= 0"), stored.where("line < 0")
         first = F.min(F.struct(*KEY, "size", "bits", "half", "lone", "prefix")).alias("f")
-        sets = lines.groupBy("h1", "h2").agg(first, (F.count("*") > 1).alias("copied"))
+        # Copies were added up where they stand together, so few are left to add up before the exchange.
+        sets = lines.where("times > 0").repartition("h1", "h2").groupBy("h1", "h2")
+        sets = sets.agg(first, (F.sum("times") > 1).alias("copied"))
         sets = _stored(sets.select("h1", "h2", "f.*", "copied"))
-        matched = _matched(docs, lines, sets)
+        matched = _matched(docs, rows, sets)
 
     copied = sets.where("copied").select("h1", "h2", F.struct(*KEY).alias("first"))
     others = lines.select(*KEY, "h1", "h2").join(copied, ["h1", "h2"]).where(F.struct(*KEY) != F.col("first"))
     gone = others.select(*KEY).union(matched)
-    return gone.groupBy("kid", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return gone.groupBy("kid", "th").agg(F.sort_array(F.collect_set("line")).alias("removed")), rows
 
 
-def _matched(docs: DataFrame, lines: DataFrame, sets: DataFrame) -> DataFrame:
+def _matched(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Keys of the sets that reach the similarity with a set before."""
     pair, key = [*SHORT, *(f"y_{c}" for c in SHORT)], F.struct(*SHORT)
     postings = _postings(sets.where("size(prefix) > 0"))
-    sorted_lists = postings.drop("at", "prefix").repartition("token").sortWithinPartitions("token", *SHORT)
-    found = _stored(sorted_lists.mapInArrow(releasing(_near_candidates), _PAIR))
+    with _rows_alone(docs.sparkSession):
+        found = _stored(_sorted_lists(postings).mapInArrow(releasing(_near_candidates), _PAIR))
     listed = found.where("token IS NULL")
     best = listed.groupBy(*SHORT).agg(F.min(F.struct("unlike", "y_kid", "y_line")).alias("best"))
     matched = _stored(_verified(docs, best.select(*SHORT, "best.y_kid", "best.y_line")).distinct())
     # Ids that stand for several texts: their short keys do not tell lines apart.
-    twins = lines.select("kid", "th").distinct().groupBy("kid").count().where("count > 1")
+    twins = rows.select("kid", "th").distinct().groupBy("kid").count().where("count > 1")
     twins = _stored(twins.select("kid", F.lit(True).alias("twin")))
     settled = _stored(matched.select(*SHORT).distinct().join(twins, "kid", "left_anti"))
     rest = listed.select(*pair).join(settled, SHORT, "left_anti")
@@ -463,10 +567,10 @@ def line_report(docs: DataFrame) -> DataFrame:
     Line numbers count from 0 and are comma-joined.  Lines without words never
     match.  A null text has no lines; equal rows lose the same lines.
     """
-    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(feeds + 1).cast("bigint").alias("n_lines")
-    # Texts are counted before the join, which then does without them.
-    rows = _keyed(docs, F.col("doc_id"), n_lines).drop("_text").join(removed_lines(docs), ["kid", "th"], "left")
+    removed, rows = _removed(docs)
+    doc_id = F.when(F.col("lone") == 0, F.col("kid")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    # Lines were counted where the texts were split, so no text is read again.
+    rows = rows.select("kid", "th", doc_id, F.col("size").cast("bigint").alias("n_lines")).join(removed, ["kid", "th"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select(
         "doc_id",

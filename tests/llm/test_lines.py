@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +156,45 @@ def test_report_shuffles_no_text_and_shuffles_end(spark, monkeypatch):
         node = node.children().head()
     assert "n_lines" in node.children().head().output().mkString(",") and "text" not in node.children().head().output().mkString(",")
     assert sorted(map(tuple, report.collect())) == [(1, 2, 0, ""), (2, 1, 1, "0")]
+
+
+def test_words_are_found_and_hashed_at_any_place():
+    """A word has one hash, whatever its case, length and neighbours; texts part words."""
+    rng = random.Random(17)
+    words = ["a" * n + tail for n in (1, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for tail in ("x", "y", "\0", "é")]
+    texts = ["", "ab", "AB\tab", " ", "ab\x0bab\n"] + [" ".join(rng.choice([w, w.upper()]) for w in rng.sample(words, 9)) for _ in range(60)]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    starts, ends = lines._word_places(data, offsets)
+    expected = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode())]
+    assert [data[i:j] for i, j in zip(starts, ends, strict=True)] == expected
+    low = [w.translate(lines._LOWER) for w in expected]
+    hashes = lines._word_hashes(data, starts, ends).tolist()
+    assert len(set(zip(low, hashes, strict=True))) == len(set(low)) == len(set(hashes))
+
+
+def test_report_reads_texts_for_lines_only(spark):
+    """Rows come from the stored lines: ids that are null, negative, large or doubled, and null texts too."""
+    big = 2**40
+    rows = [(None, "a b"), (-(2**63), "a b"), (-5, "a b"), (big, "p q r s t u\n\nz"), (big + 1, "p q r s t u v"), (big, None), (7, "\n"), (7, "\n"), (-5, "A b\na b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    report = lines.line_report(docs)
+    assert "documents" not in report._jdf.queryExecution().optimizedPlan().toString() and not report._jdf.queryExecution().optimizedPlan().toString().count("text#")
+    got = Counter((r.doc_id, r.n_lines) for r in report.collect())
+    assert got == Counter((i, 0 if t is None else t.count("\n") + 1) for i, t in rows)
+    check(spark, rows)
+
+
+def test_copies_are_added_up_before_the_exchange(spark):
+    """Of equal lines that stand together one row goes on, and it tells how many they are."""
+    docs = spark.createDataFrame([(i, "one two three four\nfour three TWO one one") for i in (4, 2, 9)], "doc_id bigint, text string").coalesce(1)
+    sets = lines.line_sets(docs, lines.word_ranks(docs)).where("line >= 0").collect()
+    assert sorted((r.kid, r.line, r.times) for r in sets) == [(2, 0, 6), (2, 1, 0), (4, 0, 0), (4, 1, 0), (9, 0, 0), (9, 1, 0)]
+
+
+def test_batches_of_lists_are_not_added_up_row_by_row(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, during, make = spark.conf.get(name, None), [], lines._sorted_lists
+    monkeypatch.setattr(lines, "_sorted_lists", lambda postings: during.append(spark.conf.get(name)) or make(postings))
+    lines.removed_lines(spark.createDataFrame([(1, "a b c d"), (2, "a b c d e")], "doc_id bigint, text string"))
+    assert during == [str(2**31 - 1)] and spark.conf.get(name, None) == before
